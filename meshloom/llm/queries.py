@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import ngram_join, quality
 
 QUERIES = {
+    "op3_quality_rules": quality.op3_quality_rules,
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality.ORACLE,
+}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import ngram_join, quality
+from . import decontaminate, ngram_join, quality
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.ORACLE,
+    "op9_benchmark_decontamination": decontaminate.ORACLE,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, quality
+from . import decontaminate, ngram_join, packing, quality
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
+    "op2_packing": packing.op2_packing,
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, packing, quality
+from . import decontaminate, ngram_join, packing, pii, quality, toxicity
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op2_packing": packing.op2_packing,
+    "op4_pii": pii.op4_pii,
+    "op10_toxicity": toxicity.op10_toxicity,
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, ngram_join, packing, pii, quality, toxicity
+from . import decontaminate, linededup, ngram_join, packing, pii, quality, toxicity, urlfilter
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
@@ -11,10 +11,12 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op10_toxicity": toxicity.op10_toxicity,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op7_url_filters": urlfilter.op7_url_filters,
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
+    "op7_url_filters": urlfilter.ORACLE,
     "op9_benchmark_decontamination": decontaminate.ORACLE,
 }

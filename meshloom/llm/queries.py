@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, ngram_join, packing, pii, quality, toxicity, urlfilter
+from . import decontaminate, linededup, ngram_join, packing, pii, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_url_filters": urlfilter.op7_url_filters,
+    "op6_warc": warc.op6_warc,
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, ngram_join, packing, pii, quality, toxicity, urlfilter, warc
+from . import decontaminate, linededup, lm, ngram_join, packing, pii, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_url_filters": urlfilter.op7_url_filters,
     "op6_warc": warc.op6_warc,
+    "op8_lm_scoring": lm.op8_lm_scoring,
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {

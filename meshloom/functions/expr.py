@@ -7,7 +7,27 @@ whole-stage code generation. A vector is a triple of SQL texts.
 
 from __future__ import annotations
 
+import functools
+import re
+
 Vec = tuple[str, str, str]
+_DECIMAL = re.compile(r"(?<![\w.])(\d+\.\d+)(?![\w.])")
+
+
+def _doubles(f):
+    """Decimal literals in the SQL become doubles (1.5 -> 1.5e0): engines differ in
+    the arithmetic of decimals."""
+
+    def plain(v):
+        if isinstance(v, str):
+            return _DECIMAL.sub(r"\1e0", v)
+        return type(v)(map(plain, v)) if isinstance(v, (tuple, list)) else v
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        return plain(f(*args, **kwargs))
+
+    return run
 
 
 def vec(prefix: str) -> Vec:
@@ -50,22 +70,26 @@ def unit(a: Vec) -> Vec:
     return tuple(f"({x} / nullif(sqrt({norm2(a)}), 0))" for x in a)
 
 
+@_doubles
 def signum(x: str) -> str:
     """-1 below zero, else 1."""
     return f"(CASE WHEN {x} < 0 THEN -1.0 ELSE 1.0 END)"
 
 
+@_doubles
 def modulo(a: str, b: str) -> str:
     """The remainder with the sign of a positive b."""
     return f"({a} - floor({a} / {b}) * {b})"
 
 
+@_doubles
 def affine(m: list[float], p: Vec) -> Vec:
     """Row-major 4x4 matrix applied to a point."""
     return tuple(f"({m[4 * r]!r} * {p[0]} + {m[4 * r + 1]!r} * {p[1]} + {m[4 * r + 2]!r} * {p[2]} + {m[4 * r + 3]!r})"
                  for r in range(3))
 
 
+@_doubles
 def linear(m: list[float], n: Vec) -> Vec:
     """The matrix's linear part, for normals."""
     return tuple(f"({m[4 * r]!r} * {n[0]} + {m[4 * r + 1]!r} * {n[1]} + {m[4 * r + 2]!r} * {n[2]})" for r in range(3))
@@ -77,6 +101,7 @@ def inverse_affine(m: list[float]) -> list[float]:
     return np.linalg.inv(np.array(m).reshape(4, 4)).ravel().tolist()
 
 
+@_doubles
 def tangent_frame(n: Vec) -> tuple[Vec, Vec]:
     """Two vectors orthogonal to a unit normal: the second lies in the coordinate
     plane that n leans away from, the first is their cross product."""
@@ -91,6 +116,7 @@ def tangent_frame(n: Vec) -> tuple[Vec, Vec]:
 
 # --- keys -----------------------------------------------------------------
 
+@_doubles
 def grid_index(x: str, origin: float, size: float) -> str:
     return f"CAST(floor(({x} - ({origin!r})) / {size!r}) AS BIGINT)"
 
@@ -135,6 +161,7 @@ def _uncube(t: str) -> str:
     return f"(CASE WHEN {t} > {DELTA!r} THEN {t} * {t} * {t} ELSE {3 * DELTA * DELTA!r} * ({t} - {4 / 29!r}) END)"
 
 
+@_doubles
 def rgb_to_lab(rgb: Vec) -> Vec:
     """16-bit linear RGB to 16-bit CIE Lab, clamped and truncated."""
     fx, fy, fz = (_cube(f"({_row(TO_XYZ[r], rgb)} / {WHITE[r]!r})") for r in range(3))
@@ -142,6 +169,7 @@ def rgb_to_lab(rgb: Vec) -> Vec:
             _clamp16(f"327.67 * (200 * ({fy} - {fz})) + 32768"))
 
 
+@_doubles
 def lab_to_rgb(lab: Vec) -> Vec:
     light = f"(({lab[0]} / 655.35 + 16) / 116.0)"
     a, b = f"(({lab[1]} - 32768) / 327.67 / 500.0)", f"(({lab[2]} - 32768) / 327.67 / 200.0)"
@@ -149,11 +177,13 @@ def lab_to_rgb(lab: Vec) -> Vec:
     return tuple(_clamp16(_row(FROM_XYZ[r], xyz)) for r in range(3))
 
 
+@_doubles
 def gamma_correct(x: str) -> str:
     """A 0..1 channel to 8 bits with exponent 1/2.2."""
     return f"CAST(floor(pow({x}, {1 / 2.2!r}) * 255.0) AS INT)"
 
 
+@_doubles
 def linear_colour(byte: str) -> str:
     """An 8-bit channel to a linear 16-bit one."""
     return f"CAST(floor(pow({byte} / 255.0, 2.2) * 65535.0) AS INT)"
@@ -161,6 +191,7 @@ def linear_colour(byte: str) -> str:
 
 # --- symmetric direction fields ---------------------------------------------
 
+@_doubles
 def rotate(q: Vec, n: Vec, cos: float, sin: float) -> Vec:
     """q turned about the unit normal n."""
     c = cross(n, q)
@@ -181,22 +212,28 @@ def directions(q: Vec, n: Vec, rosy: int) -> list[Vec]:
     raise ValueError("rosy must be 2, 4 or 6")
 
 
-def compatible_directions(q0: Vec, n0: Vec, q1: Vec, n1: Vec, rosy: int) -> tuple[Vec, Vec]:
-    """The pair of representatives with the largest absolute dot product (the first
-    such), the second signed so that the dot product isn't negative. rosy 2 keeps
+def compatible_steps(q0: Vec, n0: Vec, q1: Vec, n1: Vec, rosy: int, keep: list[str], out0: str, out1: str) -> list[list[str]]:
+    """Select lists that add the compatible pair of directions as out0x.. and out1x..
+    to the columns keep: of all pairs of representatives the first with the largest
+    absolute dot product, the second signed so that it isn't negative. rosy 2 keeps
     the first as it is."""
     a, b = directions(q0, n0, rosy), directions(q1, n1, rosy)
-    pairs = [(x, y, dot(x, y)) for x in a for y in b]
-    if len(pairs) == 1:
-        return q0, mul(q1, signum(pairs[0][2]))
-    best = "greatest(" + ", ".join(f"abs({d})" for *_, d in pairs) + ")"
+    k = range(len(a))
+    name = lambda v, p: [f"{t} AS {p}{c}" for t, c in zip(v, "xyz")]
+    reps = [f"{p}{i}" for p in ("r", "s") for i in k]
+    one = keep + [x for p, side in (("r", a), ("s", b)) for i in k for x in name(side[i], f"{p}{i}")]
+    cols = keep + [f"{r}{c}" for r in reps for c in "xyz"]
+    pairs = [(i, j) for i in k for j in k]
+    two = cols + [f"{dot(vec(f'r{i}'), vec(f's{j}'))} AS d{i}{j}" for i, j in pairs]
+    largest = "greatest(" + ", ".join(f"abs(d{i}{j})" for i, j in pairs) + ")" if len(pairs) > 1 else "abs(d00)"
+    three = cols + [f"d{i}{j}" for i, j in pairs] + [f"{largest} AS largest"]
 
-    def pick(values: list[str]) -> str:
-        return "(CASE " + " ".join(f"WHEN abs({d}) = {best} THEN {v}" for (_, _, d), v in zip(pairs, values)) + " END)"
+    def pick(text) -> str:
+        return "(CASE " + " ".join(f"WHEN abs(d{i}{j}) = largest THEN {text(i, j)}" for i, j in pairs) + " END)"
 
-    first = tuple(pick([x[i] for x, *_ in pairs]) for i in range(3))
-    second = tuple(pick([f"{y[i]} * {signum(d)}" for _, y, d in pairs]) for i in range(3))
-    return first, second
+    four = keep + [f"{pick(lambda i, j: f'r{i}{c}')} AS {out0}{c}" for c in "xyz"]
+    four += [f"{pick(lambda i, j: f's{j}{c} * {signum(f'd{i}{j}')}')} AS {out1}{c}" for c in "xyz"]
+    return [one, two, three, four]
 
 
 # --- symmetric position fields ----------------------------------------------
@@ -209,6 +246,7 @@ def second_axis(q: Vec, n: Vec, posy: int) -> Vec:
     raise ValueError("posy must be 4 or 6")
 
 
+@_doubles
 def middle_point(p0: Vec, n0: Vec, p1: Vec, n1: Vec) -> Vec:
     """The point in both tangent planes with the least squared distance to p0 and
     p1, with a small term that keeps parallel planes solvable."""
@@ -219,6 +257,7 @@ def middle_point(p0: Vec, n0: Vec, p1: Vec, n1: Vec) -> Vec:
     return tuple(f"(0.5 * ({a} + {b}) - 0.25 * ({x} * {l0} + {y} * {l1}))" for a, b, x, y in zip(p0, p1, n0, n1))
 
 
+@_doubles
 def lattice_coordinates(o: Vec, q: Vec, n: Vec, p: Vec, scale: float, posy: int) -> tuple[str, str]:
     """Real lattice coordinates of p relative to o."""
     d, t = sub(p, o), second_axis(q, n, posy)
@@ -228,6 +267,7 @@ def lattice_coordinates(o: Vec, q: Vec, n: Vec, p: Vec, scale: float, posy: int)
     return f"((4 * {u} - 2 * {v}) / 3.0 / {scale!r})", f"((4 * {v} - 2 * {u}) / 3.0 / {scale!r})"
 
 
+@_doubles
 def lattice_point(o: Vec, q: Vec, t: Vec, u: str, v: str, scale: float) -> Vec:
     return tuple(f"({a} + ({b} * {u} + {c} * {v}) * {scale!r})" for a, b, c in zip(o, q, t))
 
@@ -240,10 +280,12 @@ def round_position(o: Vec, q: Vec, n: Vec, p: Vec, scale: float) -> Vec:
 
 # --- interpolation ------------------------------------------------------------
 
+@_doubles
 def bilinear(a: str, b: str, c: str, d: str, u: str, v: str) -> str:
     """Corners in ring order."""
     return f"((1 - {v}) * ((1 - {u}) * {a} + {u} * {b}) + {v} * ((1 - {u}) * {d} + {u} * {c}))"
 
 
+@_doubles
 def barycentric(a: str, b: str, c: str, u: str, v: str) -> str:
     return f"((1 - {u} - {v}) * {a} + {u} * {b} + {v} * {c})"

@@ -19,6 +19,13 @@ from .tables import cut
 FIELDS = ("x", "y", "z", "nx", "ny", "nz", "qx", "qy", "qz", "ox", "oy", "oz")
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """df behind a one-row generator: the optimiser neither merges the projections
+    on its two sides nor pushes predicates through, either of which would repeat
+    the expressions of one step in the next, again and again."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
+
+
 def symmetric(adj: DataFrame) -> DataFrame:
     """Each undirected edge once, src < dst."""
     return adj.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src < dst").distinct()
@@ -42,8 +49,7 @@ def classify_steps(scale: float, rosy: int = 4, posy: int = 4, lists: str = "spa
     def name(v, prefix):
         return [f"{t} AS {prefix}{c}" for t, c in zip(v, "xyz")]
 
-    c0, c1 = E.compatible_directions(a("q"), a("n"), b("q"), b("n"), rosy)
-    one = ["src", "dst", *ends, *name(c0, "k0"), *name(c1, "k1")]
+    one = E.compatible_steps(a("q"), a("n"), b("q"), b("n"), rosy, ["src", "dst", *ends], "k0", "k1")
     axes = [f"{k}{c}" for k in ("k0", "k1", "t0", "t1") for c in "xyz"]
     two = ["src", "dst", *ends, *axes[:6], *name(E.second_axis(k0, a("n"), posy), "t0"),
            *name(E.second_axis(k1, b("n"), posy), "t1"),
@@ -53,32 +59,31 @@ def classify_steps(scale: float, rosy: int = 4, posy: int = 4, lists: str = "spa
     three = ["src", "dst", *ends, *axes, *[f"floor({t}) AS {n}" for t, n in zip(at0 + at1, ("u0", "v0", "u1", "v1"))]]
     gap = E.sub(E.lattice_point(a("o"), k0, t0, "u0", "v0", scale), E.lattice_point(b("o"), k1, t1, "u1", "v1", scale))
     four = ["src", "dst", *axes, "u0", "v0", "u1", "v1", *name(gap, "g")]
-    options = []
-    for i in range(4):
-        for j in range(4):
-            d = tuple(f"(g{c} + {scale!r} * ({i & 1} * k0{c} + {i >> 1} * t0{c} - {j & 1} * k1{c} - {j >> 1} * t1{c}))"
-                      for c in "xyz")
-            cost = E.dot(d, d)
-            options.append(f"struct({cost} AS cost, {i} AS i, {j} AS j)" if lists == "spark"
-                           else f"struct_pack(cost := {cost}, i := {i}, j := {j})")
-    best = f"array_min(array({', '.join(options)}))" if lists == "spark" else f"list_min([{', '.join(options)}])"
+    # The 16 corner pairs, k = 4 i + j: one small expression, evaluated 16 times.
+    ti, tj, bi, bj = "floor(k / 8)", "floor(k / 2) % 2", "floor(k / 4) % 2", "k % 2"
+    d = [f"(g{c} + {scale!r} * ({bi} * k0{c} + {ti} * t0{c} - {bj} * k1{c} - {tj} * t1{c}))" for c in "xyz"]
+    cost = " + ".join(f"pow({x}, 2)" for x in d)
+    best = (f"array_min(transform(sequence(0, 15), k -> struct({cost} AS cost, k AS k)))" if lists == "spark"
+            else f"list_min(list_transform(range(16), lambda k: struct_pack(cost := {cost}, k := k)))")
     gap_dir = E.dist2(k0, k1)
     five = ["src", "dst", f"{gap_dir} AS d_dir", "u0", "v0", "u1", "v1", f"{best} AS best"]
     six = ["src", "dst", "d_dir", "best.cost AS error",
-           "CAST(u0 + best.i % 2 - u1 - best.j % 2 AS BIGINT) AS du",
-           "CAST(v0 + floor(best.i / 2) - v1 - floor(best.j / 2) AS BIGINT) AS dv"]
+           "CAST(u0 + floor(best.k / 4) % 2 - u1 - best.k % 2 AS BIGINT) AS du",
+           "CAST(v0 + floor(best.k / 8) - v1 - floor(best.k / 2) % 2 AS BIGINT) AS dv"]
     diagonal = "abs(du) = 1 AND abs(dv) = 1" if posy == 4 else "false"
     seven = ["src", "dst", "d_dir", "error", "du", "dv",
              f"CASE WHEN abs(du) > 1 OR abs(dv) > 1 OR ({diagonal}) THEN 'drop' "
              "WHEN du = 0 AND dv = 0 THEN 'collapse' ELSE 'link' END AS class"]
-    return [one, two, three, four, five, six, seven]
+    return [*one, two, three, four, five, six, seven]
 
 
 def classify(edges: DataFrame, points: DataFrame, scale: float, rosy: int = 4, posy: int = 4) -> DataFrame:
     out = with_fields(edges, points)
     for step in classify_steps(scale, rosy, posy):
         out = out.selectExpr(*step)
-    return out
+        if step[-1].endswith("AS best"):
+            out = fence(out)
+    return fence(out)
 
 
 def field_energy(classified: DataFrame) -> DataFrame:

@@ -91,8 +91,8 @@ def ordered_neighbours(points: DataFrame, code: str, cols: tuple[str, ...], reac
         ghosts = spark.createDataFrame([tuple(h[c] for c in part.columns) for h in halo], part.schema)
         both = both.union(ghosts.withColumn("own", F.lit(False)))
     row = F.struct("pid", *cols)
-    pairs = both.select("own", row.alias("a"), F.explode(F.array(*[F.lead(row, i).over(w) for i in range(1, reach + 1)]))
-                        .alias("b"))
+    ahead = both.select("own", row.alias("a"), F.array(*[F.lead(row, i).over(w) for i in range(1, reach + 1)]).alias("next"))
+    pairs = ahead.select("own", "a", F.explode("next").alias("b"))
     return pairs.where("own and b is not null").select("a", "b")
 
 

@@ -313,28 +313,30 @@ def _classified(rosy: int = 4, posy: int = 4) -> str:
     sql = f"SELECT src, dst, {cols} FROM adj JOIN cloud a ON a.pid = src JOIN cloud b ON b.pid = dst"
     for step in X.classify_steps(SCALE, rosy, posy, "duck"):
         sql = f"SELECT {', '.join(step)} FROM ({sql})"
-    return f"adj AS ({ADJ}), cl AS ({sql})"
+    return f"adj AS ({ADJ}), cl AS MATERIALIZED ({sql})"
 
 
 def _edges(points):
     return S.radius_pairs(points, RADIUS).select("src", "dst")
 
 
-def _compat_sql(rosy: int) -> str:
-    one, two = E.compatible_directions(E.vec("a_q"), E.vec("a_n"), E.vec("b_q"), E.vec("b_n"), rosy)
-    return ", ".join(r6(t, f"{n}{c}") for n, v in (("p", one), ("q", two)) for c, t in zip("xyz", v))
+def _compat_steps(rosy: int) -> list[list[str]]:
+    return E.compatible_steps(E.vec("a_q"), E.vec("a_n"), E.vec("b_q"), E.vec("b_n"), rosy, ["src", "dst"], "p", "q")
 
 
 def _rosy_oracle(rosy: int) -> str:
     cols = ", ".join(f"{s}.{c} AS {s}_{c}" for s in "ab" for c in X.FIELDS)
-    return (f"WITH adj AS ({ADJ}) SELECT src, dst, {_compat_sql(rosy)} FROM (SELECT src, dst, {cols} FROM adj "
-            "JOIN cloud a ON a.pid = src JOIN cloud b ON b.pid = dst)")
+    sql = f"SELECT src, dst, {cols} FROM adj JOIN cloud a ON a.pid = src JOIN cloud b ON b.pid = dst"
+    for step in _compat_steps(rosy):
+        sql = f"SELECT {', '.join(step)} FROM ({sql})"
+    return f"WITH adj AS ({ADJ}) SELECT src, dst, {_pick([f'{n}{c}' for n in 'pq' for c in 'xyz'])} FROM ({sql})"
 
 
 def _rosy(points, rosy: int) -> DataFrame:
-    one, two = E.compatible_directions(E.vec("a_q"), E.vec("a_n"), E.vec("b_q"), E.vec("b_n"), rosy)
-    return X.with_fields(_edges(points), points).selectExpr(
-        "src", "dst", *[f"{t} AS {n}{c}" for n, v in (("p", one), ("q", two)) for c, t in zip("xyz", v)])
+    out = X.with_fields(_edges(points), points)
+    for step in _compat_steps(rosy):
+        out = out.selectExpr(*step)
+    return out
 
 
 @query(_rosy_oracle(2))
@@ -531,15 +533,15 @@ def face_artefacts(points, spark, sf_dir):
 @query(f"""WITH {_GRID_FACES}, dead AS (SELECT DISTINCT pid - pid % 2 AS d FROM cloud WHERE scan_id = 3),
 ls AS (SELECT v0, v1 FROM et WHERE v0 NOT IN (SELECT d FROM dead) AND v1 NOT IN (SELECT d FROM dead))
 SELECT 'edge' AS kind, v0 AS a, v1 AS b FROM ls
-UNION ALL SELECT 'face', fid, NULL FROM f WHERE fid NOT IN (
+UNION ALL SELECT 'face', fid, -1 FROM f WHERE fid NOT IN (
   SELECT fid FROM fe WHERE NOT EXISTS (SELECT 1 FROM ls WHERE v0 = least(a, b) AND v1 = greatest(a, b)))
-UNION ALL SELECT 'vertex', root, NULL FROM (SELECT DISTINCT pid - pid % 2 AS root FROM cloud)
+UNION ALL SELECT 'vertex', root, -1 FROM (SELECT DISTINCT pid - pid % 2 AS root FROM cloud)
 WHERE root NOT IN (SELECT d FROM dead)""")
 def delete_cascade(points, spark, sf_dir):
     member = points.select("pid", F.expr("pid - pid % 2").alias("root"))
     faces = _faces(points)
     v, e, f = X.delete_cascade(points, points.where("scan_id = 3"), member, X.edge_table(faces), faces)
-    none = F.lit(None).cast("long").alias("b")
+    none = F.lit(-1).cast("long").alias("b")
     return (e.select(F.lit("edge").alias("kind"), F.col("v0").alias("a"), F.col("v1").alias("b"))
             .union(f.select(F.lit("face"), "fid", none)).union(v.select(F.lit("vertex"), "root", none)))
 

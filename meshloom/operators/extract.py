@@ -193,8 +193,9 @@ def trace_faces(ring: DataFrame, quads_first: bool = True) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rings = {int(v): g.sort_values("rank")["w"].astype(int).tolist() for v, g in pdf.groupby("v")}
         faces = kernels.trace(rings, quads_first)
-        return pd.DataFrame({"component": [int(pdf["component"].iloc[0])] * len(faces),
-                             "degree": [len(f) for f in faces], "verts": faces})
+        return pd.DataFrame({"component": pd.Series([int(pdf["component"].iloc[0])] * len(faces), dtype="int64"),
+                             "degree": pd.Series([len(f) for f in faces], dtype="int32"),
+                             "verts": pd.Series(faces, dtype=object)})
 
     return ring.join(comp, "v").groupBy("component").applyInPandas(run, "component long, degree int, verts array<long>")
 

@@ -36,7 +36,7 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float, keep: tupl
     """(src, dst, d2) with d2 <= radius^2 for (pid, x, y, z) rows; columns named in
     keep come from both sides with prefixes a_ and b_. A point meets itself if it
     is on both sides."""
-    cols = ("pid", "x", "y", "z", *keep)
+    cols = tuple(dict.fromkeys(("pid", "x", "y", "z", *keep)))
     a = _around(with_cells(queries.select(*cols), radius), _ALL)
     b = with_cells(points.select(*cols), radius)
     a = a.select(*CELL, *[F.col(c).alias(f"a_{c}") for c in cols])

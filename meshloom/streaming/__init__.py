@@ -1 +1,3 @@
-"""See the package modules."""
+"""Scans that arrive over time."""
+
+from .integrate import Session, integrate_stream  # noqa: F401

@@ -9,8 +9,8 @@ compressed with either dictionary; the evidence of a window is how many bytes
 the toxic dictionary saves over the ordinary one, which is nothing for ordinary
 text of whatever language, since both know it equally well. A text's features
 are the largest saving and how many windows save at least so many bytes; a logistic
-model turns them into a score, calibrated on labelled rows that the dictionaries
-didn't see.
+model turns them into a score; it is calibrated on each half of the labelled rows
+under the dictionaries of the other half.
 
 Fitting reads at most MAX_LABELLED labelled rows, those with the smallest hash of
 the id: a documented bound, the same rows however the input lies. Scoring reads
@@ -131,14 +131,13 @@ def _words(text: str) -> set[tuple[str, str]]:
     return set(zip([""] + words, words))
 
 
-def fit(rows: list[tuple[int, str, int]]) -> Model:
-    """From (id, text, label): dictionaries from even positions, weights from odd."""
+def _dictionaries(rows: list[tuple[int, str, int]]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary of (id, text, label) rows."""
     import zstandard as z
 
-    learn, held = rows[0::2], rows[1::2]
     seen: tuple[set, set] = (set(), set())
     n = [0, 0]
-    for _, text, label in learn:
+    for _, text, label in rows:
         seen[label].update(_words(text))
         n[label] += 1
     df = [Counter(w for _, w in pairs) for pairs in seen]
@@ -148,7 +147,7 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
     apart.sort(key=lambda w: (share(w), w))
     toxic = b"".join(b" " + w.encode() + b" " for w in apart)[-TOXIC_BYTES:]
     samples = []
-    for _, text, label in learn:
+    for _, text, label in rows:
         if not label:
             buf, spans, _ = _windows([text.encode().lower()])
             samples += [buf[int(s):int(s + k)] for s, k in spans[:64]]
@@ -157,14 +156,23 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
     except z.ZstdError:  # too few samples to train on
         ordinary = b"".join(samples)[:ORDINARY_BYTES]
     ordinary = ordinary or b" " * 64
-    model = Model(ordinary, toxic + ordinary, [])
-    y = np.array([r[2] for r in held], float)
-    if y.size and 0 < y.sum() < y.size:
-        x = features([r[1].encode().lower() for r in held], _squeezer(model.ordinary), _squeezer(model.toxic))
-        model.weights = _logistic(x, y)
+    return ordinary, toxic + ordinary
+
+
+def fit(rows: list[tuple[int, str, int]]) -> Model:
+    """From (id, text, label): dictionaries from all rows; weights from either half's
+    features under the dictionaries of the other half."""
+    x, y = [], []
+    for learn, held in ((rows[0::2], rows[1::2]), (rows[1::2], rows[0::2])):
+        plain, toxic = map(_squeezer, _dictionaries(learn))
+        x.append(features([r[1].encode().lower() for r in held], plain, toxic))
+        y += [r[2] for r in held]
+    model = Model(*_dictionaries(rows), [])
+    labels = np.array(y, float)
+    if labels.size and 0 < labels.sum() < labels.size:
+        model.weights = _logistic(np.concatenate(x), labels)
     else:
-        base = float(np.mean([r[2] for r in rows])) if rows else 0.0
-        base = min(max(base, 1e-6), 1 - 1e-6)
+        base = min(max(float(labels.mean()) if labels.size else 0.0, 1e-6), 1 - 1e-6)
         model.weights = [float(np.log(base / (1 - base)))] + [0.0] * (1 + len(LEVELS))
     return model
 

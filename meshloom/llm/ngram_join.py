@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, written
@@ -63,6 +63,13 @@ def _blobs(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, for a smaller peak of memory."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def _fp(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
@@ -71,7 +78,7 @@ def _sketches(k: int, num: int, den: int):
     """(id, n, fp, window): the smallest quarter of a set, for counting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             sizes, fps, windows = [], [], []
             for s in shingle_sets(_blobs(b.column(1)), k):
                 n = len(s)
@@ -93,7 +100,7 @@ def _index_rows(k: int, num: int, den: int, hot: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.frombuffer(hot, np.uint64)
-        for b in batches:
+        for b in _sliced(batches):
             tokens, fps, sizes, seen = [], [], [], set()
             for s in shingle_sets(_blobs(b.column(0)), k):
                 n = len(s)
@@ -225,7 +232,7 @@ def _groups(k: int, num: int, den: int):
                 names=["group_id", "ids", "copies", "sizes", "sets", "forest", "degrees"])
 
         ids, copies, sets, size = [], [], [], 0
-        for b in batches:
+        for b in _sliced(batches):
             for i, c, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
                                shingle_sets(_blobs(b.column(2)), k)):
                 if ids and (len(ids) == GROUP_ROWS or size + s.nbytes > GROUP_BYTES):
@@ -281,13 +288,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = (base.where("id is not null").select("text")
               .mapInArrow(_index_rows(k, num, den, hot), "token long, fp long, n int")
               .repartition("token"))
-    buckets = spread.groupBy("token").agg(F.count("*").alias("c"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-    shared = (spread.join(buckets.where("lo <> hi").select("token"), "token")
-              .groupBy("token", "fp").agg(F.first("n").alias("n")))
+    by_token = Window.partitionBy("token")
+    shared = (spread.groupBy("token", "fp").agg(F.first("n").alias("n"))
+              .withColumn("classes", F.count("*").over(by_token)).where("classes > 1"))
     matrix = written(shared, "matrix")
-    size = matrix.groupBy("token").agg(F.count("*").alias("classes"))
-    few = written(matrix.join(size.where(F.col("classes").between(2, HOT)), "token"), "few")
-    many = written(matrix.join(size.where(F.col("classes") > HOT).select("token"), "token"), "many")
+    few = matrix.where(F.col("classes") <= HOT)
+    many = matrix.where(F.col("classes") > HOT).select("token", "fp")
 
     # Pairs of classes by the count of common indexed shingles.
     a, b = few.alias("a"), few.alias("b")

@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 4096 ids."""
-    return packing.pack(docs, packing.default_tokenizer())
+    return packing.pack(docs, packing.default_tokenizer(), cache_words=300_000)
 
 
 STAGES = [

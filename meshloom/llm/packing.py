@@ -36,8 +36,8 @@ from .common import read_table
 
 CAPACITY = 4096
 END = 2
-#: Ids held at once by a task: 16 MB.
-WINDOW_TOKENS = 4 << 20
+#: Ids held at once by a task: 8 MB.
+WINDOW_TOKENS = 2 << 20
 #: Words whose ids a task remembers.
 CACHE_WORDS = 800_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -50,15 +50,16 @@ class WordTokenizer:
     The tokenizer drops white space, never merges across it, lower-cases, and
     splits letters from punctuation, so a text's ids are those of its words in
     order, a word may be lower-cased first (A-Z), and a word of letters followed
-    by PUNCTUATION is its two parts. The table keeps the first CACHE_WORDS words
+    by PUNCTUATION is its two parts. The table keeps the first `limit` words
     that a Python worker meets; later ones are held for a batch only.
     """
 
     PUNCTUATION = ".,!?;:#*$%&|"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
+        self.limit = limit
         self.tok = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
@@ -87,7 +88,7 @@ class WordTokenizer:
         table = self.known
         if missing:
             got = self._learn(missing)
-            if len(self.known) + len(got) <= CACHE_WORDS:
+            if len(self.known) + len(got) <= self.limit:
                 self.known.update(got)
             else:
                 table = {w: got.get(w) or self.known.get(w, b"") for words in split for w in words}
@@ -95,14 +96,14 @@ class WordTokenizer:
         return [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in split]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, limit: int = CACHE_WORDS) -> WordTokenizer:
     """One tokenizer and table for each Python worker."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    if (path, limit) not in _tokenizers:
+        _tokenizers[path, limit] = WordTokenizer(path, limit)
+    return _tokenizers[path, limit]
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -196,15 +197,16 @@ class Packer:
                                           names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def _run(path: str, capacity: int):
+def _run(path: str, capacity: int, cache_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, packer, held = tokenizer(path), Packer(TaskContext.get().partitionId(), capacity), 0
+        tok, packer, held = tokenizer(path, cache_words), Packer(TaskContext.get().partitionId(), capacity), 0
         for b in batches:
-            docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo in range(0, len(docs), 256):
-                for doc, ids in zip(docs[lo:lo + 256], tok.encode(texts[lo:lo + 256])):
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                docs, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+                for doc, ids in zip(docs, tok.encode(texts)):
                     packer.add(doc, np.append(ids, np.uint32(END)))
                     held += len(ids) + 1
                 if held >= WINDOW_TOKENS:
@@ -221,11 +223,11 @@ def _run(path: str, capacity: int):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = CAPACITY) -> DataFrame:
+         capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece of a text: where it lies in its text and in its sequence,
     and the sequence's length (capacity, or a power of two)."""
     out = (docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-           .mapInArrow(_run(tokenizer_path, capacity), SCHEMA))
+           .mapInArrow(_run(tokenizer_path, capacity, cache_words), SCHEMA))
     return out.withColumnRenamed("doc_id", id_col)
 
 

@@ -50,7 +50,7 @@ def with_cloud(sql: str) -> str:
 
 
 def r6(e: str, name: str, digits: int = 6) -> str:
-    return f"round({e}, {digits}) + 0.0 AS {name}"
+    return f"round(CAST({e} AS DOUBLE), {digits}) + 0e0 AS {name}"
 
 
 def _pick(names, prefix="") -> str:

@@ -160,9 +160,13 @@ def stream_integrate(points, spark, sf_dir):
 
 @query()
 def io_roundtrip(points, spark, sf_dir):
-    """Quads of a grid as a PLY file, read back."""
-    vertices = points.where("pid < 100").selectExpr("pid AS root", "x", "y", "z", "nx", "ny", "nz")
-    faces = points.where("pid < 88 AND pid % 10 < 9").selectExpr("pid AS fid", "array(pid, pid + 1, pid + 11) AS verts")
+    """All points and the grid's triangles as a PLY file, read back. A triangle is
+    left out where one of its corners is no point."""
+    vertices = points.selectExpr("pid AS root", "x", "y", "z", "nx", "ny", "nz")
+    faces = points.where("pid % 10 < 9").selectExpr("pid AS fid", "pid + 1 AS b", "pid + 11 AS c")
+    for corner in "bc":
+        faces = faces.join(points.select(F.col("pid").alias(corner)), corner, "left_semi")
+    faces = faces.selectExpr("fid", "array(fid, b, c) AS verts")
     path = f"{shared_dir(spark)}/mesh-{uuid.uuid4().hex}.ply"
     write_ply(vertices, faces, path)
     return read_whole(spark, path)[0].select("pid", "x", "y", "z", "nx", "ny", "nz")

@@ -103,3 +103,10 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         load_scan(spark, f"{base}/d.foo")
     assert procedural_scan(spark, 0).count() == 13401 and procedural_scan(spark, 1).count() == 11000
+
+
+def test_io_roundtrip_takes_every_point(spark):
+    from meshloom.operators.tables import cloud
+
+    want = cloud(spark, SF).count()
+    assert want > 100 and registry.QUERIES["io_roundtrip"](spark, SF).count() == want

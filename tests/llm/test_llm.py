@@ -213,6 +213,12 @@ def test_line_dedup_odd(spark, odd, empty):
     assert linededup.strip_boilerplate(odd).count() == len(odd_rows()) and linededup.strip_boilerplate(empty).count() == 0
 
 
+def test_line_dedup_cuts_short_lines(spark):
+    rows = [(i, f"own line number {i} of this text\nMenu\n\nend {i}", "en", f"s{i}", 0) for i in range(12)]
+    out = linededup.strip_boilerplate(spark.createDataFrame(rows, DOCS))
+    assert {r.text for r in out.collect()} == {f"own line number {i} of this text\n\nend {i}" for i in range(12)}
+
+
 def test_decontamination_tolerates_substitutions(spark, odd, empty):
     item = " ".join(f"bench{i}" for i in range(30))
     w = item.split()

@@ -1,13 +1,14 @@
 """Operator 5 - line dedup by distinct-site spread.
 
 A line is boilerplate if it stands on at least MIN_SITES distinct sites (values of
-the site column) in different texts: exact copies of one text count as one site,
-the smallest, lest a page that was mirrored widely be cut to nothing. Every distinct line is known by a 64-bit hash of its trimmed
-text. Per hash a HyperLogLog sketch of its sites is built and merged by
+the site column) and in at least as many different texts; all sites of a text count,
+and the second condition keeps a page that was mirrored widely from being cut to
+nothing. Every distinct line is known by a 64-bit hash of its trimmed text. Per hash a HyperLogLog sketch of its sites is built and merged by
 aggregation, so a line that a third of all texts contain is a small sketch per
 map task before anything is shuffled. A sketch's estimate is trusted only away
 from the threshold: lines within MARGIN of it get an exact distinct count, from
-one row per (line, site). Boilerplate is then cut from the texts.
+one row per (line, site). Different texts are counted exactly, for lines on
+enough sites only. Boilerplate is then cut from the texts.
 
 The set of boilerplate lines is joined back to (line, text, position) rows with a
 salt on the hash, as one line may hold a large share of the rows; texts without
@@ -16,7 +17,8 @@ their id, which is unique.
 
 A line is a \\n-split part; lines that are empty after trimming are never
 boilerplate, all others are counted, however short. oracle() leaves out lines of
-fewer than MIN_CHARS characters, and differs where such a line is boilerplate. A null site is a site of its own.
+fewer than MIN_CHARS characters and counts only the smallest site of a text, and
+differs where that makes a line boilerplate or not. A null site is a site of its own.
 Null texts count as empty, and stay null where nothing is cut. Repeated rows with
 one id are treated alike, each keeps its row. A text of boilerplate alone becomes
 empty. Extra columns are kept.
@@ -49,11 +51,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
 
 def boilerplate(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
                 min_sites: int = MIN_SITES) -> DataFrame:
-    """(h, sites) of the lines on at least min_sites distinct sites."""
-    spots = _lines(docs, id_col, text_col, F.coalesce(F.col(site_col).cast("string"), F.lit("\0")).alias("site"),
-                   F.xxhash64(text_col).alias("whole"))
-    pairs = written(spots.groupBy("h", "whole").agg(F.min("site").alias("site")).groupBy("h", "site").agg(
-        F.count("*").alias("texts")), "line-sites")
+    """(h, sites) of the lines on at least min_sites distinct sites, in as many texts."""
+    spots = _lines(docs, id_col, text_col, F.coalesce(F.col(site_col).cast("string"), F.lit("\0")).alias("site"))
+    pairs = written(spots.select("h", "site").distinct(), "line-sites")
     spread = (pairs.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
               .select("h", F.hll_sketch_estimate("sketch").alias("estimate"))
               .where(F.col("estimate") >= min_sites * (1 - MARGIN)))
@@ -62,7 +62,19 @@ def boilerplate(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id
     close = spread.where(F.col("estimate") <= min_sites * (1 + MARGIN)).select("h")
     exact = (pairs.join(close, "h").groupBy("h").agg(F.count("*").alias("sites"))
              .where(F.col("sites") >= min_sites))
-    return sure.union(exact)
+    wide = written(sure.union(exact), "line-wide")
+    texts = (_salted(_lines(docs, id_col, text_col, F.xxhash64(text_col).alias("whole"))).join(_all_salts(wide), ["h", "salt"])
+             .select("h", "whole").distinct().groupBy("h").agg(F.count("*").alias("texts"))
+             .where(F.col("texts") >= min_sites))
+    return wide.join(texts, "h").select("h", "sites")
+
+
+def _salted(spots: DataFrame) -> DataFrame:
+    return spots.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+
+
+def _all_salts(lines: DataFrame) -> DataFrame:
+    return lines.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
 
 
 def strip_boilerplate(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
@@ -70,9 +82,8 @@ def strip_boilerplate(docs: DataFrame, site_col: str = "source", id_col: str = "
     """docs with boilerplate lines cut from text_col, and n_cut, the lines cut."""
     cols = docs.columns
     found = boilerplate(docs, site_col, id_col, text_col, min_sites).select("h")
-    salted = found.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    spots = _lines(docs, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    cuts = (spots.join(salted, ["h", "salt"]).groupBy("doc").agg(F.collect_set("pos").alias("__cut"))
+    spots = _salted(_lines(docs, id_col, text_col))
+    cuts = (spots.join(_all_salts(found), ["h", "salt"]).groupBy("doc").agg(F.collect_set("pos").alias("__cut"))
             .withColumnRenamed("doc", "__doc"))
     joined = docs.join(cuts, F.col(id_col) == F.col("__doc"), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("__cut", i)), "\n")

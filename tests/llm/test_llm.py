@@ -219,6 +219,14 @@ def test_line_dedup_cuts_short_lines(spark):
     assert {r.text for r in out.collect()} == {f"own line number {i} of this text\n\nend {i}" for i in range(12)}
 
 
+def test_line_dedup_counts_all_sites_of_a_text(spark):
+    texts = [f"own line number {i} of this text\nthe very same boilerplate line" for i in range(12)]
+    rows = [(i, t, "en", f"s{i}", 0) for i, t in enumerate(texts)] + [(100 + i, t, "en", "a-mirror", 0) for i, t in enumerate(texts)]
+    rows += [(200 + i, "a page that is mirrored widely", "en", f"s{i}", 0) for i in range(12)]
+    got = {r.doc_id: r.text for r in linededup.strip_boilerplate(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: t.split("\n")[0] for i, t, *_ in rows}
+
+
 def test_decontamination_tolerates_substitutions(spark, odd, empty):
     item = " ".join(f"bench{i}" for i in range(30))
     w = item.split()

@@ -14,7 +14,7 @@ characters that it stands for:
 
 The detectors run again over the result, and every span found is mapped back to
 the source characters it covers. Spans that overlap no base span are added; base
-spans always stay. Texts without any trigger of a transducer skip that part.
+spans always stay. Texts in which no transducer's own pattern is found skip that part.
 
 Detectors are linear in the text: a candidate is a maximal run, found once, so a
 very long run of digits or letters costs no more than other text. Everything
@@ -112,8 +112,8 @@ _ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES)) + "！-～]")
 _ONE = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]+)"
 _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ \-]+)?{_ONE}(?:[ \-.,]{{1,2}}{_ONE}){{3,}}(?![A-Za-z0-9])", re.IGNORECASE)
 _PIECE = re.compile(r"[A-Za-z]+|[0-9]")
-_BRACKET = re.compile(r"\s*[\[({<]\s*(at|@|dot|punkt|punto|point|\.)\s*[\])}>]\s*", re.IGNORECASE)
-_PLAIN = re.compile(r"[A-Za-z0-9._%+-]+( at )[A-Za-z0-9-]+((?: dot [A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.IGNORECASE)
+_BRACKET = re.compile(r"(?:(?<!\s)\s+)?[\[({<]\s*(at|@|dot|punkt|punto|point|\.)\s*[\])}>]\s*", re.IGNORECASE)
+_PLAIN = re.compile(r"[A-Za-z0-9._%+-]( at )[A-Za-z0-9-]+((?: dot [A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.IGNORECASE)
 
 
 class Tape:
@@ -187,17 +187,9 @@ def _at_dot(tape: Tape) -> Tape:
 
 
 def _triggers(t: str) -> bool:
-    low = t.lower()
-    if not t.isascii() and _ODD.search(t):
-        return True
-    if "at)" in low or "at]" in low or "at}" in low or "dot)" in low or "dot]" in low or "(@" in low or "[@" in low:
-        return True
-    if "at )" in low or "at ]" in low or "@)" in low or "@]" in low or "dot )" in low or "dot ]" in low or "at>" in low:
-        return True
-    if " dot " in low and " at " in low:
-        return True
-    words = set(low.replace("-", " ").split())
-    return len(words.intersection(_DIGIT_OF)) >= 2 or any(f"{w} {w} {w}" in low for w in words.intersection(_DIGIT_OF))
+    """True if any transducer would change the text; by their own patterns, as a
+    narrower test would lose spans."""
+    return bool(not t.isascii() and _ODD.search(t) or _BRACKET.search(t) or _PLAIN.search(t) or _SPELLED.search(t))
 
 
 def find(t: str) -> tuple[list[Span], list[Span]]:

@@ -5,7 +5,7 @@ memory-bounded batches and emit sorted, delta-coded, compressed blobs of (key,
 count), each for one range or hash bucket of keys; a bucket's blobs are merged by
 one task. The number of buckets follows the number of texts, so a merge stays
 small, and bigrams are dealt by the hash of the pair, so a word that is a third
-of all tokens is no hot key. Bigrams of MIN_COUNT or more are kept.
+of all tokens is no hot key. Every bigram is kept.
 
 Trie. Level 1 holds every word of the training texts: per shard an Elias-Fano
 sequence of sorted hashes (a word's rank is its id), exact counts, and a quantised
@@ -16,8 +16,10 @@ in the shared folder that every task maps into memory; nothing is unpacked.
 
 Querying. A batch's distinct words are found in level 1; a bigram is looked up by
 successor search in its context's range only, if the pointers say there is one.
-The score backs off: p(w|h) = (c(hw) - D) / c(h) if kept, else b(h) p(w), with
+The score backs off: p(w|h) = (c(hw) - D) / c(h) if seen, else b(h) p(w), with
 p(w) the additive estimate of the base score and b(h) normalising what is left.
+D = n1 / (n1 + 2 n2) is fitted for each shard of contexts, n1 and n2 its bigrams
+seen once and twice.
 
 Null and empty texts are the end token alone. A null id counts as held out. The
 two passes over training texts and the one over all texts read them whole;
@@ -41,8 +43,8 @@ from .common import new_path, read_table
 from .words import U, chunks, mix, word_hashes
 
 END = U(0x5B1D0F0E9E3779B9)
-MIN_COUNT = 4
-DISCOUNT = 1.0
+#: Bounds of the fitted discount, for shards with too few bigrams to fit it.
+DISCOUNTS = 0.1, 0.9
 #: Texts for each shard, and tokens that a task counts before it emits.
 SHARD_TEXTS = 4096
 BATCH_TOKENS = 3 << 20
@@ -391,12 +393,9 @@ def _count_pairs(meta: dict):
         def flush():
             hashes = np.concatenate(held)
             u, inv = np.unique(hashes, return_inverse=True)
-            ids = t.ids(u)
-            common = (t.counts(ids) >= MIN_COUNT)[inv]
-            ids = ids[inv]
+            ids = t.ids(u)[inv]
             ctx = np.concatenate(([end], ids[:-1]))
-            both = common & np.concatenate(([True], common[:-1]))
-            keys, counts = _summed((ctx[both] * t.size + ids[both]).astype(np.uint64))
+            keys, counts = _summed((ctx * t.size + ids).astype(np.uint64))
             b = (mix(keys.copy()) >> U(64 - t.log)).astype(np.int64)
             return _emit(keys, counts, b)
 
@@ -415,18 +414,23 @@ def _count_pairs(meta: dict):
     return run
 
 
-def _prune(meta: dict):
+def _deal(meta: dict):
+    """Totals of a bucket's bigrams, dealt to the shards of their contexts."""
+
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         t = trie(meta)
         keys, counts = _merged(pdf["blob"])
-        keep = counts >= MIN_COUNT
-        keys, counts = keys[keep], counts[keep]
         shards = t.shard_of((keys // U(max(1, t.size))).astype(np.int64))
         return _emit(keys, counts, shards).to_pandas()
 
     return run
 
 
+def _discount(counts: np.ndarray) -> float:
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    return min(max(once / max(1, once + 2 * twice), DISCOUNTS[0]), DISCOUNTS[1])
+
+
 def _build_pairs(meta: dict):
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         t, shard = trie(meta), int(key[0])
@@ -437,7 +441,7 @@ def _build_pairs(meta: dict):
         u, inv = np.unique(word, return_inverse=True)
         plain = 10 ** t.plain(t.counts(u))[inv]
         c1 = t.counts(ctx + t.starts[shard])
-        p = (counts - DISCOUNT) / c1
+        p = (counts - _discount(counts)) / c1
         left = 1 - np.bincount(ctx, p, n)
         rest = np.maximum(1 - np.bincount(ctx, plain, n), 1e-12)
         backoff = np.log10(np.maximum(left, 1e-12) / rest)
@@ -465,7 +469,7 @@ def fit(texts: DataFrame, text_col: str = "text") -> dict:
     sizes[words["shard"].to_numpy(np.int64) + 1] = words["n"]
     meta = {"base": base, "log": log, "starts": np.cumsum(sizes).tolist(), "total": int(words["total"].sum())}
     pairs = (texts.mapInArrow(_count_pairs(meta), "bucket long, blob binary").groupBy("bucket")
-             .applyInPandas(_prune(meta), "bucket long, blob binary").groupBy("bucket")
+             .applyInPandas(_deal(meta), "bucket long, blob binary").groupBy("bucket")
              .applyInPandas(_build_pairs(meta), "shard long, kept long")).toPandas()
     return meta | {"paired": sorted(pairs["shard"].tolist())}
 

@@ -322,6 +322,13 @@ def test_lm(spark, odd):
         assert 0.97 < total < 1.01
 
 
+def test_lm_keeps_bigrams_seen_once(spark):
+    t = lm.Trie(lm.fit(spark.createDataFrame([(i, f"left{i} right{i}") for i in range(50)], "doc_id long, text string")))
+    left, right = (t.ids(lm._tokens([f"{side}{i}".encode() for i in range(50)])[0][::2]) for side in ("left", "right"))
+    plain = t.plain(t.counts(right))
+    assert (left >= 0).all() and (t.scores(left, right, plain) > plain + 0.5).all()
+
+
 def test_toxicity(spark, odd, empty):
     rng = np.random.default_rng(2)
     word = lambda: f"{'abcdefgh'[rng.integers(8)]}{'lmnop'[rng.integers(5)]}{rng.integers(30)}er".translate(str.maketrans("0123456789", "qrstuvwxyz"))

@@ -132,7 +132,8 @@ def _words(text: str) -> set[tuple[str, str]]:
 
 
 def _dictionaries(rows: list[tuple[int, str, int]]) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary of (id, text, label) rows."""
+    """The ordinary and the toxic dictionary of (id, text, label) rows; the ordinary
+    one is trained on every window of all ordinary rows."""
     import zstandard as z
 
     seen: tuple[set, set] = (set(), set())
@@ -150,9 +151,9 @@ def _dictionaries(rows: list[tuple[int, str, int]]) -> tuple[bytes, bytes]:
     for _, text, label in rows:
         if not label:
             buf, spans, _ = _windows([text.encode().lower()])
-            samples += [buf[int(s):int(s + k)] for s, k in spans[:64]]
+            samples += [buf[int(s):int(s + k)] for s, k in spans]
     try:
-        ordinary = z.train_dictionary(ORDINARY_BYTES, samples[:50_000]).as_bytes()
+        ordinary = z.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
     except z.ZstdError:  # too few samples to train on
         ordinary = b"".join(samples)[:ORDINARY_BYTES]
     ordinary = ordinary or b" " * 64

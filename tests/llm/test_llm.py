@@ -348,6 +348,18 @@ def test_toxicity(spark, odd, empty):
     assert 0 <= toxicity.score(odd, toxicity.fit([])).first().score < 0.01
 
 
+def test_toxicity_trains_on_whole_texts_of_all_rows(monkeypatch):
+    import zstandard
+
+    seen = []
+    real = zstandard.train_dictionary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **k: (seen.append(samples), real(size, samples, **k))[1])
+    rows = [(i, " ".join(f"w{(i * 31 + j * 7) % 997}x" for j in range(1500)) + f" tail{i}", 0) for i in range(700)]
+    toxicity._dictionaries(rows)
+    windows = b" ".join(seen[0])
+    assert len(seen[0]) > 50_000 and all(f"tail{i}".encode() in windows for i in range(700))
+
+
 def test_pipeline(spark, odd, empty):
     import corpus_pipeline as C
     from meshloom.llm.common import written

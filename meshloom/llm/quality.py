@@ -10,6 +10,10 @@ Only DataFrame functions are used. Everything is computed inside a row, so no
 text is shuffled or exploded and a hot source or key cannot skew the work; the
 repeated-window measure sorts positions, n log n in the words of one text.
 
+Distinct words are counted in windows of VARIETY_WINDOW words and added up, as their
+share of a whole text falls with its length; the ledger's n_distinct_words is that
+of the whole text. The SQL judges the whole text.
+
 Null and empty texts have zero words and fail min_words. Ties and repeated rows
 are judged row by row. Columns besides id and text are ignored, or kept by
 `keep_passing`.
@@ -26,6 +30,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 #: Fixed values of the contract: symbols counted, window length.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Words of a window in which the variety of words is judged.
+VARIETY_WINDOW = 1000
 
 
 def let(value: Column, body) -> Column:
@@ -61,6 +67,14 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0).cast("long")).otherwise(let(windows, count))
 
 
+def _varied_words(words: Column) -> Column:
+    """Distinct words of each window of VARIETY_WINDOW words, added up; the last
+    window may be shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(VARIETY_WINDOW))
+    return F.aggregate(starts, F.lit(0).cast("long"), lambda acc, i: acc + F.size(
+        F.array_distinct(F.slice(words, i, F.lit(VARIETY_WINDOW)))))
+
+
 def _measures(text: Column) -> Column:
     def of(words: Column, t: Column) -> Column:
         lines = F.filter(F.split(t, "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "")
@@ -72,13 +86,14 @@ def _measures(text: Column) -> Column:
             _repeat_words(words).alias("n_repeat_words"),
             F.size(ls).cast("long").alias("n_lines"),
             F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
-            (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long").alias("n_shouts")))
+            (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
+            _varied_words(words).alias("n_varied_words")))
 
     return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(words_of(t), lambda w: of(w, t)))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words",
-            "n_shouts")
+            "n_shouts", "n_varied_words")
 #: Rule r fails a text where its condition holds; r is the bit. Append only.
 RULES = {
     "min_words": "n_words < 20",
@@ -87,7 +102,7 @@ RULES = {
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 12 * n_words",
     "repeated_lines": "2 * n_dup_lines > n_lines",
-    "few_distinct_words": "100 * n_distinct_words < 30 * n_words",
+    "few_distinct_words": "100 * n_varied_words < 30 * n_words",
     "shouting": "4 * n_shouts > n_words",
 }
 BITS = {name: 1 << r for r, name in enumerate(RULES)}
@@ -102,7 +117,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """id_col, the measurements and failure_bits, one row per row of docs."""
     m = docs.select(F.col(id_col), _measures(F.col(text_col)).alias("m")).select(id_col, "m.*")
     bits = sum((F.when(F.expr(cond), F.lit(BITS[name])).otherwise(F.lit(0)) for name, cond in RULES.items()), F.lit(0))
-    return m.withColumn("failure_bits", bits.cast("long"))
+    return m.withColumn("failure_bits", bits.cast("long")).drop("n_varied_words")
 
 
 def verdict(policy: str) -> Column:
@@ -150,7 +165,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "kept": verdict("v1")})
 
 
-_CONDITIONS = list(RULES.items())
+_CONDITIONS = list((RULES | {"few_distinct_words": "100 * n_distinct_words < 30 * n_words"}).items())
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents

@@ -221,6 +221,17 @@ def test_oracles(spark, name):
         c.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall(), key=str)
 
 
+def test_quality_keeps_long_varied_texts(spark):
+    rng = np.random.default_rng(5)
+    words = np.array([f"word{i}" for i in range(20_000)])
+    long = " ".join(words[rng.integers(0, len(words), 90_000)])
+    few = " ".join(words[rng.integers(0, 100, 90_000)])
+    docs = spark.createDataFrame([(1, long), (2, few), (3, long[:60_000])], "doc_id long, text string")
+    got = {r.doc_id: r.failure_bits & quality.BITS["few_distinct_words"] for r in quality.ledger(docs).collect()}
+    assert got[1] == 0 and got[2] != 0 and got[3] == 0
+    assert {r.doc_id for r in quality.keep_passing(docs).collect()} >= {1, 3}
+
+
 def test_line_dedup_odd(spark, odd, empty):
     rows = [(i, f"own line number {i} of this text\nthe very same boilerplate line\nend {i}", "en", f"s{i}", 0) for i in range(12)]
     out = linededup.strip_boilerplate(spark.createDataFrame(rows, DOCS))

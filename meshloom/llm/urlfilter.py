@@ -14,8 +14,11 @@ components; pages meet their class in a left join that adaptive execution can
 split when one URL holds many pages. Only DataFrame functions are used.
 
 Null urls and urls without "://" have an empty host and path and no rule. Null
-html has no edges. Relative targets are resolved against the page's host when
-they start with "/" and ignored otherwise. Repeated rows are answered each.
+html has no edges. A page's first canonical link and first refresh count, their
+attributes in any order. Relative targets, with "//" too, are resolved against the
+page's URL; those of a scheme without "://" (mailto:) are ignored. The SQL knows one
+order of the attributes and targets with "://" or a leading "/" only. Repeated rows
+are answered each.
 """
 
 from __future__ import annotations
@@ -29,8 +32,12 @@ from .graph import connected_components
 #: Fixed values of the contract: (host, path, action).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
          ("org", "/fr/", "allow"))
+#: Of the SQL.
 CANONICAL = r"""(?i)<link\b[^>]*\brel=["']?canonical["']?[^>]*\bhref=["']?([^"'>\s]+)"""
 REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv=["']?refresh["']?[^>]*\burl=["']?([^"'>\s]+)"""
+TAG = r"""(?i)<(?:link|meta)(?=[\s/])[^>]*"""
+#: One attribute with its value; quoted values are passed over whole.
+ATTRIBUTE = r"""[^\s"'<>/=]+\s*=\s*(?:"[^"]*"?|'[^']*'?|[^\s"'>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,16 +70,63 @@ def decide(rules, host: Column, path: Column) -> Column:
     return F.array_max(F.array(*fits))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name; empty without one."""
+    same = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)),
+                    lambda x: F.lower(F.regexp_extract(x, r"^([^\s=]+)", 1)) == name)
+    value = F.regexp_extract(F.coalesce(F.get(same, F.lit(0)), F.lit("")), r"(?s)^[^\s=]+\s*=\s*(.*)$", 1)
+    return F.trim(F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
+def _targets(html: Column) -> Column:
+    """Array of the targets of the first canonical link and the first refresh."""
+    tags = F.regexp_extract_all(html, F.lit(TAG), F.lit(0))
+    links = F.filter(tags, lambda t: F.startswith(F.lower(t), F.lit("<link")) & F.array_contains(
+        F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"))
+    metas = F.filter(tags, lambda t: F.startswith(F.lower(t), F.lit("<meta"))
+                     & (F.lower(_attribute(t, "http-equiv")) == "refresh"))
+    hrefs = F.transform(links, lambda t: _attribute(t, "href"))
+    urls = F.transform(metas, lambda t: F.regexp_extract(
+        _attribute(t, "content"), r"""(?i)^[\s0-9.]*[;,]?\s*url\s*=\s*["']?\s*([^"'\s]+)""", 1))
+    first = lambda x: F.coalesce(F.get(F.filter(x, lambda u: u != ""), F.lit(0)), F.lit(""))
+    return F.array(first(hrefs), first(urls))
+
+
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its . and .. segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), F.array().cast("array<string>"), lambda acc, x: F.when(
+        x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(
+            F.concat(acc, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"),
+                    F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(""))
+
+
+def resolved(src: Column, to: Column) -> Column:
+    """The target to of a page src as a URL; null if it is none."""
+    scheme = F.regexp_extract(src, r"^([^/?#]*?:)//", 1)
+    site = F.regexp_extract(src, r"^([^/?#]*?://[^/?#]*)", 1)
+    path = path_of(src)
+    query = F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(to, r"(?s)^([^?#]*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    full = F.when(F.startswith(to, F.lit("/")), own).otherwise(F.concat(folder, own))
+    return (F.when(F.regexp_like(to, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), to)
+            .when(F.regexp_like(to, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")) | (site == ""), None)
+            .when(F.startswith(to, F.lit("//")), F.concat(scheme, to))
+            .when(F.startswith(to, F.lit("#")), src)
+            .when(F.startswith(to, F.lit("?")), F.concat(site, path, to))
+            .otherwise(F.concat(site, _without_dots(full), query)))
+
+
 def edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst) URLs of redirect and canonical-link edges."""
     html = F.col(html_col)
     some = pages.where(F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("refresh")))
-    target = F.explode(F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1)))
-    found = some.select(F.col(url_col).alias("src"), target.alias("to")).where("to <> ''")
-    scheme = F.regexp_extract("src", r"^(.*?://[^/?#]*)", 1)
-    dst = F.when(F.contains("to", F.lit("://")), F.col("to")).when(
-        F.startswith("to", F.lit("/")), F.concat(scheme, F.col("to")))
-    return found.select("src", dst.alias("dst")).where("src is not null and dst is not null")
+    found = some.select(F.col(url_col).alias("src"), F.explode(_targets(html)).alias("to")).where("to <> ''")
+    return (found.select("src", resolved(F.col("src"), F.col("to")).alias("dst"))
+            .where("src is not null and dst is not null"))
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url",

@@ -283,6 +283,26 @@ def test_url_aliases(spark):
     assert got[5] == ("", None, "allow") and got[6] == ("", None, "allow") and got[7] == ("example.net", "example.net/en/", "allow")
 
 
+@pytest.mark.parametrize("html,want", [
+    ('<link href="http://bad.net/x" rel=canonical>', "http://bad.net/x"),
+    ("<LINK rel = 'nofollow canonical' title='a rel=x' href = 'http://bad.net/x'/>", "http://bad.net/x"),
+    ('<meta content="0; url=http://bad.net/x" http-equiv=refresh>', "http://bad.net/x"),
+    ("<meta http-equiv=\"Refresh\" content=\"5;URL='http://bad.net/x'\">", "http://bad.net/x"),
+    ('<link rel="canonical" href="//bad.net/x">', "https://bad.net/x"), ('<link rel=canonical href=q/r?s>', "https://a.org/b/q/r?s"),
+    ('<link rel=canonical href="../q">', "https://a.org/q"), ('<link rel=canonical href="/q/./r">', "https://a.org/q/r"),
+    ('<link rel=canonical href="?t">', "https://a.org/b/c?t"), ('<link rel=canonical href="/go?u=http://x.net/">', "https://a.org/go?u=http://x.net/"),
+    ('<link rel=canonical href="mailto:x@y.net">', None), ('<link rel=icon title="canonical" href="/i">', None)])
+def test_url_edges_in_any_form(spark, html, want):
+    pages = spark.createDataFrame([("https://a.org/b/c?d#e", html)], "url string, html string")
+    assert [r.dst for r in urlfilter.edges(pages).collect()] == ([want] if want else [])
+
+
+def test_url_block_reaches_reordered_alias(spark):
+    rows = [(1, "http://bad.net/x", '<link href="//a.example.org/y" rel = "canonical">'), (2, "https://a.example.org/y", None)]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block"}
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "u", "a"), (3, "v", "a"), (9, None, None), (8, "x", ""), (7, "y", "é" * 50_000)]
     out = warc.read_packages(warc.write_packages(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()

@@ -44,6 +44,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """The written tables of one job, by name; drop() deletes those that no later
+    step reads, so that a job holds no more disk than it needs."""
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.job, self.paths = spark, job, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = path = new_path(self.spark, f"{self.job}-{name}")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete_path(self.spark, self.paths.pop(name))
+
+
 def text_or_empty(col: str):
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -1,31 +1,45 @@
 """Operator 1 - n-gram Jaccard join by a token-group matrix.
 
-Every text becomes the set of its distinct k-word shingles (64-bit hashes). Texts
-with equal sets are one class from the start. Between classes:
-
-1. Order all shingles by (hot, hash), the same for every text. "Hot" are the
-   shingles that more than HOT texts show among their smallest hashes; the list
-   is shortened to at most MAX_HOT entries by raising that count, so that it can
-   be handed to every task. Any order gives the same links, a good one is faster.
-2. Index each class under its first |s| - ceil(t|s|) + l shingles, l = 1 + |s|/40.
-   Two sets with Jaccard >= t share at least min(l) of them.
-3. Shingles of few classes give pairs of classes with a count of common ones;
-   pairs under the bound fall away. Shingles of many classes never give pairs
-   of classes, only pairs of groups.
-4. Classes left over are range-partitioned by a key that similar ones share, and
-   cut into groups of at most GROUP_ROWS rows and GROUP_BYTES. A group stores its
-   members' sets, whose union are the token columns of the matrix. Group pairs
-   that a pair of step 3 or a common frequent shingle connects are opened: one
-   matrix product over the shingles in both groups gives every exact overlap.
-5. Each opened pair returns a spanning forest of its links (and each class's
-   number of links); distributed components finish the classes.
-
-Hashes stand for shingles and a set's 64-bit fingerprint for the set, as usual for
-this kind of join; the chance that a pair is judged wrongly is below 1e-9.
+Every text becomes the set of its distinct k-word shingles (64-bit hashes, the tokens).
+Texts with equal sets are one class from the start. Between classes:
+
+1. Order all tokens by (listed, frequency, hash), the same for every text. Listed are
+   those that more than HOT texts show among their smallest hashes; the list is
+   shortened to at most MAX_HOT entries by raising that count, so that it can be handed
+   to every task. Any order gives the same links, a good one is faster.
+2. Index each class under its first |s| - ceil(t|s|) + l tokens, l = 1 + |s|/40. Two
+   sets with Jaccard >= t share at least min(l) of them, so a class with fewer tokens
+   that another class has too is linked with nothing and falls away.
+3. Range-partition the classes left by their first shared token, which similar ones
+   have in common, and cut them into groups of at most GROUP_ROWS rows and GROUP_BYTES.
+4. Store each group's token union: one row for each of its index tokens, with the least
+   and largest size of the members that have it.
+5. Bound the overlap of a query class with a group by counting the query's tokens in
+   the union, members of unfit sizes left out. Under the l of 2. no member can be
+   linked, and the group stays closed.
+6. Open the groups that qualify: the texts of their members and queries meet in one
+   task, members first; queries stream by in blocks. One matrix product a block over
+   the tokens in both gives every exact overlap. Each block returns a spanning forest
+   of its links (and each class's number of links); distributed components finish.
+
+Skew. Copies of a text are one class before anything is shuffled by token. A token of
+the list, and every token of a class that consists mostly of listed ones, is dealt over
+SALTS parts of the index. A group's queries are dealt over as many tasks as they need,
+each with the group's members. The join of 5. is split by adaptive execution. A family
+of many thousand *different* near copies is still compared class by class, as the number
+of links asks for it: its work grows with the square of the family.
+
+Hashes stand for tokens and a set's 64-bit fingerprint for the set. A pair that is
+compared is judged wrongly with a chance below 1e-9; among N different sets N^2 / 2^65
+pairs of equal fingerprints are expected, 3 in a corpus of 10^10.
 
 Null texts and texts without words have an empty set, size 0, and are linked with
-nothing, not even each other: component_id is their own id. Rows without an id
-are kept with a null component. A repeated row is a copy like any other.
+nothing, not even each other: component_id is their own id. Rows without an id have a
+null component and no links. Rows are what is joined, not ids: repeated rows are copies
+like any other, and two texts of one id are two rows, each with its own links. Ties need
+no rule, as all links count. Texts of any length are processed whole; a set larger than
+GROUP_BYTES is a group of its own. An empty table gives no rows. Columns besides id and
+text are unused, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -33,22 +47,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import Shelf, read_table
 from .graph import connected_components
 from .words import shingle_sets
 
-#: A shingle of more classes than this is frequent.
+#: A token of more texts than this is listed.
 HOT = 32
-#: Most shingles in the list of hot ones: 4 MB.
+#: Most entries of the list: 6 MB.
 MAX_HOT = 500_000
+#: Parts of the index over which the classes of a listed token are dealt.
+SALTS = 16
 GROUP_ROWS = 256
 GROUP_BYTES = 2 << 20
+#: Queries of a group that one task takes.
+TASK_QUERIES = 2048
+#: Rows of (class, group) that are broadcast; beyond that the texts are shuffled.
+BROADCAST_ROWS = 1_000_000
+#: Tokens a task counts before it emits.
+COUNTED = 2 << 20
 
 
 def _need(n: int, num: int, den: int) -> int:
@@ -59,6 +80,10 @@ def _slack(n: int) -> int:
     return 1 + n // 40
 
 
+def _prefix(n: int, num: int, den: int) -> int:
+    return min(n, n - _need(n, num, den) + _slack(n))
+
+
 def _blobs(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
@@ -74,63 +99,124 @@ def _fp(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def _sketches(k: int, num: int, den: int):
-    """(id, n, fp, window): the smallest quarter of a set, for counting."""
+def _sketches(k: int):
+    """(id, n, fp) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
-            sizes, fps, windows = [], [], []
+            sizes, fps = [], []
             for s in shingle_sets(_blobs(b.column(1)), k):
-                n = len(s)
-                sizes.append(n)
-                fps.append(_fp(s) if n else None)
-                windows.append(s[: min(n, n - _need(n, num, den) + _slack(n) + n // 12)])
-            ends = np.concatenate(([0], np.cumsum([len(w) for w in windows]))).astype(np.int32)
-            flat = np.concatenate([*windows, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["id", "n", "fp", "window"])
+                sizes.append(len(s))
+                fps.append(_fp(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64())],
+                                             names=["id", "n", "fp"])
 
     return run
 
 
-def _index_rows(k: int, num: int, den: int, hot: bytes):
-    """(token, fp, n): the shingles under which a class is indexed."""
+def _window(n: int, num: int, den: int) -> int:
+    """Of how many of a set's smallest hashes the frequencies are counted."""
+    return min(n, _prefix(n, num, den) + n // 12)
+
+
+def _counted(k: int, num: int, den: int):
+    """(token, n): in how many texts of the task a token is among the smallest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.frombuffer(hot, np.uint64)
+        held, size = [], 0
+
+        def flush():
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], names=["token", "n"])
+
         for b in _sliced(batches):
-            tokens, fps, sizes, seen = [], [], [], set()
+            for s in shingle_sets(_blobs(b.column(0)), k):
+                held.append(s[:_window(len(s), num, den)].copy())
+                size += len(held[-1])
+            if size >= COUNTED:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _first(s: np.ndarray, p: int, listed: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first p tokens of a set in the global order, and how many aren't listed."""
+    if not len(listed):
+        return s[:p], p
+    for part in (s[:2 * p], s):
+        at = np.minimum(np.searchsorted(listed, part), len(listed) - 1)
+        hot = listed[at] == part
+        cold = part[~hot]
+        if len(cold) >= p:
+            return cold[:p], p
+    rest = part[hot]
+    rest = rest[np.lexsort((rest, counts[at[hot]]))]
+    return np.concatenate((cold, rest))[:p], len(cold)
+
+
+_INDEX_SCHEMA = "token long, salt int, fp long, n int"
+
+
+def _index_rows(k: int, num: int, den: int, listed: bytes, counts: bytes):
+    """(token, salt, fp, n): the tokens under which a class is indexed. Salt 0 holds the
+    classes of a token that is taken for rare; a salted token leaves one mark there,
+    of size 0, for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, freq = np.frombuffer(listed, np.uint64), np.frombuffer(counts, np.int64)
+        marked: set[int] = set()
+        for b in _sliced(batches):
+            tokens, salts, fps, sizes, seen = [], [], [], [], set()
             for s in shingle_sets(_blobs(b.column(0)), k):
                 n = len(s)
                 if not n or (fp := _fp(s)) in seen:
                     continue
                 seen.add(fp)
-                p = min(n, n - _need(n, num, den) + _slack(n))
-                if len(last):
-                    head = s[: min(n, 2 * p)]
-                    at = np.minimum(np.searchsorted(last, head), len(last) - 1)
-                    cold = last[at] != head
-                    if cold.sum() >= p or len(head) == n:
-                        s = np.concatenate((head[cold], head[~cold]))
-                    else:
-                        at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                        cold = last[at] != s
-                        s = np.concatenate((s[cold], s[~cold]))
-                tokens.append(s[:p])
-                fps.append(fp)
-                sizes.append((n, p))
-            counts = [p for _, p in sizes]
+                p = _prefix(n, num, den)
+                first, cold = _first(s, p, hot, freq)
+                # What follows a window full of listed tokens is as frequent, but not counted.
+                rare = len(hot) == 0 or int((hot[np.minimum(np.searchsorted(hot, w := s[:_window(n, num, den)]), len(hot) - 1)]
+                                             != w).sum()) >= p
+                salt = np.zeros(p, np.int32)
+                salt[cold if rare else 0:] = 1 + fp % SALTS
+                new = [t for t in first[salt > 0].tolist() if t not in marked]
+                marked.update(new)
+                for t, x, f, m in ((first, salt, fp, n), (np.array(new, np.uint64), np.zeros(len(new), np.int32), 0, 0)):
+                    tokens.append(t)
+                    salts.append(x)
+                    fps.append(np.full(len(t), f, np.int64))
+                    sizes.append(np.full(len(t), m, np.int32))
+            if len(marked) > COUNTED:
+                marked = set()
+
+            def column(parts, kind):
+                return pa.array(np.concatenate([*parts, np.empty(0, kind)]))
+
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*tokens, np.empty(0, np.uint64)]).view(np.int64)),
-                 pa.array(np.repeat(np.array(fps, np.int64), counts)),
-                 pa.array(np.repeat(np.array([n for n, _ in sizes], np.int32), counts))],
-                names=["token", "fp", "n"])
+                [pa.array(np.concatenate([*tokens, np.empty(0, np.uint64)]).view(np.int64)), column(salts, np.int32),
+                 column(fps, np.int64), column(sizes, np.int32)], names=["token", "salt", "fp", "n"])
 
     return run
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds group_id to sorted rows (fp, n)."""
+    from pyspark import TaskContext
+
+    group, rows, size = TaskContext.get().partitionId() << 32, 0, 0
+    for b in batches:
+        out = []
+        for n in b.column(1).to_pylist():
+            if rows == GROUP_ROWS or rows and size + 8 * n > GROUP_BYTES:
+                group, rows, size = group + 1, 0, 0
+            out.append(group)
+            rows, size = rows + 1, size + 8 * n
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["fp", "group_id"])
+
+
 def _links(one: list[np.ndarray], two: list[np.ndarray] | None, num: int, den: int):
     """Index pairs (i, j) of sets with Jaccard >= num/den; two=None: within one, i < j."""
     same = two is None
@@ -195,8 +281,6 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 _LINK = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 _DEG = pa.struct([("id", pa.int64()), ("links", pa.int64())])
-_GROUP_SCHEMA = ("group_id long, ids array<long>, copies array<long>, sizes array<long>, sets binary, "
-                 "forest array<struct<a:long,b:long>>, degrees array<struct<id:long,links:long>>")
 _OPEN_SCHEMA = "forest array<struct<a:long,b:long>>, degrees array<struct<id:long,links:long>>"
 
 
@@ -211,54 +295,60 @@ def _found(ids1, ids2, w1, w2, i, j):
             [{"id": k, "links": v} for k, v in deg.items()])
 
 
-def _groups(k: int, num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, serial = TaskContext.get().partitionId(), 0
-
-        def close(ids, copies, sets):
-            nonlocal serial
-            ids, copies = np.array(ids), np.array(copies)
-            i, j = _links(sets, None, num, den)
-            forest, degrees = _found(ids, ids, copies, copies, i, j)
-            serial += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + serial]), pa.array([ids.tolist()], pa.list_(pa.int64())),
-                 pa.array([copies.tolist()], pa.list_(pa.int64())),
-                 pa.array([[len(s) for s in sets]], pa.list_(pa.int64())),
-                 pa.array([np.concatenate(sets).tobytes()], pa.binary()),
-                 pa.array([forest], pa.list_(_LINK)), pa.array([degrees], pa.list_(_DEG))],
-                names=["group_id", "ids", "copies", "sizes", "sets", "forest", "degrees"])
-
-        ids, copies, sets, size = [], [], [], 0
-        for b in _sliced(batches):
-            for i, c, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(),
-                               shingle_sets(_blobs(b.column(2)), k)):
-                if ids and (len(ids) == GROUP_ROWS or size + s.nbytes > GROUP_BYTES):
-                    yield close(ids, copies, sets)
-                    ids, copies, sets, size = [], [], [], 0
-                ids.append(i)
-                copies.append(c)
-                sets.append(s)
-                size += s.nbytes
-        if ids:
-            yield close(ids, copies, sets)
+class _Block:
+    """Classes of one side: fingerprints, copies and sets."""
 
-    return run
+    def __init__(self):
+        self.fps, self.copies, self.sets, self.bytes, self.known = [], [], [], 0, set()
+
+    def add(self, fp: int, copies: int, s: np.ndarray) -> None:
+        if fp not in self.known:
+            self.known.add(fp)
+            self.fps.append(fp)
+            self.copies.append(copies)
+            self.sets.append(s)
+            self.bytes += s.nbytes
 
+    def full(self) -> bool:
+        return len(self.fps) >= GROUP_ROWS or self.bytes >= GROUP_BYTES
 
-def _opened(num: int, den: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                def sets(blob, sizes):
-                    return np.split(np.frombuffer(blob, np.uint64), np.cumsum(sizes)[:-1])
 
-                i, j = _links(sets(r.sets, r.sizes), sets(r.sets2, r.sizes2), num, den)
-                forest, degrees = _found(np.array(r.ids), np.array(r.ids2),
-                                         np.array(r.copies), np.array(r.copies2), i, j)
-                yield pd.DataFrame({"forest": [forest], "degrees": [degrees]})
+def _opened(k: int, num: int, den: int):
+    """Links within the groups and of their queries, from rows (group_id, salt, role, fp,
+    copies, text) sorted by the first four."""
+
+    def found(one: _Block, two: _Block | None):
+        i, j = _links(one.sets, two.sets if two else None, num, den)
+        two = two or one
+        forest, degrees = _found(np.array(one.fps), np.array(two.fps), np.array(one.copies), np.array(two.copies), i, j)
+        return pa.RecordBatch.from_arrays([pa.array([forest], pa.list_(_LINK)), pa.array([degrees], pa.list_(_DEG))],
+                                          names=["forest", "degrees"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, members, queries = None, None, _Block(), _Block()
+        for b in _sliced(batches, 256):
+            rows = zip(*(b.column(i).to_pylist() for i in range(5)), shingle_sets(_blobs(b.column(5)), k))
+            for group, salt, role, fp, copies, s in rows:
+                if (group, salt) != at:
+                    if queries.fps:
+                        yield found(queries, members)
+                    if members.fps and at[1] == 0:
+                        yield found(members, None)
+                    at, last, members, queries = (group, salt), None, _Block(), _Block()
+                if not len(s) or _fp(s) != fp or (role, fp) == last:
+                    continue  # another text of the same id, or a repeated row
+                last = role, fp
+                if role:
+                    queries.add(fp, copies, s.copy())
+                    if queries.full():
+                        yield found(queries, members)
+                        queries = _Block()
+                else:
+                    members.add(fp, copies, s.copy())
+        if queries.fps:
+            yield found(queries, members)
+        if members.fps and at[1] == 0:
+            yield found(members, None)
 
     return run
 
@@ -268,90 +358,84 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id_col, n_shingles, n_links (other rows with a
     Jaccard similarity of at least num/den), component_id (smallest id that links
     reach). See the module for the method and the special cases."""
-    spark = docs.sparkSession
+    shelf = Shelf(docs.sparkSession, "ngram-join")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(
-        base.mapInArrow(_sketches(k, num, den), "id long, n long, fp long, window array<long>"), "sketch")
+    named = base.where("id is not null")
+    sketch = shelf.put("sketch", base.mapInArrow(_sketches(k), "id long, n long, fp long"))
     classes = (sketch.where("fp is not null and id is not null").groupBy("fp")
                .agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    tokens = (sketch.where("id is not null").select(F.explode("window").alias("token"))
-              .groupBy("token").count())
 
-    # The hot list: counts over all texts; its length is checked before use.
-    counted = written(tokens.where(F.col("count") > HOT), "hot")
+    # The list: counts over all texts; its length is checked before use.
+    counted = shelf.put("counts", named.select("text").mapInArrow(_counted(k, num, den), "token long, n long")
+                        .groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > HOT))
     least = HOT
-    while counted.where(F.col("count") > least).count() > MAX_HOT:
+    while counted.where(F.col("n") > least).count() > MAX_HOT:
         least *= 2
-    rows = counted.where(F.col("count") > least).select("token").toArrow().column(0)
-    hot = np.sort(rows.to_numpy().astype(np.int64).view(np.uint64)).tobytes()
-
-    spread = (base.where("id is not null").select("text")
-              .mapInArrow(_index_rows(k, num, den, hot), "token long, fp long, n int")
-              .repartition("token"))
-    by_token = Window.partitionBy("token")
-    shared = (spread.groupBy("token", "fp").agg(F.first("n").alias("n"))
-              .withColumn("classes", F.count("*").over(by_token)).where("classes > 1"))
-    matrix = written(shared, "matrix")
-    few = matrix.where(F.col("classes") <= HOT)
-    many = matrix.where(F.col("classes") > HOT).select("token", "fp")
-
-    # Pairs of classes by the count of common indexed shingles.
-    a, b = few.alias("a"), few.alias("b")
-    pairs = written(
-        a.join(b, F.expr("a.token = b.token and a.fp < b.fp"))
-        .where(F.expr(f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"))
-        .groupBy(F.col("a.fp").alias("p"), F.col("b.fp").alias("q"))
-        .agg(F.count("*").alias("common"), F.first(F.least("a.n", "b.n")).alias("n"))
-        .where("common >= 1 + n div 40").select("p", "q"), "pairs")
-
-    # A locality key: the smallest partner; for frequent shingles the smallest class of the rarest.
-    near = (pairs.union(pairs.select(F.col("q").alias("p"), F.col("p").alias("q")))
-            .groupBy("p").agg(F.min("q").alias("near")))
-    fam = (many.groupBy("token").agg(F.min("fp").alias("fam"), F.count("*").alias("c")))
-    kin = (many.join(fam, "token").groupBy("fp")
-           .agg(F.min_by("fam", F.struct("c", "token")).alias("kin")))
-    cand = (kin.select("fp", F.col("kin").alias("key")).withColumn("w", F.lit(0))
-            .union(near.select(F.col("p").alias("fp"), F.least("p", "near").alias("key"), F.lit(1).alias("w")))
-            .groupBy("fp").agg(F.min_by("key", "w").alias("key")))
-    members = (cand.join(classes, "fp").select(F.col("rep").alias("id"), "fp", "key", "copies"))
-    texts = base.where("id is not null").join(members, "id").dropDuplicates(["id"])
-    groups = written(
-        texts.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-        .select("id", "copies", "text")
-        .mapInArrow(_groups(k, num, den), _GROUP_SCHEMA), "groups")
-
-    # Group pairs to open.
-    place = written(groups.select("group_id", F.explode("ids").alias("id"))
-                    .join(classes.select(F.col("rep").alias("id"), "fp"), "id").select("fp", "group_id"), "place")
-    by_pair = (pairs.join(place.select(F.col("fp").alias("p"), F.col("group_id").alias("g1")), "p")
-               .join(place.select(F.col("fp").alias("q"), F.col("group_id").alias("g2")), "q")
-               .select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")))
-    unions = many.join(place, "fp").select("token", "group_id").distinct()
-    by_token = (unions.select("token", F.col("group_id").alias("g1"))
-                .join(unions.select("token", F.col("group_id").alias("g2")), "token")
-                .select("g1", "g2"))
-    todo = by_pair.union(by_token).where("g1 < g2").distinct()
-    left = groups.select(F.col("group_id").alias("g1"), "ids", "copies", "sizes", "sets")
-    right = groups.select(F.col("group_id").alias("g2"), F.col("ids").alias("ids2"), F.col("copies").alias("copies2"),
-                          F.col("sizes").alias("sizes2"), F.col("sets").alias("sets2"))
-    crossed = written(
-        todo.join(left, "g1").join(right, "g2")
-        .select("ids", "copies", "sizes", "sets", "ids2", "copies2", "sizes2", "sets2")
-        .mapInPandas(_opened(num, den), _OPEN_SCHEMA), "opened")
-    results = groups.select("forest", "degrees").union(crossed)
-    edges = results.select(F.explode("forest").alias("e")).select("e.a", "e.b")
-    degrees = (results.select(F.explode("degrees").alias("d")).groupBy(F.col("d.id").alias("rep"))
+    hot = counted.where(F.col("n") > least).toArrow()
+    tokens, freq = (hot.column(c).to_numpy().astype(np.int64) for c in ("token", "n"))
+    tokens = tokens.view(np.uint64)
+    order = np.argsort(tokens)
+
+    # Tokens that two classes or more are indexed under.
+    by_token = Window.partitionBy("token", "salt")
+    index = (named.select("text")
+             .mapInArrow(_index_rows(k, num, den, tokens[order].tobytes(), freq[order].tobytes()), _INDEX_SCHEMA)
+             .repartition("token", "salt").groupBy("token", "salt", "fp").agg(F.first("n").alias("n"))
+             .withColumn("classes", F.count("*").over(by_token)).where("n > 0 and (salt > 0 or classes > 1)"))
+    index = shelf.put("index", index.select("token", "fp", "n", (F.col("salt") > 0).alias("often")))
+    shelf.drop("counts")
+
+    # Groups of the classes that share enough of them: the l of the smallest set that could be linked.
+    least_common = f"1 + ((n * {num} + {den - 1}) div {den}) div 40"
+    members = shelf.put("members", index.groupBy("fp").agg(
+        F.count("*").alias("shared"), F.first("n").alias("n"), F.min(F.struct("often", "token")).alias("key"))
+        .where(f"shared >= {least_common}").select("fp", "n", "key"))
+    place = shelf.put("place", members.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
+                      .select("fp", "n").mapInArrow(_grouped, "fp long, group_id long"))
+
+    # Token unions, and the bound on the overlap of a class with a group.
+    rows = shelf.put("rows", index.join(place, "fp").select("token", "fp", "n", "group_id"))
+    shelf.drop("index", "members")
+    unions = rows.groupBy("token", F.col("group_id").alias("union_id")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    queries = shelf.put("queries", rows.join(unions.hint("merge"), "token")
+                        .where(f"group_id < union_id and {num} * low <= {den} * n and {den} * high >= {num} * n")
+                        .groupBy("fp", "union_id").agg(F.count("*").alias("common"), F.first("n").alias("n"))
+                        .where(f"common >= {least_common}")
+                        .select("fp", F.col("union_id").alias("group_id")))
+    shelf.drop("rows")
+
+    # Who goes where: members to every part of their group, queries to one.
+    parts = (place.groupBy("group_id").agg(F.count("*").alias("m"))
+             .join(queries.groupBy("group_id").agg(F.count("*").alias("q")), "group_id", "left")
+             .where("m > 1 or q > 0")
+             .select("group_id", (1 + F.expr(f"coalesce(q, 0) div {TASK_QUERIES}")).cast("int").alias("parts")))
+    own = place.join(parts, "group_id").select(
+        "fp", "group_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role"))
+    asked = queries.join(parts, "group_id").select(
+        "fp", "group_id", F.pmod(F.hash("fp"), F.col("parts")).alias("salt"), F.lit(1).alias("role"))
+    sent = shelf.put("sent", own.union(asked).join(classes, "fp")
+                     .select(F.col("rep").alias("id"), "fp", "group_id", "salt", "role", "copies"))
+    shelf.drop("queries")
+    few = sent.count() <= BROADCAST_ROWS
+    opened = shelf.put("opened", named.join(F.broadcast(sent) if few else sent, "id")
+                       .repartition("group_id", "salt").sortWithinPartitions("group_id", "salt", "role", "fp")
+                       .select("group_id", "salt", "role", "fp", "copies", "text")
+                       .mapInArrow(_opened(k, num, den), _OPEN_SCHEMA))
+    shelf.drop("sent", "place")
+
+    edges = opened.select(F.explode("forest").alias("e")).select("e.a", "e.b")
+    degrees = (opened.select(F.explode("degrees").alias("d")).groupBy(F.col("d.id").alias("fp"))
                .agg(F.sum("d.links").alias("links")))
-    comp = connected_components(edges)
-
-    labels = (classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-              .join(degrees, "rep", "left")
-              .select("fp", F.coalesce("component", "rep").alias("component"),
+    nodes = connected_components(edges).join(classes, F.col("node") == F.col("fp")).select("fp", "component", "rep")
+    least_id = nodes.groupBy("component").agg(F.min("rep").alias("least"))
+    labels = (classes.join(nodes.join(least_id, "component").select("fp", "least"), "fp", "left")
+              .join(degrees, "fp", "left")
+              .select("fp", F.coalesce("least", "rep").alias("least"),
                       (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return (sketch.select("id", "n", "fp").join(labels, "fp", "left")
+    return (sketch.join(labels, "fp", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                    F.coalesce("component", "id").alias("component_id")))
+                    F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"),
+                    F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id")))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,76 +33,190 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .words import _BASE, TABLE, U, chunks, mix, power
 
 CAPACITY = 4096
 END = 2
 #: Ids held at once by a task: 8 MB.
 WINDOW_TOKENS = 2 << 20
-#: Words whose ids a task remembers.
-CACHE_WORDS = 800_000
+#: Pieces whose ids a worker remembers in each of two tables: 100 bytes each.
+CACHE_PIECES = 400_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "sequence_length long")
 
 
-class WordTokenizer:
-    """Ids of whole texts, by a table of ids for words between ASCII white space.
-
-    The tokenizer drops white space, never merges across it, lower-cases, and
-    splits letters from punctuation, so a text's ids are those of its words in
-    order, a word may be lower-cased first (A-Z), and a word of letters followed
-    by PUNCTUATION is its two parts. The table keeps the first `limit` words
-    that a Python worker meets; later ones are held for a batch only.
+class _Table:
+    """Pieces by two 64-bit hashes in open addressing, and their ids end to end."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size = limit, 0
+        self.mask = (1 << max(4, (2 * limit).bit_length())) - 1
+        self.key, self.check = (np.zeros(self.mask + 1, np.uint64) for _ in range(2))
+        self.at = np.full(self.mask + 1, -1, np.int64)
+        self.length = np.zeros(self.mask + 1, np.int32)
+        self.ids, self.used = np.zeros(4 * limit + 64, np.uint32), 0
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Slot of each piece, or -1."""
+        slot = (key & np.uint64(self.mask)).astype(np.int64)
+        hit = (self.key[slot] == key) & (self.check[slot] == check) & (self.at[slot] >= 0)
+        out = np.where(hit, slot, -1)
+        live = np.flatnonzero(~hit & (self.at[slot] >= 0))
+        while len(live):
+            s = slot[live] = (slot[live] + 1) & self.mask
+            hit = (self.key[s] == key[live]) & (self.check[s] == check[live]) & (self.at[s] >= 0)
+            out[live[hit]] = s[hit]
+            live = live[~hit & (self.at[s] >= 0)]
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Distinct pieces that find() doesn't know."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)))
+        self.ids[self.used:self.used + len(ids)] = ids
+        at = self.used + np.concatenate(([0], np.cumsum(lengths[:-1]))).astype(np.int64)
+        self.used, self.size = self.used + len(ids), self.size + len(key)
+        slot, live = (key & np.uint64(self.mask)).astype(np.int64), np.arange(len(key))
+        while len(live):
+            free = live[self.at[slot[live]] < 0]
+            _, one = np.unique(slot[free], return_index=True)
+            done = free[one]
+            s = slot[done]
+            self.key[s], self.check[s], self.at[s], self.length[s] = key[done], check[done], at[done], lengths[done]
+            left = np.ones(len(key), bool)
+            left[done] = False
+            live = live[left[live]]
+            slot[live] = (slot[live] + (self.at[slot[live]] >= 0)) & self.mask
+
+    def of(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of the pieces in the slots, end to end."""
+        n = self.length[slots]
+        ends = np.cumsum(n, dtype=np.int64)
+        return self.ids[np.repeat(self.at[slots] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+#: Bytes by class: 0 white space, 1 letters, 2 digits, 3 other signs, 4 what keeps a word whole.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[33:127] = 3
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[[39, 60]] = 4
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_OTHER = mix(np.arange(1001, 1257, dtype=np.uint64) * U(_BASE))[_FOLD]
+
+
+class PieceTokenizer:
+    """Ids of whole texts, by a table of ids for the pieces of their words.
+
+    The tokenizer drops white space, never merges across it, lower-cases, and takes
+    runs of letters, single digits and runs of other signs apart. So a text's ids are
+    those of its pieces in order, and variants of a word share them. Words with an
+    apostrophe or "<" (contractions, special tokens), control or non-ASCII characters
+    are pieces as a whole. Pieces are known by two 64-bit hashes, of A-Z folded bytes.
+
+    Two tables of at most `limit` pieces: what the younger lacks is looked up in the
+    older, then learnt; a full younger one becomes the older. Pieces without an
+    apostrophe or the like are learnt many in one text, whose ids part where a token ends
+    a piece.
     """
 
-    PUNCTUATION = ".,!?;:#*$%&|"
-
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
+    def __init__(self, path: str, limit: int = CACHE_PIECES):
         from tokenizers import Tokenizer
 
-        self.limit = limit
-        self.tok = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        parts: dict[bytes, tuple[str, ...]] = {}
-        for w in words:
-            text = w.decode()
-            stem = text.rstrip(self.PUNCTUATION)
-            parts[w] = (stem, text[len(stem):]) if stem != text and stem.isalpha() else (text,)
-        fresh = list({x for p in parts.values() for x in p if x.encode() not in self.known})
-        new: dict[str, bytes] = {}
-        for lo in range(0, len(fresh), 4096):
-            some = fresh[lo:lo + 4096]
-            for x, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                new[x] = np.array(e.ids, np.uint32).tobytes()
-        got = {x.encode(): ids for x, ids in new.items()}
-        look = self.known.get
-        for w, p in parts.items():
-            if w not in got:
-                got[w] = b"".join(got.get(k) or look(k, b"") for k in (x.encode() for x in p))
-        return got
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().lower().split() for t in texts]
-        missing = {w for words in split for w in words}.difference(self.known)
-        table = self.known
-        if missing:
-            got = self._learn(missing)
-            if len(self.known) + len(got) <= self.limit:
-                self.known.update(got)
+        self.tok, self.limit = Tokenizer.from_file(path), limit
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.closes[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.young, self.old = _Table(limit), _Table(0)
+
+    def _learn(self, pieces: list[bytes], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, end to end, and how many each has."""
+        plain = np.flatnonzero(~whole)
+        blocks = [plain[lo:lo + 512] for lo in range(0, len(plain), 512)]
+        got = self.tok.encode_batch_fast([b" ".join([pieces[i] for i in b]).decode() for b in blocks], add_special_tokens=False)
+        found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(pieces)
+        alone = np.flatnonzero(whole).tolist()
+        for block, e in zip(blocks, got):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(block):
+                for i, lo, hi in zip(block.tolist(), [0, *ends.tolist()], ends.tolist()):
+                    found[i] = ids[lo:hi]
             else:
-                table = {w: got.get(w) or self.known.get(w, b"") for words in split for w in words}
-        get = table.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in split]
-
-
-_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
-
-
-def tokenizer(path: str, limit: int = CACHE_WORDS) -> WordTokenizer:
+                alone += block.tolist()
+        for lo in range(0, len(alone), 4096):
+            some = alone[lo:lo + 4096]
+            for i, e in zip(some, self.tok.encode_batch_fast([pieces[i].decode() for i in some], add_special_tokens=False)):
+                found[i] = np.array(e.ids, np.uint32)
+        return np.concatenate([*found, np.empty(0, np.uint32)]), np.fromiter(map(len, found), np.int32, len(found))
+
+    def _known(self, key: np.ndarray, check: np.ndarray, piece, whole: np.ndarray) -> np.ndarray:
+        """Slots in the younger table, after what it lacks was learnt; piece(i) gives bytes."""
+        slots = self.young.find(key, check)
+        lack = np.flatnonzero(slots < 0)
+        if len(lack):
+            _, one = np.unique(key[lack], return_index=True)
+            new = lack[one]
+            if self.young.size + len(new) > self.young.limit:
+                self.old, self.young = self.young, _Table(max(self.limit, len(key)))
+                return self._known(key, check, piece, whole)
+            had = self.old.find(key[new], check[new])
+            got = new[had >= 0]
+            if len(got):
+                self.young.add(key[got], check[got], self.old.of(had[had >= 0]), self.old.length[had[had >= 0]])
+            new = new[had < 0]
+            if len(new):
+                self.young.add(key[new], check[new], *self._learn([piece(i) for i in new.tolist()], whole[new]))
+            slots[lack] = self.young.find(key[lack], check[lack])
+        return slots
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        joined = b"\n".join(texts) + b"\n"
+        buf = np.frombuffer(joined, np.uint8)
+        up, down = power(len(buf) + 1)
+        kind = _KIND[buf]
+        space = kind == 0
+        word = np.empty(len(buf), bool)
+        word[0] = not space[0]
+        np.not_equal(space[1:], space[:-1], out=word[1:])
+        words = np.flatnonzero(word)  # starts and ends of words in turn
+        odd = np.add.reduceat(kind == 4, words[0::2], dtype=np.int64) if len(words) else np.empty(0, np.int64)
+        cut = np.empty(len(buf), bool)
+        cut[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        cut |= kind == 2
+        whole_word = odd > 0
+        for lo, hi in words.reshape(-1, 2)[whole_word].tolist():
+            cut[lo + 1:hi] = False
+        cut[words] = True
+        at = np.flatnonzero(cut)
+        stop = np.append(at[1:], len(buf))
+        real = kind[at] != 0
+        start, end = at[real], stop[real]
+        whole = whole_word[np.searchsorted(words[0::2], start, side="right") - 1] if len(words) else np.empty(0, bool)
+        total, other = np.zeros(len(buf) + 1, np.uint64), np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(TABLE[buf] * up[:len(buf)], out=total[1:])
+        np.cumsum(_OTHER[buf], out=other[1:])
+        key, check = mix((total[end] - total[start]) * down[start]), other[end] - other[start]
+        slots = self._known(key, check, lambda i: joined[start[i]:end[i]].lower(), whole)
+        if (self.young.check[slots] != check).any() or (slots < 0).any():  # one hash, two pieces
+            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        ids = self.young.of(slots)
+        bounds = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        ends = np.concatenate(([0], np.cumsum(self.young.length[slots], dtype=np.int64)))
+        return np.split(ids, ends[np.searchsorted(start, bounds[:-1])]) if texts else []
+
+
+_tokenizers: dict[tuple[str, int], PieceTokenizer] = {}
+
+
+def tokenizer(path: str, limit: int = CACHE_PIECES) -> PieceTokenizer:
     """One tokenizer and table for each Python worker."""
     if (path, limit) not in _tokenizers:
-        _tokenizers[path, limit] = WordTokenizer(path, limit)
+        _tokenizers[path, limit] = PieceTokenizer(path, limit)
     return _tokenizers[path, limit]
 
 
@@ -142,7 +256,7 @@ class Packer:
     def _sequence(self, pieces: list[tuple]) -> None:
         offset, size = 0, sum(len(p[3]) for p in pieces)
         for doc, start, total, ids in pieces:
-            self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next, offset, size))
+            self.rows.append((doc, start, len(ids), zlib.crc32(ids), total, self.next, offset, size))
             offset += len(ids)
         self.next += 1
 
@@ -197,16 +311,15 @@ class Packer:
                                           names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def _run(path: str, capacity: int, cache_words: int):
+def _run(path: str, capacity: int, cache_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, packer, held = tokenizer(path, cache_words), Packer(TaskContext.get().partitionId(), capacity), 0
+        tok, packer, held = tokenizer(path, cache_pieces), Packer(TaskContext.get().partitionId(), capacity), 0
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                docs, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(docs, tok.encode(texts)):
+            docs, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            for lo, hi in chunks(texts):
+                for doc, ids in zip(docs[lo:hi], tok.encode(texts[lo:hi])):
                     packer.add(doc, np.append(ids, np.uint32(END)))
                     held += len(ids) + 1
                 if held >= WINDOW_TOKENS:
@@ -223,11 +336,11 @@ def _run(path: str, capacity: int, cache_words: int):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
+         capacity: int = CAPACITY, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """One row per piece of a text: where it lies in its text and in its sequence,
     and the sequence's length (capacity, or a power of two)."""
     out = (docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-           .mapInArrow(_run(tokenizer_path, capacity, cache_words), SCHEMA))
+           .mapInArrow(_run(tokenizer_path, capacity, cache_pieces), SCHEMA))
     return out.withColumnRenamed("doc_id", id_col)
 
 

@@ -39,13 +39,13 @@ def _byte_table() -> np.ndarray:
     return values
 
 
-_TABLE = _byte_table()
+TABLE = _byte_table()
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n:
         for key, base in (("up", _BASE), ("down", _INV)):
             steps = np.full(n, base, dtype=np.uint64)
@@ -70,7 +70,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for n texts n + 1 offsets into them."""
     joined = b"\n".join(texts) + b"\n"
     buf = np.frombuffer(joined, dtype=np.uint8)
-    up, down = _power(max(len(buf) + 1, CHUNK + 65536))
+    up, down = power(max(len(buf) + 1, CHUNK + 65536))
     space = _SPACE[buf]
     edge = np.empty(len(buf), bool)
     edge[0] = not space[0]
@@ -79,7 +79,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end = at[0::2], at[1::2]
     total = np.empty(len(buf) + 1, dtype=np.uint64)
     total[0] = 0
-    np.cumsum(_TABLE[buf] * up[: len(buf)], out=total[1:])
+    np.cumsum(TABLE[buf] * up[: len(buf)], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start])
     lens = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     bounds = np.concatenate(([0], np.cumsum(lens)))

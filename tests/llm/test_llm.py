@@ -137,7 +137,7 @@ def test_packing(spark, empty):
     pieces_ok(QUERIES["op2_packing"](spark, SF).collect(), dict(docs.select("doc_id", "text").collect()), tok)
     texts = {0: None, 1: "", 2: "<|endoftext|> x <|startoftext|>y", 3: "Ünïcode ﬁ İ don't\x1cstop á ...!!", 4: "word " * 9000, 5: "　Ｗide"}
     pieces_ok(packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), packing.default_tokenizer(),
-                           cache_words=3).collect(), texts, tok)
+                           cache_pieces=3).collect(), texts, tok)
     assert packing.pack(empty, packing.default_tokenizer()).count() == 0
 
 

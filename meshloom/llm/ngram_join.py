@@ -100,7 +100,7 @@ def _fp(s: np.ndarray) -> int:
 
 
 def _sketches(k: int):
-    """(id, n, fp) of every row."""
+    """(id, n, fp, text_hash) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
@@ -108,8 +108,9 @@ def _sketches(k: int):
             for s in shingle_sets(_blobs(b.column(1)), k):
                 sizes.append(len(s))
                 fps.append(_fp(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64())],
-                                             names=["id", "n", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), b.column(2)],
+                names=["id", "n", "fp", "text_hash"])
 
     return run
 
@@ -353,15 +354,14 @@ def _opened(k: int, num: int, den: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
-                    num: int = 85, den: int = 100) -> DataFrame:
-    """One row per row of docs: id_col, n_shingles, n_links (other rows with a
-    Jaccard similarity of at least num/den), component_id (smallest id that links
-    reach). See the module for the method and the special cases."""
+def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """(id, text_hash, n, n_links, least, component) of every row: component is the
+    fingerprint that names the component, null for an empty set; least its smallest id."""
     shelf = Shelf(docs.sparkSession, "ngram-join")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     named = base.where("id is not null")
-    sketch = shelf.put("sketch", base.mapInArrow(_sketches(k), "id long, n long, fp long"))
+    sketch = shelf.put("sketch", base.select("id", "text", F.xxhash64("text")).mapInArrow(
+        _sketches(k), "id long, n long, fp long, text_hash long"))
     classes = (sketch.where("fp is not null and id is not null").groupBy("fp")
                .agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
 
@@ -428,14 +428,40 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .agg(F.sum("d.links").alias("links")))
     nodes = connected_components(edges).join(classes, F.col("node") == F.col("fp")).select("fp", "component", "rep")
     least_id = nodes.groupBy("component").agg(F.min("rep").alias("least"))
-    labels = (classes.join(nodes.join(least_id, "component").select("fp", "least"), "fp", "left")
+    labels = (classes.join(nodes.join(least_id, "component").select("fp", "component", "least"), "fp", "left")
               .join(degrees, "fp", "left")
-              .select("fp", F.coalesce("least", "rep").alias("least"),
+              .select("fp", F.coalesce("component", "fp").alias("component"), F.coalesce("least", "rep").alias("least"),
                       (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return (sketch.join(labels, "fp", "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"),
-                    F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id")))
+    return sketch.join(labels, "fp", "left").select(
+        "id", "text_hash", "n", "component", F.coalesce("least", "id").alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
+                    num: int = 85, den: int = 100) -> DataFrame:
+    """One row per row of docs: id_col, n_shingles, n_links (other rows with a
+    Jaccard similarity of at least num/den), component_id (smallest id that links
+    reach). See the module for the method and the special cases."""
+    return _joined(docs, id_col, text_col, k, num, den).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("id").isNull(), 0).otherwise(F.col("n_links")).alias("n_links"),
+        F.when(F.col("id").isNotNull(), F.col("least")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
+             num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each component: that with the smallest id, then the smallest
+    hash of its text, then the smallest columns in their order. Rows of one id with
+    different texts are told apart; rows without an id or with an empty set all stay."""
+    rows = _joined(docs, id_col, text_col, k, num, den).where("id is not null")
+    first = (rows.where("component is not null").groupBy("component")
+             .agg(F.min(F.struct("id", "text_hash")).alias("first")).select("first.*").distinct())
+    empty = rows.where("component is null").select("id", "text_hash").distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"),
+                      F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    key = ["id", "text_hash"]
+    one = row.join(first, key, "left_semi").groupBy(*key).agg(F.min("row").alias("row"))
+    rest = row.join(empty, key, "left_semi").unionByName(row.where("id is null"))
+    return one.select("row.*").union(rest.select("row.*"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,12 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     docs = docs.withColumns({c: F.lit("x") for c in ("id", "fp", "n", "token", "group_id", "rep", "salt")})
     assert result(ngram_join.jaccard_classes(docs)) == [(1, 3, 1, 1), (2, 3, 1, 1)]
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(0, a + " more", "x"), (1, a, "x"), (1, b, "y"), (1, b, "x"), (5, "", "x"), (5, "", "y"), (6, None, "z"),
+            (None, a, "n"), (2, b, "z"), (7, "two words", "x"), (8, "two words", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    want = [rows[i] for i in (0, 3, 4, 5, 6, 7, 9)]
+    assert sorted(map(tuple, ngram_join.keep_one(docs).collect()), key=str) == sorted(want, key=str)

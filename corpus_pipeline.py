@@ -32,12 +32,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five-word
-    shingles, Jaccard similarity of 0.8 or more)."""
-    classes = ngram_join.jaccard_classes(docs, k=5, num=80, den=100)
-    keep = classes.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    """One document of each group of near duplicates (five-word shingles, Jaccard
+    similarity of 0.8 or more), that with the smallest id."""
+    return ngram_join.keep_one(docs, k=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

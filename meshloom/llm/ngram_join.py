@@ -12,11 +12,13 @@ Texts with equal sets are one class from the start. Between classes:
    that another class has too is linked with nothing and falls away.
 3. Range-partition the classes left by their first shared token, which similar ones
    have in common, and cut them into groups of at most GROUP_ROWS rows and GROUP_BYTES.
-4. Store each group's token union: one row for each of its index tokens, with the least
-   and largest size of the members that have it.
-5. Bound the overlap of a query class with a group by counting the query's tokens in
-   the union, members of unfit sizes left out. Under the l of 2. no member can be
-   linked, and the group stays closed.
+4. Store each group's token union: one row for each index token of its members, and
+   the least and largest size of its members. Tokens that stand in exactly the same
+   groups are one column of this matrix (known by a 128-bit signature of the groups),
+   so that what a large family has in common is one row a group.
+5. Bound the overlap of a query class with a group of fitting sizes by counting the
+   query's tokens in the union. Under the l of 2. no member can be linked, and the group
+   stays closed.
 6. Open the groups that qualify: the texts of their members and queries meet in one
    task, members first; queries stream by in blocks. One matrix product a block over
    the tokens in both gives every exact overlap. Each block returns a spanning forest
@@ -66,8 +68,8 @@ GROUP_ROWS = 256
 GROUP_BYTES = 2 << 20
 #: Queries of a group that one task takes.
 TASK_QUERIES = 2048
-#: Rows of (class, group) that are broadcast; beyond that the texts are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows of (class, group) that are broadcast, 24 MB; beyond that the texts are shuffled.
+BROADCAST_ROWS = 200_000
 #: Tokens a task counts before it emits.
 COUNTED = 2 << 20
 
@@ -393,16 +395,27 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     place = shelf.put("place", members.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
                       .select("fp", "n").mapInArrow(_grouped, "fp long, group_id long"))
 
-    # Token unions, and the bound on the overlap of a class with a group.
+    # Token unions: the tokens of each group that another group has too. Tokens of exactly
+    # the same groups are one signature, so that a family's common tokens count at once.
     rows = shelf.put("rows", index.join(place, "fp").select("token", "fp", "n", "group_id"))
     shelf.drop("index", "members")
-    unions = rows.groupBy("token", F.col("group_id").alias("union_id")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    queries = shelf.put("queries", rows.join(unions.hint("merge"), "token")
+    sizes = rows.groupBy("group_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    union = shelf.put("union", rows.select("token", "group_id").distinct())
+    mark = [F.bit_xor(F.xxhash64(F.lit(x), "group_id")).alias(f"sig{x}") for x in (1, 2)]
+    signed = shelf.put("signed", union.groupBy("token").agg(F.count("*").alias("groups"), *mark)
+                       .where("groups > 1").drop("groups"))
+    sig = ["sig1", "sig2"]
+    unions = union.join(signed, "token").select(*sig, "group_id").distinct().join(sizes, "group_id").select(
+        *sig, F.col("group_id").alias("union_id"), "low", "high")
+
+    # The bound on the overlap of a class with a group.
+    weights = rows.join(signed, "token").groupBy("fp", "n", "group_id", *sig).agg(F.count("*").alias("w"))
+    queries = shelf.put("queries", weights.join(unions.hint("merge"), sig)
                         .where(f"group_id < union_id and {num} * low <= {den} * n and {den} * high >= {num} * n")
-                        .groupBy("fp", "union_id").agg(F.count("*").alias("common"), F.first("n").alias("n"))
+                        .groupBy("fp", "union_id").agg(F.sum("w").alias("common"), F.first("n").alias("n"))
                         .where(f"common >= {least_common}")
                         .select("fp", F.col("union_id").alias("group_id")))
-    shelf.drop("rows")
+    shelf.drop("rows", "union", "signed")
 
     # Who goes where: members to every part of their group, queries to one.
     parts = (place.groupBy("group_id").agg(F.count("*").alias("m"))

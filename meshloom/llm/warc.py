@@ -16,9 +16,13 @@ over tasks, and each task reads only its range, record by record.
 Paths are in the shared folder and opened by pyarrow's file systems, so any
 store that executors share will do. Memory is bounded by a record and a range.
 
-Null html is an empty payload; a null url is written as an empty target. Rows
-with the same page id each give a record; a null id is kept, and revisits name
-the smallest id that isn't null. Other columns are unused.
+Null html is an empty payload; a null url is written as an empty target. Every row
+gives a record, decided by its payload's digest and its id, never by the id alone: of
+repeated rows with the smallest id of their payload each is a response; all other rows
+of that payload, those without an id too, revisit it. If no row of a payload has an id,
+all are responses. Ties of the URL that a revisit names go to the smallest. A payload of
+any length is one record, held whole by one task. An empty table gives no package and no
+rows. Other columns are unused, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -39,11 +43,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, read_table, written
+from .common import Shelf, new_path, read_table
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 PACKAGE_BYTES = 256 << 20
 RANGE_BYTES = 4 << 20
+#: Digests of repeated payloads that are broadcast, some 30 MB; beyond that the pages are shuffled by digest.
+BROADCAST_ROWS = 200_000
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
@@ -243,20 +249,20 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                    min_bytes: int = 0) -> DataFrame:
     """Write all pages; returns the manifest, one row (package) for each file.
     Payloads of at least min_bytes are written once."""
-    spark = pages.sparkSession
-    mark = F.sha1(F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8"))
-    size = F.octet_length(F.coalesce(F.col(html_col), F.lit("")))
-    marks = written(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("u"), mark.alias("m"),
-                                 size.alias("size")), "digests")
-    firsts = (marks.where((F.col("size") >= min_bytes) & F.col("id").isNotNull()).groupBy("m")
-              .agg(F.min_by("u", "id").alias("first_url"), F.min("id").alias("first"), F.count("*").alias("n"))
-              .where("n > 1"))
-    copies = (marks.join(firsts, "m").where("id <> first").select(F.col("id").alias("copy"), "first", "first_url")
-              .dropDuplicates(["copy"]))
-    todo = (pages.join(copies, F.col(id_col).cast("long") == F.col("copy"), "left")
-            .select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
-                    "first", "first_url"))
-    return written(todo.mapInPandas(_write(new_path(spark, "packages")), "package string"), "manifest")
+    shelf = Shelf(pages.sparkSession, "warc")
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    page = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"),
+                        F.sha1(F.encode(html, "UTF-8")).alias("mark"))
+    # One row for each payload of several pages; copies meet as counts before the shuffle.
+    firsts = shelf.put("firsts", page.where(F.octet_length("html") >= min_bytes).groupBy("mark").agg(
+        F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("first"), F.count("*").alias("n"))
+        .where("n > 1 and first is not null")
+        .select("mark", F.col("first.id").alias("first"), F.col("first.url").alias("first_url")))
+    few = firsts.count() <= BROADCAST_ROWS
+    todo = page.join(F.broadcast(firsts) if few else firsts, "mark", "left")
+    other = F.col("id").isNull() | (F.col("id") != F.col("first"))
+    todo = todo.select("id", "url", "html", F.when(other, F.col("first")).alias("first"), "first_url")
+    return shelf.put("manifest", todo.mapInPandas(_write(new_path(pages.sparkSession, "packages")), "package string"))
 
 
 def read_packages(manifest: DataFrame) -> DataFrame:

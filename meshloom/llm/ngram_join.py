@@ -64,9 +64,10 @@ HOT = 32
 MAX_HOT = 500_000
 #: Parts of the index over which the classes of a listed token are dealt.
 SALTS = 16
-GROUP_ROWS = 256
-GROUP_BYTES = 2 << 20
-#: Queries of a group that one task takes.
+GROUP_ROWS = 1024
+GROUP_BYTES = 8 << 20
+#: Queries compared with a group at once, and those that one task takes.
+BLOCK_ROWS, BLOCK_BYTES = 256, 2 << 20
 TASK_QUERIES = 2048
 #: Rows of (class, group) that are broadcast, 24 MB; beyond that the texts are shuffled.
 BROADCAST_ROWS = 200_000
@@ -313,7 +314,7 @@ class _Block:
             self.bytes += s.nbytes
 
     def full(self) -> bool:
-        return len(self.fps) >= GROUP_ROWS or self.bytes >= GROUP_BYTES
+        return len(self.fps) >= BLOCK_ROWS or self.bytes >= BLOCK_BYTES
 
 
 def _opened(k: int, num: int, den: int):

@@ -14,21 +14,25 @@ quantised log probabilities: monotone pointers from contexts to ranges and the
 successors as one monotone sequence per shard, both Elias-Fano. Shards are files
 in the shared folder that every task maps into memory; nothing is unpacked.
 
-Querying. A batch's distinct words are found in level 1; a bigram is looked up by
-successor search in its context's range only, if the pointers say there is one.
+Querying. A batch's distinct words are found in level 1. A context's two pointers give
+the range of its successors, and a bigram is searched in that range only.
 The score backs off: p(w|h) = (c(hw) - D) / c(h) if seen, else b(h) p(w), with
 p(w) the additive estimate of the base score and b(h) normalising what is left.
 D = n1 / (n1 + 2 n2) is fitted for each shard of contexts, n1 and n2 its bigrams
 seen once and twice.
 
-Null and empty texts are the end token alone. A null id counts as held out. The
-two passes over training texts and the one over all texts read them whole;
-repeated rows count each. Other columns are unused.
+Null and empty texts are the end token alone, texts of any length are read whole. A null
+id counts as held out. Repeated rows count each, in learning and in scoring; ties need
+no rule. Learning from an empty table gives a trie without words, under which every
+token has the additive estimate alone; scoring one gives no rows. Other columns are
+unused, so their names cannot clash. Words are known by 64-bit hashes; among N distinct
+words N^2 / 2^65 pairs of equal hashes are expected.
 """
 
 from __future__ import annotations
 
 import json
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import Any
 
@@ -48,6 +52,8 @@ DISCOUNTS = 0.1, 0.9
 #: Texts for each shard, and tokens that a task counts before it emits.
 SHARD_TEXTS = 4096
 BATCH_TOKENS = 3 << 20
+#: Bytes of shards a worker holds where the shared folder cannot be mapped.
+HELD_BYTES = 256 << 20
 #: Quantisation: steps of a 16-bit code over log10 values down to LOWEST.
 LOWEST = -16.0
 _STEP = -LOWEST / 65535
@@ -118,14 +124,17 @@ class EliasFano:
         at = i * self.bits
         return (self.words[at >> 3] >> (at & 7).astype(np.uint64)) & U((1 << self.bits) - 1)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Rank of each value, or -1."""
+    def find(self, x: np.ndarray, since: np.ndarray | None = None, until: np.ndarray | None = None) -> np.ndarray:
+        """Rank of each value, or -1; of ranks [since, until) only where given."""
         if not self.n:
             return np.full(len(x), -1)
         h = (x >> U(self.bits)).astype(np.int64)
         known = h < int(self.zeros[-1]) - 1
         lo, hi = self._bucket(np.where(known, h, 0))
         hi = np.where(known, hi, lo)
+        if since is not None:
+            lo = np.maximum(lo, since)
+            hi = np.maximum(np.minimum(hi, until), lo)
         stop = hi.copy()
         want = x & U((1 << self.bits) - 1)
         live = np.flatnonzero(lo < hi)
@@ -177,7 +186,8 @@ def _save(path: str, arrays: dict[str, np.ndarray], meta: dict) -> None:
     fs.move(part, inner)
 
 
-def _load(path: str) -> tuple[dict[str, np.ndarray], dict]:
+def _load(path: str) -> tuple[dict[str, np.ndarray], dict, int]:
+    """Arrays, description, and the bytes held for them: none where the file is mapped."""
     fs, inner = pafs.FileSystem.from_uri(path)
     if isinstance(fs, pafs.LocalFileSystem):
         raw = np.memmap(inner, np.uint8, "r")
@@ -188,7 +198,7 @@ def _load(path: str) -> tuple[dict[str, np.ndarray], dict]:
     head = json.loads(raw[8:8 + size].tobytes())
     base = 8 + size
     return ({k: raw[base + at:base + at + n * np.dtype(t).itemsize].view(t)
-             for k, (at, t, n) in head["places"].items()}, head["meta"])
+             for k, (at, t, n) in head["places"].items()}, head["meta"], 0 if isinstance(raw, np.memmap) else len(raw))
 
 
 def _ef_arrays(name: str, e: EliasFano) -> dict[str, np.ndarray]:
@@ -204,8 +214,9 @@ def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     import zstandard
 
     d = np.diff(keys, prepend=U(0))
-    raw = (np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
-           + np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    wide = 8 if len(counts) and counts.max() >> 32 else 4
+    raw = (bytes([wide]) + np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
+           + np.ascontiguousarray(counts.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
@@ -213,9 +224,10 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(raw) // 12
+    wide, raw = int(raw[0]), raw[1:]
+    n = len(raw) // (8 + wide)
     d = np.ascontiguousarray(raw[:8 * n].reshape(8, n).T).view("<u8").ravel()
-    c = np.ascontiguousarray(raw[8 * n:].reshape(4, n).T).view("<u4").ravel()
+    c = np.ascontiguousarray(raw[8 * n:].reshape(wide, n).T).view(f"<u{wide}").ravel()
     return np.cumsum(d, dtype=np.uint64), c.astype(np.int64)
 
 
@@ -298,27 +310,33 @@ class Trie:
     """Mapped levels. ids are ranks of hashes over all shards."""
 
     def __init__(self, meta: dict):
-        self.meta, self.log, self.base = meta, meta["log"], meta["base"]
-        self.starts = np.array(meta["starts"], np.int64)
-        self.words: dict[int, tuple] = {}
-        self.pairs: dict[int, tuple | None] = {}
+        self.log, self.base = meta["log"], meta["base"]
+        shards, _, _ = _load(f"{self.base}/{meta['shards']}")
+        self.starts, self.paired = shards["starts"].astype(np.int64), set(shards["paired"].tolist())
+        self.open: OrderedDict[str, tuple] = OrderedDict()
+        self.held = 0
         self.total, self.size = meta["total"], int(self.starts[-1])
         self.norm = self.total + 0.1 * (self.size + 1)
 
+    def _level(self, name: str, make) -> tuple:
+        """A shard's arrays. Mapped files stay open; of bytes that had to be read, the
+        shards used last stay within HELD_BYTES."""
+        if name in self.open:
+            self.open.move_to_end(name)
+        else:
+            arrays, meta, size = _load(f"{self.base}/{name}")
+            self.open[name] = (*make(arrays, meta), size)
+            self.held += size
+            while self.held > HELD_BYTES and len(self.open) > 1:
+                self.held -= self.open.popitem(last=False)[1][-1]
+        return self.open[name][:-1]
+
     def _words(self, s: int):
-        if s not in self.words:
-            a, m = _load(f"{self.base}/words-{s}")
-            self.words[s] = (_ef_from(a, m, "hash"), a["count"])
-        return self.words[s]
+        return self._level(f"words-{s}", lambda a, m: (_ef_from(a, m, "hash"), a["count"]))
 
     def _pairs(self, s: int):
-        if s not in self.pairs:
-            if s in self.meta.get("paired", ()):
-                a, m = _load(f"{self.base}/pairs-{s}")
-                self.pairs[s] = (_ef_from(a, m, "point"), _ef_from(a, m, "next"), a["prob"], a["backoff"])
-            else:
-                self.pairs[s] = None
-        return self.pairs[s]
+        return self._level(f"pairs-{s}", lambda a, m: (
+            _ef_from(a, m, "point"), _ef_from(a, m, "next"), a["prob"], a["backoff"])) if s in self.paired else None
 
     def _by_shard(self, shards: np.ndarray):
         order = np.argsort(shards, kind="stable")
@@ -363,12 +381,13 @@ class Trie:
             at = known[part]
             r = ctx[at] - self.starts[s]
             u, inv = np.unique(r, return_inverse=True)
-            has = (point.get(u + 1) > point.get(u))[inv]
-            at, r = at[has], r[has]
+            since, until = (point.get(x).astype(np.int64) for x in (u, u + 1))
+            has = (until > since)[inv]
+            at, r, inv = at[has], r[has], inv[has]
             out[at] += dequantise(backoff[r], 4.0)
             w = word[at]
             seen = np.flatnonzero(w >= 0)
-            i = nxt.find((r[seen] * self.size + w[seen]).astype(np.uint64))
+            i = nxt.find((r[seen] * self.size + w[seen]).astype(np.uint64), since[inv[seen]], until[inv[seen]])
             hit = i >= 0
             out[at[seen[hit]]] = dequantise(prob[i[hit]])
         return out
@@ -378,7 +397,7 @@ _tries: dict[str, Trie] = {}
 
 
 def trie(meta: dict) -> Trie:
-    key = meta["base"] + str(len(meta.get("paired", ())))
+    key = f"{meta['base']}/{meta['shards']}"
     if key not in _tries:
         _tries.clear()
         _tries[key] = Trie(meta)
@@ -457,8 +476,8 @@ def _build_pairs(meta: dict):
 
 
 def fit(texts: DataFrame, text_col: str = "text") -> dict:
-    """Learn from every row of texts; returns the trie's description (a few numbers
-    for each shard), the levels stay in the shared folder."""
+    """Learn from every row of texts; returns the trie's description, four values; the
+    levels and the list of their shards stay in the shared folder."""
     spark = texts.sparkSession
     texts = texts.select(F.col(text_col).cast("string").alias("text"))
     log = max(2, (max(1, texts.count()) // SHARD_TEXTS).bit_length())
@@ -467,11 +486,14 @@ def fit(texts: DataFrame, text_col: str = "text") -> dict:
              .applyInPandas(_build_words(base, log), "shard long, n long, total long")).toPandas()
     sizes = np.zeros((1 << log) + 1, np.int64)
     sizes[words["shard"].to_numpy(np.int64) + 1] = words["n"]
-    meta = {"base": base, "log": log, "starts": np.cumsum(sizes).tolist(), "total": int(words["total"].sum())}
+    starts, none = np.cumsum(sizes), np.empty(0, np.int64)
+    meta = {"base": base, "log": log, "shards": "shards-1", "total": int(words["total"].sum())}
+    _save(f"{base}/shards-1", {"starts": starts, "paired": none}, {})
     pairs = (texts.mapInArrow(_count_pairs(meta), "bucket long, blob binary").groupBy("bucket")
              .applyInPandas(_deal(meta), "bucket long, blob binary").groupBy("bucket")
              .applyInPandas(_build_pairs(meta), "shard long, kept long")).toPandas()
-    return meta | {"paired": sorted(pairs["shard"].tolist())}
+    _save(f"{base}/shards-2", {"starts": starts, "paired": np.sort(pairs["shard"].to_numpy(np.int64))}, {})
+    return meta | {"shards": "shards-2"}
 
 
 SCHEMA = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -20,9 +20,10 @@ Texts with equal sets are one class from the start. Between classes:
    query's tokens in the union. Under the l of 2. no member can be linked, and the group
    stays closed.
 6. Open the groups that qualify: the texts of their members and queries meet in one
-   task, members first; queries stream by in blocks. One matrix product a block over
-   the tokens in both gives every exact overlap. Each block returns a spanning forest
-   of its links (and each class's number of links); distributed components finish.
+   task, members first; queries stream by in blocks. Every exact overlap of a block is
+   counted, tokens of few sets pair by pair, others by a matrix product. Each block
+   returns a spanning forest of its links (and each class's number of links);
+   distributed components finish.
 
 Skew. Copies of a text are one class before anything is shuffled by token. A token of
 the list, and every token of a class that consists mostly of listed ones, is dealt over
@@ -68,6 +69,8 @@ GROUP_ROWS = 1024
 GROUP_BYTES = 8 << 20
 #: Queries compared with a group at once, and those that one task takes.
 BLOCK_ROWS, BLOCK_BYTES = 256, 2 << 20
+#: A token of more sets of a comparison than this is counted by a matrix product.
+DENSE = 16
 TASK_QUERIES = 2048
 #: Rows of (class, group) that are broadcast, 24 MB; beyond that the texts are shuffled.
 BROADCAST_ROWS = 200_000
@@ -206,64 +209,79 @@ def _index_rows(k: int, num: int, den: int, listed: bytes, counts: bytes):
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds group_id to sorted rows (fp, n)."""
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (fp, n) with their partition, and the rows and bytes of it before each."""
     from pyspark import TaskContext
 
-    group, rows, size = TaskContext.get().partitionId() << 32, 0, 0
+    part, row, size = TaskContext.get().partitionId(), 0, 0
     for b in batches:
-        out = []
-        for n in b.column(1).to_pylist():
-            if rows == GROUP_ROWS or rows and size + 8 * n > GROUP_BYTES:
-                group, rows, size = group + 1, 0, 0
-            out.append(group)
-            rows, size = rows + 1, size + 8 * n
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["fp", "group_id"])
+        n = b.column(1).to_numpy().astype(np.int64) * 8
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(np.full(len(n), part)), pa.array(row + np.arange(len(n))), pa.array(size + np.cumsum(n) - n),
+             pa.array(n)], names=["fp", "part", "row", "start", "bytes"])
+        row, size = row + len(n), size + int(n.sum())
+
+
+def _placed(members: DataFrame, shelf: Shelf) -> DataFrame:
+    """(fp, group_id): members in the order of their keys, cut where the rows before reach
+    a multiple of GROUP_ROWS or the bytes before one of GROUP_BYTES, so that groups are
+    full whatever the number of partitions. The driver adds up one row a partition."""
+    rows = shelf.put("numbered", members.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp").select("fp", "n")
+                     .mapInArrow(_numbered, "fp long, part long, row long, start long, bytes long"))
+    parts = rows.groupBy("part").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).orderBy("part").collect()
+    before, r, b = [], 0, 0
+    for p in parts:
+        before.append((p["part"], r, b))
+        r, b = r + p["rows"], b + p["bytes"]
+    offsets = members.sparkSession.createDataFrame(before, "part long, rows long, size long")
+    return rows.join(F.broadcast(offsets), "part").select("fp", F.expr(
+        f"(rows + row) div {GROUP_ROWS} + (size + start) div {GROUP_BYTES}").alias("group_id"))
+
+
+def _common(one: list[np.ndarray], two: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of all intersections of one with two (None: of one with its later ones)."""
+    sets = one + (two or [])
+    rows, first = len(one), len(one) if two else 0
+    cols = len(sets) - first
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    t, d = tokens[order], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+    starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.empty(0, np.int64)
+    counts = np.diff(np.append(starts, len(t)))
+    column = np.repeat(np.arange(len(starts)), counts)
+    size = np.repeat(counts, counts)
+
+    # Tokens of few sets: their pairs, by the distance of the two in the sorted list.
+    few = (size > 1) & (size <= DENSE)
+    c, x = column[few], d[few]
+    keys = [np.empty(0, np.int64)]
+    for lag in range(1, DENSE):
+        same = c[lag:] == c[:-lag]
+        if not same.any():
+            break
+        i, j = x[:-lag][same], x[lag:][same]
+        ok = (i < rows) & (j >= first)
+        keys.append(i[ok] * cols + j[ok] - first)
+    both = np.bincount(np.concatenate(keys), minlength=rows * cols).reshape(rows, cols)
+
+    # Tokens of many sets: a matrix product.
+    many = size > DENSE
+    c, x = np.unique(column[many], return_inverse=True)[1], d[many]
+    for lo in range(0, int(c.max()) + 1 if len(c) else 0, 4096):
+        part = (c >= lo) & (c < lo + 4096)
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[x[part], c[part] - lo] = 1
+        both += (m[:rows] @ m[first:].T).astype(np.int64)
+    return both
 
 
 def _links(one: list[np.ndarray], two: list[np.ndarray] | None, num: int, den: int):
     """Index pairs (i, j) of sets with Jaccard >= num/den; two=None: within one, i < j."""
-    same = two is None
-    two = one if same else two
-
-    def flat(sets):
-        return (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-
-    t1, d1 = flat(one)
-    t2, d2 = (t1, d1) if same else flat(two)
-    if same:
-        u, inv, cnt = np.unique(t1, return_inverse=True, return_counts=True)
-        column = np.where(cnt > 1, np.cumsum(cnt > 1) - 1, -1)[inv]
-        c1, c2, width = column, column, int((cnt > 1).sum())
-    else:
-        common = np.intersect1d(t1, t2)
-        width = len(common)
-
-        def columns(t):
-            at = np.minimum(np.searchsorted(common, t), max(0, width - 1))
-            return np.where(common[at] == t, at, -1) if width else np.full(len(t), -1)
-
-        c1, c2 = columns(t1), columns(t2)
-    both = np.zeros((len(one), len(two)), np.float32)
-    for lo in range(0, width, 4096):
-        hi = min(width, lo + 4096)
-        m1 = np.zeros((len(one), hi - lo), np.float32)
-        k1 = (c1 >= lo) & (c1 < hi)
-        m1[d1[k1], c1[k1] - lo] = 1
-        if same:
-            m2 = m1
-        else:
-            m2 = np.zeros((len(two), hi - lo), np.float32)
-            k2 = (c2 >= lo) & (c2 < hi)
-            m2[d2[k2], c2[k2] - lo] = 1
-        both += m1 @ m2.T
-    inter = both.astype(np.int64)
+    inter = _common(one, two)
     n1 = np.array([len(s) for s in one])
-    n2 = np.array([len(s) for s in two])
-    i, j = np.nonzero(den * inter >= num * (n1[:, None] + n2[None, :] - inter))
-    if same:
-        i, j = i[i < j], j[i < j]
-    return i, j
+    n2 = np.array([len(s) for s in two]) if two else n1
+    i, j = np.nonzero((inter > 0) & (den * inter >= num * (n1[:, None] + n2[None, :] - inter)))
+    return (i, j) if two else (i[i < j], j[i < j])
 
 
 def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -393,13 +411,12 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
     members = shelf.put("members", index.groupBy("fp").agg(
         F.count("*").alias("shared"), F.first("n").alias("n"), F.min(F.struct("often", "token")).alias("key"))
         .where(f"shared >= {least_common}").select("fp", "n", "key"))
-    place = shelf.put("place", members.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
-                      .select("fp", "n").mapInArrow(_grouped, "fp long, group_id long"))
+    place = shelf.put("place", _placed(members, shelf))
 
     # Token unions: the tokens of each group that another group has too. Tokens of exactly
     # the same groups are one signature, so that a family's common tokens count at once.
     rows = shelf.put("rows", index.join(place, "fp").select("token", "fp", "n", "group_id"))
-    shelf.drop("index", "members")
+    shelf.drop("index", "members", "numbered")
     sizes = rows.groupBy("group_id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     union = shelf.put("union", rows.select("token", "group_id").distinct())
     mark = [F.bit_xor(F.xxhash64(F.lit(x), "group_id")).alias(f"sig{x}") for x in (1, 2)]

@@ -98,3 +98,15 @@ def test_keep_one_tells_texts_of_one_id_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
     want = [rows[i] for i in (0, 3, 4, 5, 6, 7, 9)]
     assert sorted(map(tuple, ngram_join.keep_one(docs).collect()), key=str) == sorted(want, key=str)
+
+
+def test_overlaps_by_pairs_and_by_product(monkeypatch):
+    rng = np.random.default_rng(9)
+    make = lambda n: [np.unique(rng.integers(0, 60, int(rng.integers(0, 40))).astype(np.uint64)) for _ in range(n)]
+    one, two = make(30), make(20)
+    for dense in (1, 8, 100):
+        monkeypatch.setattr(ngram_join, "DENSE", dense)
+        assert (ngram_join._common(one, two) == [[len(np.intersect1d(a, b)) for b in two] for a in one]).all()
+        inner = np.array([[len(np.intersect1d(a, b)) for b in one] for a in one])
+        up = np.triu_indices(30, 1)
+        assert (ngram_join._common(one, None)[up] == inner[up]).all()

@@ -14,9 +14,10 @@ Distinct words are counted in windows of VARIETY_WINDOW words and added up, as t
 share of a whole text falls with its length; the ledger's n_distinct_words is that
 of the whole text. The SQL judges the whole text.
 
-Null and empty texts have zero words and fail min_words. Ties and repeated rows
-are judged row by row. Columns besides id and text are ignored, or kept by
-`keep_passing`.
+Null and empty texts have zero words and fail min_words; texts of any length are judged
+whole. Ties and repeated rows are judged row by row, a null id is kept. An empty table
+gives no rows. Columns besides id and text are ignored, or kept by `keep_passing`, which
+adds none, so that no name can clash.
 """
 
 from __future__ import annotations
@@ -113,11 +114,37 @@ POLICIES = {
 }
 
 
+def _judged(measured: Column) -> Column:
+    """The ledger entry of a struct of measures: without the helper, with failure_bits."""
+    bits = F.lit(0)
+    for name, condition in RULES.items():
+        left, sign, right = _terms(condition)
+        fails = _value(left, measured) > _value(right, measured) if sign == ">" else _value(left, measured) < _value(right, measured)
+        bits = bits + F.when(fails, F.lit(BITS[name])).otherwise(F.lit(0))
+    return F.struct(*[measured[c].alias(c) for c in MEASURES if c != "n_varied_words"], bits.cast("long").alias("failure_bits"))
+
+
+def _terms(condition: str) -> tuple[str, str, str]:
+    left, sign, right = condition.partition(" > ") if " > " in condition else condition.partition(" < ")
+    return left, sign.strip(), right
+
+
+def _value(term: str, measured: Column) -> Column:
+    """A measure, a number, or their product."""
+    out = F.lit(1)
+    for x in term.split(" * "):
+        out = out * (F.lit(int(x)) if x.isdigit() else measured[x])
+    return out
+
+
+def entry(text: Column) -> Column:
+    """Struct of the measurements and failure_bits of a text, each rule judged once."""
+    return let(_measures(text), _judged)
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, the measurements and failure_bits, one row per row of docs."""
-    m = docs.select(F.col(id_col), _measures(F.col(text_col)).alias("m")).select(id_col, "m.*")
-    bits = sum((F.when(F.expr(cond), F.lit(BITS[name])).otherwise(F.lit(0)) for name, cond in RULES.items()), F.lit(0))
-    return m.withColumn("failure_bits", bits.cast("long")).drop("n_varied_words")
+    return docs.select(F.col(id_col), entry(F.col(text_col)).alias("entry")).select(id_col, "entry.*")
 
 
 def verdict(policy: str) -> Column:
@@ -143,20 +170,9 @@ def ablations(table: DataFrame, policy: str) -> DataFrame:
 
 
 def keep_passing(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> DataFrame:
-    """Rows of docs, all their columns, that the policy keeps."""
-    cols = docs.columns
-    m = docs.withColumn("__m", _measures(F.col(text_col)))
-    failing = [F.expr(_on(cond)) for name, cond in RULES.items() if BITS[name] & POLICIES[policy]]
-    bad = failing[0]
-    for c in failing[1:]:
-        bad = bad | c
-    return m.where(~bad).select(*cols)
-
-
-def _on(cond: str) -> str:
-    for name in sorted(MEASURES, key=len, reverse=True):
-        cond = cond.replace(name, f"__m.{name}")
-    return cond
+    """Rows of docs, all their columns, that the policy keeps by their ledger entries."""
+    bits = entry(docs[text_col])["failure_bits"]
+    return docs.where(bits.bitwiseAND(F.lit(POLICIES[policy])) == 0)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,19 @@ characters that it stands for:
 2. spelled digits: a run of four or more digit words (or digits and digit words)
    becomes digits, a leading "plus" a "+";
 3. at and dot disguises: "(at)", "[dot]" and the like, and "name at host dot tld",
-   become "@" and ".".
+   become "@" and ".". "name at mail.example.org", its dots written out, is left alone:
+   prose names hosts like that.
 
 The detectors run again over the result, and every span found is mapped back to
 the source characters it covers. Spans that overlap no base span are added; base
 spans always stay. Texts in which no transducer's own pattern is found skip that part.
 
 Detectors are linear in the text: a candidate is a maximal run, found once, so a
-very long run of digits or letters costs no more than other text. Everything
-happens within a row; nothing is shuffled. Null and empty texts have no spans;
-repeated rows are answered each; other columns are unused.
+very long run of digits or letters costs no more than other text, and texts are read
+whole. Everything happens within a row; nothing is shuffled. Null and empty texts have no
+spans; a null id is kept, repeated rows are answered each, spans of one start are in the
+order of kind and end. An empty table gives no rows. Other columns are unused, so their
+names cannot clash.
 """
 
 from __future__ import annotations

@@ -14,11 +14,14 @@ components; pages meet their class in a left join that adaptive execution can
 split when one URL holds many pages. Only DataFrame functions are used.
 
 Null urls and urls without "://" have an empty host and path and no rule. Null
-html has no edges. A page's first canonical link and first refresh count, their
-attributes in any order. Relative targets, with "//" too, are resolved against the
-page's URL; those of a scheme without "://" (mailto:) are ignored. The SQL knows one
-order of the attributes and targets with "://" or a leading "/" only. Repeated rows
-are answered each.
+html has no edges; html of any length is searched whole. A page's first canonical link
+and first refresh count, their attributes in any order. Relative targets, with "//" too,
+are resolved against the page's URL; those of a scheme without "://" (mailto:) are
+ignored. The SQL knows one order of the attributes and targets with "://" or a leading
+"/" only. Repeated rows are answered each, a null id is kept. Of two fitting rules of equal length the one of the
+larger name decides, of the same rule given twice the block. An empty table gives no rows. Other columns are unused, so their names cannot
+clash. URLs are known by 64-bit hashes; among N on edges N^2 / 2^65 pairs of equal hashes
+are expected.
 """
 
 from __future__ import annotations

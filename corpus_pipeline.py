@@ -5,8 +5,13 @@ Parquet in the shared folder and read again as the next stage's docs. All but th
 last return the columns of documents. A stage that filters drops whole rows and
 leaves all others as they are; line dedup changes text and n_chars only.
 
-Rows without a doc_id pass the near-duplicate and decontamination stages, as they
-can't be told apart; empty tables give empty results of the same columns.
+Rows are judged by id and text together, so that two texts of one doc_id are two
+documents. Near duplicates keep one row of each group: the smallest id, then the smallest
+hash of its text, then the smallest columns in their order; repeated rows are a group.
+Rows without a doc_id pass that stage, as nothing says which of them came first, and are
+judged like others by the rest. Rows with null or empty text fall to the quality rules;
+texts of any length are read whole. Empty tables give empty results of the same columns.
+Extra columns are kept to the last stage; their names cannot clash.
 """
 
 from __future__ import annotations

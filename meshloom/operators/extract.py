@@ -228,33 +228,184 @@ def boundary(edges: DataFrame) -> DataFrame:
 
 
 def artefacts(faces: DataFrame) -> DataFrame:
-    """Faces of non-manifold edges whose other edges all end at the boundary."""
+    """Faces of non-manifold edges none of whose edges has exactly two faces: all of
+    them are crowded or open."""
     inc = face_edges(faces).select("fid", F.least("a", "b").alias("v0"), F.greatest("a", "b").alias("v1"))
     counts = inc.join(edge_table(faces), ["v0", "v1"]).groupBy("fid").agg(
-        F.max(F.when(F.col("faces") > 2, 1).otherwise(0)).alias("crowded"),
-        F.sum(F.when(F.col("faces") == 1, 1).otherwise(0)).alias("open"), F.count("*").alias("n"))
-    return counts.where("crowded = 1 AND open = n - 1").select("fid")
-
-
-def split_quads(faces: DataFrame, vertices: DataFrame, limit: float = 0.1) -> DataFrame:
-    """Triangles and planar quads: a quad whose diagonals miss each other by more
-    than limit times the longer one becomes two triangles along the shorter."""
+        F.max("faces").alias("most"), F.max(F.when(F.col("faces") == 2, 1).otherwise(0)).alias("sound"))
+    return counts.where("most > 2 AND sound = 0").select("fid")
+
+
+def without_artefacts(faces: DataFrame) -> DataFrame:
+    """faces (fid, verts) after artefacts are taken away one by one: an edge that is
+    down to two faces keeps them. A round takes the artefacts that have the smallest
+    fid on each of their crowded edges, which is what one by one in order of fid does."""
+    left = cut(faces.select("fid", "verts"), "faces")
+    while True:
+        found = cut(artefacts(left), "artefacts")
+        inc = face_edges(left).select("fid", F.least("a", "b").alias("v0"), F.greatest("a", "b").alias("v1"))
+        crowded = inc.join(found, "fid").join(nonmanifold(edge_table(left)).select("v0", "v1"), ["v0", "v1"])
+        least = crowded.groupBy("v0", "v1").agg(F.min("fid").alias("least"))
+        go = crowded.join(least, ["v0", "v1"]).groupBy("fid").agg(F.max(F.col("fid") != F.col("least")).alias("waits"))
+        go = cut(go.where("not waits").select("fid"), "taken")
+        if go.isEmpty():
+            return left
+        left = cut(left.join(go, "fid", "left_anti"), "faces")
+
+
+#: A quad further from its plane than this, by the volume of its corners over the cubed
+#: mean diagonal, is two triangles.
+NONPLANAR = 0.1
+
+
+def split_quads(faces: DataFrame, vertices: DataFrame, limit: float = NONPLANAR, always: bool = False) -> DataFrame:
+    """Triangles and nearly planar quads (all quads are split if always): other quads
+    become two triangles along the shorter diagonal."""
     f = faces.where("size(verts) = 4").select("fid", *[F.col("verts")[i].alias(f"v{i}") for i in range(4)])
     for i in range(4):
         f = f.join(vertices.select(F.col("root").alias(f"v{i}"), *[F.col(c).alias(f"p{i}{c}") for c in "xyz"]), f"v{i}")
     p = [E.vec(f"p{i}") for i in range(4)]
-    n = E.cross(E.sub(p[2], p[0]), E.sub(p[3], p[1]))
-    d02, d13 = E.dist2(p[0], p[2]), E.dist2(p[1], p[3])
-    f = f.withColumns({f"n{c}": F.expr(t) for t, c in zip(n, "xyz")} | {"d02": F.expr(d02), "d13": F.expr(d13)})
-    height = f"abs({E.dot(E.vec('n'), E.sub(p[1], p[0]))}) / nullif(sqrt({E.norm2(E.vec('n'))}), 0)"
-    bent = F.expr(f"coalesce({height}, 0) > {limit!r} * sqrt(greatest(d02, d13))")
+    volume = E.dot(E.cross(E.sub(p[1], p[0]), E.sub(p[2], p[0])), E.sub(p[3], p[0]))
+    f = f.withColumns({"volume": F.expr(volume), "d02": F.expr(f"sqrt({E.dist2(p[0], p[2])})"), "d13": F.expr(f"sqrt({E.dist2(p[1], p[3])})")})
+    bent = F.lit(True) if always else F.expr(f"coalesce(abs(volume / nullif(pow(0.5e0 * (d02 + d13), 3), 0)), 0) > {limit!r}")
     parts = F.when(~bent, F.array(F.array("v0", "v1", "v2", "v3"))).when(
-        F.col("d02") <= F.col("d13"), F.array(F.array("v0", "v1", "v2"), F.array("v0", "v2", "v3"))).otherwise(
+        F.col("d02") < F.col("d13"), F.array(F.array("v0", "v1", "v2"), F.array("v0", "v2", "v3"))).otherwise(
         F.array(F.array("v0", "v1", "v3"), F.array("v1", "v2", "v3")))
     cut_up = f.select("fid", F.explode(parts).alias("verts"))
     return faces.where("size(verts) <> 4").select("fid", "verts").union(cut_up)
 
 
+def split_polygons(faces: DataFrame, vertices: DataFrame, posy: int = 4) -> DataFrame:
+    """(fid, part, verts): faces cut into regular pieces (see kernels.split_polygon), one
+    face a group."""
+    corner = faces.select("fid", F.posexplode("verts").alias("k", "root")).join(
+        vertices.select("root", "x", "y", "z"), "root").select("fid", "k", "root", "x", "y", "z")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        pos = {int(r): p for r, p in zip(pdf["root"], pdf[["x", "y", "z"]].to_numpy(float))}
+        parts = kernels.split_polygon([int(r) for r in pdf["root"]], pos, posy)
+        return pd.DataFrame({"fid": pdf["fid"].iloc[0], "part": range(len(parts)), "verts": parts})
+
+    small = faces.where(f"size(verts) <= {4 if posy == 4 else 3}")
+    whole = small.select("fid", F.lit(0).cast("long").alias("part"), "verts")
+    large = faces.select("fid").join(small.select("fid"), "fid", "left_anti")
+    cut_up = corner.join(large, "fid", "left_semi").groupBy("fid").applyInPandas(run, "fid long, part long, verts array<long>")
+    return whole.union(cut_up)
+
+
+def compact(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """Vertices that have a link."""
+    used = links.select(F.col("a").alias("root")).union(links.select(F.col("b").alias("root"))).distinct()
+    return vertices.join(used, "root", "left_semi").select(*vertices.columns)
+
+
+def simplify(links: DataFrame, vertices: DataFrame, scale: float, posy: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b), vertices, and (root, into) of merged vertices, after vertices near a
+    link were snapped to it and, for squares, diagonals removed. Sequential within a
+    connected component, which one task holds."""
+    comp = connected_components(links)
+    cols = ("x", "y", "z", "nx", "ny", "nz")
+    v = vertices.join(comp.select(F.col("node").alias("root"), "component"), "root").select(
+        "component", F.lit(True).alias("is_vertex"), F.col("root").alias("a"), F.lit(None).cast("long").alias("b"), *cols)
+    e = links.join(comp.select(F.col("node").alias("a"), "component"), "a").select(
+        "component", F.lit(False).alias("is_vertex"), "a", "b", *[F.lit(None).cast("double").alias(c) for c in cols])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pts, edges = pdf[pdf["is_vertex"]].sort_values("a"), pdf[~pdf["is_vertex"]]
+        pos = {int(r): p for r, p in zip(pts["a"], pts[["x", "y", "z"]].to_numpy(float))}
+        nor = {int(r): p for r, p in zip(pts["a"], pts[["nx", "ny", "nz"]].to_numpy(float))}
+        left, merged = kernels.simplify(sorted(zip(edges["a"].astype(int), edges["b"].astype(int))), pos, nor, scale, posy == 4)
+        rows = [("link", a, b, *[None] * 6) for a, b in left] + [("merge", a, b, *[None] * 6) for a, b in merged.items()]
+        rows += [("vertex", r, None, *pos[r], *nor[r]) for r in pos if r not in merged]
+        return pd.DataFrame(rows, columns=["kind", "a", "b", *cols]).astype({"b": "Int64"})
+
+    schema = "kind string, a long, b long, " + ", ".join(f"{c} double" for c in cols)
+    out = cut(v.union(e).groupBy("component").applyInPandas(run, schema), "simple")
+    moved = out.where("kind = 'vertex'").select(F.col("a").alias("root"), *[F.col(c).alias(f"m{c}") for c in cols])
+    gone = out.where("kind = 'merge'").select(F.col("a").alias("root"), F.col("b").alias("into"))
+    new = (vertices.join(gone, "root", "left_anti").join(moved, "root", "left")
+           .select(*[F.coalesce(f"m{c}", c).alias(c) if c in cols else F.col(c) for c in vertices.columns]))
+    return out.where("kind = 'link'").select("a", "b"), new, gone
+
+
+def merge_vertices(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links after vertices of (src, dst) pairs became one, the smallest of each chain."""
+    comp = connected_components(pairs, "src", "dst")
+    for end in ("a", "b"):
+        links = (links.join(comp.select(F.col("node").alias(end), F.col("component").alias("to")), end, "left")
+                 .withColumn(end, F.coalesce("to", end)).select("a", "b"))
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def asymmetric(adj: DataFrame) -> DataFrame:
+    """Directed pairs (src, dst) whose reverse is missing; none in a sound graph."""
+    back = adj.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return adj.select("src", "dst").join(back, ["src", "dst"], "left_anti").distinct()
+
+
+def backed(candidates: DataFrame, faces: DataFrame) -> DataFrame:
+    """(fid, other): existing faces that share every edge of a candidate, of which it
+    would be the back side or a copy."""
+    key = lambda f, n: face_edges(f).select(F.col("fid").alias(n), F.least("a", "b").alias("v0"), F.greatest("a", "b").alias("v1"))
+    size = candidates.select("fid", F.size("verts").alias("n"))
+    shared = key(candidates, "fid").join(key(faces, "other"), ["v0", "v1"]).where("fid <> other").groupBy("fid", "other").count()
+    return shared.join(size, "fid").where("count = n").select("fid", "other")
+
+
+def single_faces(faces: DataFrame) -> DataFrame:
+    """Of faces (fid, verts) with the same vertices, front, back or turned, the one of
+    the smallest fid."""
+    first = faces.groupBy(F.sort_array("verts").alias("key")).agg(F.min_by("verts", "fid").alias("verts"), F.min("fid").alias("fid"))
+    return first.select("fid", "verts")
+
+
+def dense_ids(rows: DataFrame, cols: tuple[str, ...], name: str) -> DataFrame:
+    """rows, distinct in cols, with 0, 1, 2... in the order of cols: ranks within range
+    partitions, plus what the partitions before hold."""
+    part = cut(rows.repartitionByRange(*cols).withColumn("part", F.spark_partition_id()), "ids")
+    before, n = [(-1, 0)], 0
+    for r in part.groupBy("part").count().orderBy("part").collect():  # a row for each partition
+        before.append((r["part"], n))
+        n += r["count"]
+    start = rows.sparkSession.createDataFrame(before, "part int, start long")
+    w = Window.partitionBy("part").orderBy(*cols)
+    return (part.join(F.broadcast(start), "part").withColumn(name, F.col("start") + F.row_number().over(w) - 1)
+            .select(*rows.columns, name))
+
+
+def signed_edges(faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(eid, v0, v1), and (fid, pos, eid) where an edge walked from its larger vertex has
+    the id -eid - 1."""
+    fe = face_edges(faces)
+    edges = dense_ids(fe.select(F.least("a", "b").alias("v0"), F.greatest("a", "b").alias("v1")).distinct(), ("v0", "v1"), "eid")
+    signed = fe.withColumns({"v0": F.least("a", "b"), "v1": F.greatest("a", "b")}).join(edges, ["v0", "v1"]).select(
+        "fid", "pos", F.when(F.col("a") < F.col("b"), F.col("eid")).otherwise(-F.col("eid") - 1).alias("eid"))
+    return edges.select("eid", "v0", "v1"), signed
+
+
+def inconsistent(faces: DataFrame, incidence: DataFrame) -> DataFrame:
+    """(problem, fid, v0, v1): edges of faces that incidence (fid, v0, v1) lacks, and
+    incidences that no face has; none in a sound mesh."""
+    have = face_edges(faces).select("fid", F.least("a", "b").alias("v0"), F.greatest("a", "b").alias("v1"))
+    key = ["fid", "v0", "v1"]
+    lacks = have.join(incidence.select(*key), key, "left_anti").select(F.lit("lacking").alias("problem"), *key)
+    return lacks.union(incidence.select(*key).join(have, key, "left_anti").select(F.lit("dangling"), *key))
+
+
+def inner_edges(polygons: DataFrame, parts: DataFrame) -> DataFrame:
+    """(v0, v1, vertex): edges of parts (fid, verts) of a polygon (fid, verts) that are
+    not its own, each with the polygon's other vertices: when one of those dies, so does
+    the edge."""
+    pair = [F.least("a", "b").alias("v0"), F.greatest("a", "b").alias("v1")]
+    numbered = parts.select(F.col("fid").alias("polygon"), "verts").withColumn("fid", F.xxhash64("polygon", "verts"))
+    inner = face_edges(numbered).join(numbered.select("fid", "polygon").distinct(), "fid").select("polygon", *pair).distinct()
+    own = face_edges(polygons).select(F.col("fid").alias("polygon"), *pair)
+    inner = inner.join(own, ["polygon", "v0", "v1"], "left_anti")
+    corner = polygons.select(F.col("fid").alias("polygon"), F.explode("verts").alias("vertex"))
+    return inner.join(corner, "polygon").where("vertex <> v0 AND vertex <> v1").select("v0", "v1", "vertex").distinct()
+
+
 def duplicate_vertices(vertices: DataFrame, links: DataFrame, scale: float) -> DataFrame:
     """Linked vertices with another linked vertex within a quarter of the scale."""
     from .spatial import radius_pairs
@@ -275,14 +426,16 @@ def diagonals(links: DataFrame) -> DataFrame:
 
 
 def delete_cascade(points: DataFrame, gone: DataFrame, member: DataFrame, edges: DataFrame,
-                   faces: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+                   faces: DataFrame, dependent: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What remains of vertices, edges (v0, v1) and faces (fid, verts) when points
-    are deleted: a vertex dies with any of its points, an edge with an end, a face
-    with an edge."""
+    are deleted: a vertex dies with any of its points, an edge with an end or with a
+    vertex that it depends on (inner_edges), a face with an edge."""
     dead = member.join(gone.select("pid"), "pid", "left_semi").select(F.col("root").alias("dead")).distinct()
     vertices = member.select("root").distinct().join(dead, F.col("root") == F.col("dead"), "left_anti")
     left = (edges.join(dead, F.col("v0") == F.col("dead"), "left_anti")
             .join(dead, F.col("v1") == F.col("dead"), "left_anti"))
+    if dependent is not None:
+        left = left.join(dependent.join(dead, F.col("vertex") == F.col("dead")).select("v0", "v1").distinct(), ["v0", "v1"], "left_anti")
     lost = (face_edges(faces).select("fid", F.least("a", "b").alias("v0"), F.greatest("a", "b").alias("v1"))
             .join(left.select("v0", "v1"), ["v0", "v1"], "left_anti").select("fid").distinct())
     return vertices, left, faces.join(lost, "fid", "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import shared_dir
@@ -31,10 +31,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
          .where("u is not null and v is not null and u <> v")
          .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
-    def put(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path), path
+    marks = [F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s"),
+             F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 31) - 1))).alias("x")]
+
+    def put(df: DataFrame, name: str) -> tuple[DataFrame, str, dict]:
+        """Write df; its marks are taken as it is written."""
+        path, seen = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", Observation()
+        df.observe(seen, *marks).write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path, seen.get
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         """large: v' > node links to the node's minimum; else neighbours below it."""
@@ -48,12 +52,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
                      .union(low.select("u", F.col("m").alias("v"))))
         return pairs.where("u <> v").distinct()
 
-    e, path = put(e, "edges")
-    last = None
+    e, path, last = put(e, "edges")
     while True:
-        nxt, nxt_path = put(star(star(e, True), False), "edges")
-        mark = nxt.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")),
-                       F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 31) - 1)))).first()
+        nxt, nxt_path, mark = put(star(star(e, True), False), "edges")
         delete_path(spark, path)
         e, path = nxt, nxt_path
         if mark == last:

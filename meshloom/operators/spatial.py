@@ -72,20 +72,25 @@ def exact_knn(queries: DataFrame, points: DataFrame, k: int, radius: float) -> D
     return top_k(radius_join(queries, points, radius).where("src <> dst"), k)
 
 
-def ordered_neighbours(points: DataFrame, code: str, cols: tuple[str, ...], reach: int = 2) -> DataFrame:
-    """Pairs of each point with the points up to `reach` ranks after it in the order
-    (code, pid). The order is cut into range partitions; the first rows of
-    later partitions, at most `reach` for each, are copied as a halo to the ones before."""
+def ordered_neighbours(points: DataFrame, codes: list[str], cols: tuple[str, ...], reach: int = 2) -> DataFrame:
+    """Pairs of each point with the points up to `reach` ranks after it in each of the
+    orders (code, pid). All orders are sorted at once, cut into range partitions; the
+    first rows of later partitions, at most `reach` for each, are copied as a halo to the
+    ones before."""
     spark = points.sparkSession
-    part = cut(points.select("pid", F.expr(code).alias("code"), *cols).repartitionByRange("code", "pid")
-               .withColumn("part", F.spark_partition_id()), "order")
-    w = Window.partitionBy("part").orderBy("code", "pid")
+    tagged = points.select("pid", *cols, F.posexplode(F.array(*map(F.expr, codes))).alias("order", "code"))
+    part = cut(tagged.repartitionByRange("order", "code", "pid").withColumn("part", F.spark_partition_id()), "order")
+    w = Window.partitionBy("part", "order").orderBy("code", "pid")
     heads = (part.withColumn("r", F.row_number().over(w)).where(F.col("r") <= reach).drop("r")
-             .orderBy("code", "pid").collect())  # reach rows for each partition
-    halo = []
-    for p in sorted({r["part"] for r in heads}):
-        after = [r for r in heads if r["part"] > p][:reach]
-        halo += [r.asDict() | {"part": p} for r in after]
+             .orderBy("order", "code", "pid").collect())  # reach rows for each partition and order
+    halo, after, waiting = [], [], []
+    for i in range(len(heads) - 1, -1, -1):  # from the end: `after` are the rows that follow the partition
+        r = heads[i]
+        waiting.insert(0, r)
+        first = i == 0 or (heads[i - 1]["part"], heads[i - 1]["order"]) != (r["part"], r["order"])
+        if first:
+            halo += [h.asDict() | {"part": r["part"]} for h in after if h["order"] == r["order"]]
+            after, waiting = ([*waiting, *[h for h in after if h["order"] == r["order"]]])[:reach], []
     both = part.withColumn("own", F.lit(True))
     if halo:
         ghosts = spark.createDataFrame([tuple(h[c] for c in part.columns) for h in halo], part.schema)
@@ -100,11 +105,8 @@ def zorder_knn(points: DataFrame, k: int, radius: float, origin: float, cell: fl
                shifts: int = 4, step: int = 5) -> DataFrame:
     """Approximate neighbours: candidates are two ranks up and down in shifted
     Z-orders, those within the radius ordered by (d2, id), at most k kept."""
-    found = None
-    for s in range(shifts):
-        index = [f"({E.grid_index(a, origin, cell)} + {s * step})" for a in "xyz"]
-        pairs = ordered_neighbours(points, E.morton(*index, bits), ("x", "y", "z"))
-        found = pairs if found is None else found.union(pairs)
+    codes = [E.morton(*[f"({E.grid_index(a, origin, cell)} + {s * step})" for a in "xyz"], bits) for s in range(shifts)]
+    found = ordered_neighbours(points, codes, ("x", "y", "z"))
     d2 = E.dist2(("a.x", "a.y", "a.z"), ("b.x", "b.y", "b.z"))
     near = found.select(F.col("a.pid").alias("src"), F.col("b.pid").alias("dst"), F.expr(d2).alias("d2"))
     near = near.where(F.col("d2") <= radius * radius)

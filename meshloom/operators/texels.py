@@ -73,6 +73,80 @@ def grid_cells(samples: DataFrame, r: int = R) -> DataFrame:
         "fid", "i", "j", "array(struct(i, j), struct(i + 1 AS i, j), struct(i + 1 AS i, j + 1 AS j), struct(i, j + 1 AS j)) AS ring")
 
 
+def samples(faces: DataFrame, edge_first: DataFrame, face_first: DataFrame, vertex_first: DataFrame, r: int = R) -> DataFrame:
+    """(fid, i, j, texel) for the grid samples of quads and triangles (fid, verts), where a
+    sample on a border belongs to the edge or vertex that faces share. edge_first
+    (v0, v1, first), face_first (fid, first) and vertex_first (root, first) come from
+    numbering(); an edge's texels run from its smaller vertex."""
+    f = faces.select("fid", F.size("verts").alias("n"), *[F.get("verts", F.lit(k)).alias(f"v{k}") for k in range(4)])
+    g = (f.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(r))))
+         .withColumn("i", F.explode(F.expr(f"sequence(0, CASE WHEN n = 4 THEN {r} ELSE {r} - j END)"))))
+    # Where a border sample lies: from, to and how many parts of the edge from the first.
+    quad = [(f"i = 0 AND j = 0", "v0", "v0", "0"), (f"i = {r} AND j = 0", "v1", "v1", "0"), (f"i = {r} AND j = {r}", "v2", "v2", "0"),
+            (f"i = 0 AND j = {r}", "v3", "v3", "0"), ("j = 0", "v0", "v1", "i"), (f"i = {r}", "v1", "v2", "j"),
+            (f"j = {r}", "v3", "v2", "i"), ("i = 0", "v0", "v3", "j")]
+    tri = [("i = 0 AND j = 0", "v0", "v0", "0"), (f"i = {r}", "v1", "v1", "0"), (f"j = {r}", "v2", "v2", "0"),
+           ("j = 0", "v0", "v1", "i"), ("i = 0", "v0", "v2", "j"), (f"i + j = {r}", "v1", "v2", "j")]
+
+    def border(k: int) -> str:
+        cases = " ".join(f"WHEN n = {n} AND {where[0]} THEN {where[k]}" for n, rows in ((4, quad), (3, tri)) for where in rows)
+        return f"CASE {cases} END"
+
+    inner = (f"CASE WHEN n = 4 THEN (j - 1) * {r - 1} + i - 1 ELSE (j - 1) * {r - 1} - (j - 1) * j DIV 2 + i - 1 END")
+    g = g.selectExpr("fid", "i", "j", f"{border(1)} AS a", f"{border(2)} AS b", f"CAST({border(3)} AS BIGINT) AS at", f"CAST({inner} AS BIGINT) AS inner")
+    corner = g.where("a = b").join(vertex_first, F.col("a") == F.col("root")).select("fid", "i", "j", F.col("first").alias("texel"))
+    edge = (g.where("a <> b").withColumns({"v0": F.least("a", "b"), "v1": F.greatest("a", "b")}).join(edge_first, ["v0", "v1"])
+            .select("fid", "i", "j", F.expr(f"first + CASE WHEN a = v0 THEN at ELSE {r} - at END - 1").alias("texel")))
+    inside = g.where("a IS NULL").join(face_first, "fid").select("fid", "i", "j", F.expr("first + inner").alias("texel"))
+    return corner.union(edge).union(inside)
+
+
+def numbered_mesh(vertices: DataFrame, faces: DataFrame, r: int = R) -> DataFrame:
+    """samples() of a mesh (root...), (fid, verts), numbered here. Edges are known by the
+    order of their vertices."""
+    from .extract import dense_ids, face_edges
+    from .tables import cut
+
+    edges = cut(dense_ids(face_edges(faces).select(F.least("a", "b").alias("v0"), F.greatest("a", "b").alias("v1")).distinct(),
+                          ("v0", "v1"), "id"), "edge-ids")
+    kinds = (vertices.select(F.lit("vertex").alias("kind"), F.col("root").alias("id")).union(edges.select(F.lit("edge"), "id"))
+             .union(faces.select(F.when(F.size("verts") == 4, "quad").otherwise("triangle"), "fid")))
+    n = cut(numbering(kinds, r), "texel-ids")
+    return samples(faces, edges.join(n.where("kind = 'edge'"), "id").select("v0", "v1", "first"),
+                   n.where("kind in ('quad', 'triangle')").select(F.col("id").alias("fid"), "first"),
+                   n.where("kind = 'vertex'").select(F.col("id").alias("root"), "first"), r)
+
+
+def texel_neighbours(grid: DataFrame, faces: DataFrame) -> DataFrame:
+    """(t, s) pairs of texels next to each other on a face's grid: along its two axes, on
+    triangles along the third side too. Pairs on an edge come from both its faces once."""
+    kind = faces.select("fid", (F.size("verts") == 3).alias("tri"))
+    g = grid.join(kind, "fid")
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(t).alias("only")) for a, b, t in (
+        (1, 0, False), (0, 1, False), (1, -1, True))]))
+    moved = g.withColumn("o", step).where("tri OR NOT o.only").select(
+        "fid", (F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), F.col("texel").alias("t"))
+    pairs = moved.join(grid.select("fid", "i", "j", F.col("texel").alias("s")), ["fid", "i", "j"]).where("t <> s")
+    return pairs.select(F.least("t", "s").alias("t"), F.greatest("t", "s").alias("s")).distinct()
+
+
+def interpolation_weights(points: DataFrame, grid: DataFrame, faces: DataFrame, r: int = R) -> DataFrame:
+    """(obs, texel, w): the texels around points (obs, fid, u, v) and their weights, which
+    add up to one: bilinear in a small quad, barycentric in a small triangle."""
+    p = points.join(faces.select("fid", (F.size("verts") == 3).alias("tri")), "fid").selectExpr(
+        "obs", "fid", "tri", f"least({r - 1}, greatest(0, CAST(floor(u * {r}) AS INT))) AS i0", f"u * {r} AS x",
+        f"least({r - 1}, greatest(0, CAST(floor(v * {r}) AS INT))) AS j0", f"v * {r} AS y")
+    # On the far side of a triangle's diagonal the cell is one step back.
+    p = p.selectExpr("obs", "fid", "tri", "x", "y", "j0", f"CASE WHEN tri THEN greatest(0, least(i0, {r - 1} - j0)) ELSE i0 END AS i0")
+    p = p.selectExpr("obs", "fid", "tri", "i0", "j0", "x - i0 AS a", "y - j0 AS b")
+    corner = ("CASE WHEN NOT tri THEN array(struct(0 AS di, 0 AS dj, (1 - a) * (1 - b) AS w), struct(1, 0, a * (1 - b)), struct(0, 1, (1 - a) * b), "
+              "struct(1, 1, a * b)) WHEN a + b <= 1 OR i0 + j0 >= {last} THEN array(struct(0 AS di, 0 AS dj, 1 - a - b AS w), struct(1, 0, a), "
+              "struct(0, 1, b)) ELSE array(struct(1 AS di, 1 AS dj, a + b - 1 AS w), struct(0, 1, 1 - a), struct(1, 0, 1 - b)) END").format(last=r - 1)
+    e = p.select("obs", "fid", "i0", "j0", F.explode(F.expr(corner)).alias("c")).selectExpr(
+        "obs", "fid", "i0 + c.di AS i", "j0 + c.dj AS j", "CAST(c.w AS DOUBLE) AS w")
+    return e.join(grid, ["fid", "i", "j"]).groupBy("obs", "texel").agg(F.sum("w").alias("w"))
+
+
 def laplacian(texels: DataFrame) -> DataFrame:
     """(row, col, val) of the uniform Laplacian over neighbour pairs (t, s)."""
     both = texels.select("t", "s").union(texels.select(F.col("s").alias("t"), F.col("t").alias("s"))).distinct()
@@ -81,9 +155,12 @@ def laplacian(texels: DataFrame) -> DataFrame:
     return off.union(degree.select(F.col("t").alias("row"), F.col("t").alias("col"), F.lit(1.0)))
 
 
-def normal_equations(lap: DataFrame, data: DataFrame, values: tuple[str, ...], smoothness: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def normal_equations(lap: DataFrame, data: DataFrame, values: tuple[str, ...], smoothness: float = 0.8,
+                     fixed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(row, col, val) and (row, values...) of the least squares of Laplacian rows,
-    weighted by smoothness, and data rows (obs, col, w, values...)."""
+    weighted by smoothness, and data rows (obs, col, w, values...). Texels of fixed
+    (row, values...) keep their value: they are no unknowns, and what they contribute
+    stands on the right side."""
     l1 = lap.select("row", F.col("col").alias("i"), F.col("val").alias("a"))
     l2 = lap.select("row", F.col("col").alias("j"), F.col("val").alias("b"))
     smooth = l1.join(l2, "row").select("i", "j", (F.col("a") * F.col("b") * smoothness).alias("v"))
@@ -92,28 +169,110 @@ def normal_equations(lap: DataFrame, data: DataFrame, values: tuple[str, ...], s
     fit = d1.join(d2, "obs").select("i", "j", (F.col("a") * F.col("b") * (1 - smoothness)).alias("v"))
     m = smooth.union(fit).groupBy(F.col("i").alias("row"), F.col("j").alias("col")).agg(F.sum("v").alias("val"))
     rhs = d1.groupBy(F.col("i").alias("row")).agg(*[F.sum(F.col("a") * F.col(v) * (1 - smoothness)).alias(v) for v in values])
-    return m, rhs
-
-
-def solve_blocks(system: DataFrame, values: tuple[str, ...], tolerance: float = 1e-4) -> DataFrame:
-    """Solve each block's system: rows (block, row, col, val, values...) where the
-    right sides stand on diagonal rows; returns (block, row, values...). Unknown
-    starts come from the nearest solved neighbour's right side."""
-    schema = "block long, row long, " + ", ".join(f"{v} double" for v in values)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(pdf["row"])
-        place = pd.Series(np.arange(len(ids)), index=ids)
-        known = pdf["col"].isin(ids)
-        rhs = np.zeros((len(ids), len(values)))
-        diag = pdf[pdf["row"] == pdf["col"]]
-        rhs[place[diag["row"]]] = diag[list(values)].fillna(0).to_numpy(float)
-        p = pdf[known]
-        x = kernels.conjugate_gradient(place[p["row"]].to_numpy(), place[p["col"]].to_numpy(), p["val"].to_numpy(float),
-                                       rhs, np.zeros_like(rhs), tolerance)
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "row": ids} | {v: x[:, i] for i, v in enumerate(values)})
-
-    return system.groupBy("block").applyInPandas(run, schema)
+    if fixed is None:
+        return m, rhs
+    known = fixed.select(F.col("row").alias("known"), *[F.col(v).alias(f"f_{v}") for v in values])
+    m = m.join(known.select("known"), F.col("row") == F.col("known"), "left_anti")
+    moved = m.join(known, F.col("col") == F.col("known")).groupBy("row").agg(
+        *[F.sum(-F.col("val") * F.col(f"f_{v}")).alias(v) for v in values])
+    rhs = rhs.join(known.select("known"), F.col("row") == F.col("known"), "left_anti").unionByName(moved)
+    return (m.join(known.select("known"), F.col("col") == F.col("known"), "left_anti"),
+            rhs.groupBy("row").agg(*[F.sum(v).alias(v) for v in values]))
+
+
+def first_guess(matrix: DataFrame, rhs: DataFrame, values: tuple[str, ...], rounds: int = 10) -> DataFrame:
+    """(row, values...): a texel with data starts at its right side over its diagonal,
+    others take the start of the neighbour with the largest weight, for some rounds; what
+    no start reaches begins at zero."""
+    from .tables import cut
+
+    rows = matrix.select("row").distinct()
+    diagonal = matrix.where("row = col").select("row", F.col("val").alias("diagonal"))
+    known = rhs.join(diagonal, "row").where("diagonal <> 0").select("row", *[(F.col(v) / F.col("diagonal")).alias(v) for v in values])
+    known = cut(known.join(rows, "row", "left_semi"), "starts")
+    links = matrix.where("row <> col AND val <> 0")
+    for _ in range(rounds):
+        open_rows = rows.join(known.select("row"), "row", "left_anti")
+        given = known.select(F.col("row").alias("col"), *values)
+        new = cut(links.join(open_rows, "row", "left_semi").join(given, "col").groupBy("row").agg(
+            F.min_by(F.struct(*values), F.struct((-F.abs("val")).alias("w"), "col")).alias("s")).select("row", "s.*"), "starts")
+        if new.isEmpty():
+            break
+        known = cut(known.union(new), "starts")
+    return rows.join(known, "row", "left").select("row", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values])
+
+
+def solve(matrix: DataFrame, rhs: DataFrame, blocks: DataFrame, values: tuple[str, ...], tolerance: float = 1e-4,
+          rounds: int = 500) -> DataFrame:
+    """(row, values...) that solve the symmetric positive system matrix (row, col, val),
+    rhs (row, values...), to a residual of tolerance times the right side.
+
+    Conjugate gradients over the whole system: a product is one join on the column and one
+    sum. The preconditioner solves each block (row, block) alone, in one task, so few
+    rounds are needed and no entry between blocks is lost. The driver sees a few sums a
+    round; each round is written to the shared folder and the one before deleted. Raises
+    if the rounds run out."""
+    from .graph import delete_path
+    from .tables import cut
+
+    spark = matrix.sparkSession
+    m = cut(matrix.join(blocks, "row").select("row", "col", "val", "block"), "matrix")
+    inside = cut(m.join(blocks.select(F.col("row").alias("col"), F.col("block").alias("other")), "col").where("block = other")
+                 .select("block", "row", "col", "val"), "blocks")
+
+    def times(x: DataFrame, cols: dict[str, str]) -> DataFrame:
+        """(row, new...) for columns old -> new of x."""
+        return (m.join(x.select(F.col("row").alias("col"), *cols), "col").groupBy("row")
+                .agg(*[F.sum(F.col("val") * F.col(o)).alias(n) for o, n in cols.items()]))
+
+    res, pre, direction = ([f"{p}_{v}" for v in values] for p in "rzd")
+
+    def conditioned(x: DataFrame) -> DataFrame:
+        """x with z: every block's residual solved by its own matrix."""
+        schema = "row long, " + ", ".join(f"{z} double" for z in pre)
+
+        def run(entries: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            ids = np.unique(entries["row"])
+            right = right.set_index("row").reindex(ids).fillna(0.0)
+            place = pd.Series(np.arange(len(ids)), index=ids)
+            z = kernels.conjugate_gradient(place[entries["row"]].to_numpy(), place[entries["col"]].to_numpy(),
+                                           entries["val"].to_numpy(float), right[list(res)].to_numpy(float),
+                                           np.zeros((len(ids), len(values))), 1e-10)
+            return pd.DataFrame({"row": ids} | {c: z[:, i] for i, c in enumerate(pre)})
+
+        own = x.join(blocks, "row").select(F.col("block").alias("own"), "row", *res)
+        z = inside.groupBy("block").cogroup(own.groupBy("own")).applyInPandas(run, schema)
+        return x.join(z, "row", "left").fillna(0.0, subset=list(pre))
+
+    start = cut(first_guess(matrix, rhs, values), "start")
+    goal = {v: tolerance ** 2 * max(s or 0.0, 1e-30) for v, s in rhs.agg(*[F.sum(F.col(v) * F.col(v)).alias(v) for v in values]).first().asDict().items()}
+    right = rhs.select("row", *[F.col(v).alias(f"b_{v}") for v in values])
+    x = start.join(right, "row", "left").join(times(start, {v: f"q_{v}" for v in values}), "row", "left").select(
+        "row", *values, *[(F.coalesce(f"b_{v}", F.lit(0.0)) - F.coalesce(f"q_{v}", F.lit(0.0))).alias(f"r_{v}") for v in values])
+    x = cut(conditioned(x).withColumns({d: F.col(z) for d, z in zip(direction, pre)}), "cg")
+
+    def sums(x: DataFrame, *pairs: tuple[str, str]) -> list[dict[str, float]]:
+        got = x.agg(*[F.sum(F.col(f"{a}_{v}") * F.col(f"{b}_{v}")).alias(f"{a}{b}_{v}") for a, b in pairs for v in values]).first()
+        return [{v: got[f"{a}{b}_{v}"] or 0.0 for v in values} for a, b in pairs]
+
+    rr, rz = sums(x, ("r", "r"), ("r", "z"))
+    for _ in range(rounds):
+        todo = [v for v in values if rr[v] > goal[v]]
+        if not todo:
+            return x.select("row", *values)
+        both = cut(x.join(times(x, {f"d_{v}": f"q_{v}" for v in values}), "row"), "cg")
+        (dq,) = sums(both, ("d", "q"))
+        step = {v: rz[v] / dq[v] if v in todo and dq[v] else 0.0 for v in values}
+        moved = both.select("row", *[(F.col(v) + step[v] * F.col(f"d_{v}")).alias(v) for v in values],
+                            *[(F.col(f"r_{v}") - step[v] * F.col(f"q_{v}")).alias(f"r_{v}") for v in values], *direction)
+        solved = cut(conditioned(moved), "cg")
+        rr, new = sums(solved, ("r", "r"), ("r", "z"))
+        turn = {v: new[v] / rz[v] if v in todo and rz[v] else 0.0 for v in values}
+        nxt = cut(solved.withColumns({f"d_{v}": F.col(f"z_{v}") + turn[v] * F.col(f"d_{v}") for v in values}), "cg")
+        for old in (x, both, solved):
+            delete_path(spark, old.inputFiles()[0].rsplit("/", 1)[0])
+        x, rz = nxt, new
+    raise ValueError(f"no solution to a tolerance of {tolerance} in {rounds} rounds")
 
 
 def project(points_on_faces: DataFrame, scale: float) -> DataFrame:

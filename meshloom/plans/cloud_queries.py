@@ -93,7 +93,7 @@ def auto_scale(points, spark, sf_dir):
     return H.auto_scale(points)
 
 
-@query("SELECT pid FROM cloud WHERE (pid * 2654435761) % 4294967296 % 10 < 3")
+@query("SELECT pid FROM cloud WHERE (pid % 2147483648 * 2654435761) % 4294967296 % 10 < 3")
 def hash_subsample(points, spark, sf_dir):
     return H.subsample(points, 3, 10).select("pid")
 
@@ -457,7 +457,7 @@ _NEXT = """nx AS (SELECT w AS a, v AS b, coalesce(lead(w) OVER o, first_value(w)
 
 def _orbit_sql() -> str:
     walks, found = [], []
-    for k in range(3, 6):
+    for k in range(3, 9):
         names = [f"n{i}" for i in range(k)]
         joins = " ".join(f"JOIN nx n{i} ON n{i}.a = n{i - 1}.b AND n{i}.b = n{i - 1}.c" for i in range(1, k))
         verts = [f"n{i}.a" for i in range(k)]
@@ -471,7 +471,7 @@ def _orbit_sql() -> str:
 
 @query(f"WITH RECURSIVE {_classified()}, {_UNDIRECTED}, {_CENTRES}, {_LINKS}, {_RINGS}, {_NEXT} {_orbit_sql()}")
 def simple_face_orbits(points, spark, sf_dir):
-    faces = X.simple_orbits(cut(_ring(points)[0], "ring"), 5)
+    faces = X.simple_orbits(cut(_ring(points)[0], "ring"))
     return faces.select("degree", F.array_join(F.transform("verts", lambda v: v.cast("string")), "-").alias("face"))
 
 
@@ -493,18 +493,24 @@ def duplicate_vertices(points, spark, sf_dir):
 
 # --- meshes: triangles of a grid over the ids -------------------------------------
 
-_GRID_FACES = """f AS (SELECT pid AS fid, [pid, pid + 1, pid + 11] AS verts FROM cloud WHERE pid % 10 < 9 AND pid < 400
-UNION ALL SELECT pid + 1000, [pid, pid + 11, pid + 10] FROM cloud WHERE pid % 10 < 9 AND pid < 400
-UNION ALL SELECT pid + 2000, [pid + 1, pid + 11, pid] FROM cloud WHERE pid % 30 = 0 AND pid < 400),
+# Four face ids for each point, so that they stay apart whatever the number of points;
+# the last kind are fins on a diagonal, with a vertex that is no point.
+_GRID_FACES = """f AS (SELECT 4 * pid AS fid, [pid, pid + 1, pid + 11] AS verts FROM cloud WHERE pid % 10 < 9
+UNION ALL SELECT 4 * pid + 1, [pid, pid + 11, pid + 10] FROM cloud WHERE pid % 10 < 9
+UNION ALL SELECT 4 * pid + 2, [pid + 1, pid + 11, pid] FROM cloud WHERE pid % 30 = 0
+UNION ALL SELECT 4 * pid + 3, [pid, pid + 11, -1 - pid] FROM cloud WHERE pid % 20 = 5),
 fe AS (SELECT fid, verts[k] AS a, verts[k % 3 + 1] AS b FROM f, unnest([1, 2, 3]) AS t(k)),
 et AS (SELECT least(a, b) AS v0, greatest(a, b) AS v1, count(DISTINCT fid) AS faces FROM fe GROUP BY ALL)"""
+_KINDS = (("pid % 10 < 9", "pid, pid + 1, pid + 11"), ("pid % 10 < 9", "pid, pid + 11, pid + 10"),
+          ("pid % 30 = 0", "pid + 1, pid + 11, pid"), ("pid % 20 = 5", "pid, pid + 11, -1 - pid"))
 
 
 def _faces(points) -> DataFrame:
-    base = points.where("pid % 10 < 9 AND pid < 400")
-    return (base.select(F.col("pid").alias("fid"), F.expr("array(pid, pid + 1, pid + 11)").alias("verts"))
-            .union(base.select(F.expr("pid + 1000"), F.expr("array(pid, pid + 11, pid + 10)")))
-            .union(points.where("pid % 30 = 0 AND pid < 400").select(F.expr("pid + 2000"), F.expr("array(pid + 1, pid + 11, pid)"))))
+    found = None
+    for k, (where, verts) in enumerate(_KINDS):
+        part = points.where(where).selectExpr(f"4 * pid + {k} AS fid", f"array({verts}) AS verts")
+        found = part if found is None else found.union(part)
+    return found
 
 
 @query(f"WITH {_GRID_FACES} SELECT v0, v1, faces FROM et WHERE faces > 2")
@@ -525,7 +531,7 @@ def duplicate_faces(points, spark, sf_dir):
 
 
 @query(f"""WITH {_GRID_FACES}, i AS (SELECT fe.fid, faces FROM fe JOIN et ON v0 = least(a, b) AND v1 = greatest(a, b))
-SELECT fid FROM i GROUP BY fid HAVING max(faces) > 2 AND count(*) FILTER (faces = 1) = count(*) - 1""")
+SELECT fid FROM i GROUP BY fid HAVING max(faces) > 2 AND count(*) FILTER (faces = 2) = 0""")
 def face_artefacts(points, spark, sf_dir):
     return X.artefacts(_faces(points))
 

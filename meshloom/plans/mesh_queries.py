@@ -46,16 +46,8 @@ def trace_faces(points, spark, sf_dir):
 def split_faces(points, spark, sf_dir):
     """Greedy faces cut into quads and triangles, bent quads into two triangles."""
     vertices, _, faces = _mesh(points)
-    corner = faces.select("fid", F.posexplode("verts").alias("k", "root")).join(vertices, "root").select("fid", "k", "root", "x", "y", "z")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        pos = {int(r): p for r, p in zip(pdf["root"], pdf[["x", "y", "z"]].to_numpy(float))}
-        parts = kernels.split_polygon([int(r) for r in pdf["root"]], pos)
-        return pd.DataFrame({"fid": pdf["fid"].iloc[0], "verts": parts})
-
-    return X.split_quads(corner.groupBy("fid").applyInPandas(run, "fid long, verts array<long>"), vertices).select(
-        "fid", F.array_join(F.transform("verts", lambda v: v.cast("string")), "-").alias("face"))
+    parts = X.split_polygons(faces.select("fid", "verts"), vertices)
+    return X.split_quads(parts, vertices).select("fid", F.array_join(F.transform("verts", lambda v: v.cast("string")), "-").alias("face"))
 
 
 @query()
@@ -91,8 +83,9 @@ def pca_normals(points, spark, sf_dir):
 
 @query()
 def icp(points, spark, sf_dir):
-    """Recover a small motion of the procedural tube; one row, the matrix."""
-    tube = cut(procedural_scan(spark, 1, 20), "tube")
+    """Recover a small motion of the procedural tube; one row, the matrix. The first
+    segment, as its cap tells its ends apart: others map onto themselves by a turn."""
+    tube = cut(procedural_scan(spark, 0, 20), "tube")
     moved = H.transformed(tube, register.matrix(kernels.small_rotation([0.01, 0.02, -0.01]), [0.02, -0.01, 0.015]))
     m = register.align(moved, tube, 0.4, 2, 3)
     return spark.createDataFrame([tuple(m)], ", ".join(f"m{i} double" for i in range(16)))
@@ -104,14 +97,14 @@ _CORNERS = ", ".join(f"{e} AS {n}" for i, (dx, dy) in enumerate(((0, 0), (1, 0),
 _MIX = lambda p, c: E.bilinear(f"{p}0{c}", f"{p}1{c}", f"{p}2{c}", f"{p}3{c}", "u", "v")
 
 
-@query(f"""WITH q AS (SELECT pid AS fid, {_CORNERS} FROM cloud WHERE pid < 50),
+@query(f"""WITH q AS (SELECT pid AS fid, {_CORNERS} FROM cloud),
 g AS (SELECT *, CAST(i AS INT) AS gi, CAST(j AS INT) AS gj, i / 10e0 AS u, j / 10e0 AS v FROM q, unnest(range(0, 11)) AS a(i), unnest(range(0, 11)) AS b(j)),
 s AS (SELECT fid, gi, gj, {', '.join(f'{_MIX("p", c)} AS p{c}' for c in 'xyz')}, {', '.join(f'{_MIX("n", c)} AS m{c}' for c in 'xyz')}, {_MIX('h', '')} AS h FROM g),
 t AS (SELECT *, sqrt(mx * mx + my * my + mz * mz) AS len FROM s)
 SELECT fid, gi AS i, gj AS j, {', '.join(r6(f'p{c} + h * (m{c} / nullif(len, 0))', c) for c in 'xyz')},
 {', '.join(r6(f'm{c} / nullif(len, 0)', f'n{c}') for c in 'xyz')}, {r6('h', 'h')} FROM t""")
 def quad_tessellation(points, spark, sf_dir):
-    quads = points.where("pid < 50").selectExpr("pid AS fid", *[c.strip() for c in _CORNERS.split(", ")])
+    quads = points.selectExpr("pid AS fid", *[c.strip() for c in _CORNERS.split(", ")])
     return T.quad_grid(quads)
 
 
@@ -134,14 +127,13 @@ def laplacian_rows(points, spark, sf_dir):
 
 @query()
 def texel_solve(points, spark, sf_dir):
-    """Smooth fit of one value along a chain of texels, by blocks of a hundred."""
-    p = points.select("pid", (F.col("pid") / 100).cast("long").alias("block"), "x")
-    lap = T.laplacian(points.where("pid % 100 < 99").select(F.col("pid").alias("t"), F.expr("pid + 1").alias("s")))
-    data = p.select(F.col("pid").alias("obs"), F.col("pid").alias("col"), F.lit(1.0).alias("w"), "x")
+    """Smooth fit of one value along a chain of all texels, with a hundred to a block."""
+    lap = T.laplacian(points.select(F.col("pid").alias("t"), F.expr("pid + 1").alias("s")).join(
+        points.select(F.col("pid").alias("s")), "s", "left_semi"))
+    data = points.select(F.col("pid").alias("obs"), F.col("pid").alias("col"), F.lit(1.0).alias("w"), "x")
     m, rhs = T.normal_equations(lap, data, ("x",))
-    system = (m.join(p.select(F.col("pid").alias("row"), "block"), "row").join(rhs, "row", "left")
-              .select("block", "row", "col", "val", "x"))
-    return T.solve_blocks(system, ("x",), 1e-9)
+    blocks = points.select(F.col("pid").alias("row"), F.expr("pid div 100").alias("block"))
+    return T.solve(cut(m, "system"), cut(rhs, "right"), blocks, ("x",), 1e-9)
 
 
 @query()

@@ -14,18 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from . import kernels
 from .graph import connected_components
-from .tables import cut
+from .tables import cut, fence
 
 FIELDS = ("x", "y", "z", "nx", "ny", "nz", "qx", "qy", "qz", "ox", "oy", "oz")
 
 
-def fence(df: DataFrame) -> DataFrame:
-    """df behind a one-row generator: the optimiser neither merges the projections
-    on its two sides nor pushes predicates through, either of which would repeat
-    the expressions of one step in the next, again and again."""
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("r")).select("r.*")
-
-
 def symmetric(adj: DataFrame) -> DataFrame:
     """Each undirected edge once, src < dst."""
     return adj.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src < dst").distinct()

@@ -87,3 +87,44 @@ def without_leaves(edges: DataFrame) -> DataFrame:
         if m == n:
             return e
         n = m
+
+
+def colouring(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, colour): a greedy colouring of undirected edges (a, b) in order of a hash of
+    the node. A round colours every node whose neighbours before it have one, with the
+    smallest colour that none of them has; what is coloured is what one task would do
+    node by node. The rounds are few, as the order is random; a hub's neighbours are
+    reduced to their distinct colours before they meet. nodes (node) adds isolated ones."""
+    from .tables import cut
+
+    e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    before = cut(both.where(rank("b") < rank("a")).select(F.col("a").alias("node"), F.col("b").alias("earlier")), "earlier")
+    every = both.select(F.col("a").alias("node"))
+    every = cut((every.union(nodes.select("node")) if nodes is not None else every).distinct(), "nodes")
+    ready = cut(every.join(before, "node", "left_anti").select("node", F.lit(0).alias("colour")), "ready")
+    done, waiting = ready, before.withColumn("colour", F.lit(None).cast("int"))
+    while True:
+        got = ready.select(F.col("node").alias("earlier"), F.col("colour").alias("new"))
+        waiting = cut(waiting.join(ready.select("node"), "node", "left_anti").join(got, "earlier", "left")
+                      .select("node", "earlier", F.coalesce("colour", "new").alias("colour")), "waiting")
+        ready = cut(waiting.groupBy("node").agg(F.max(F.col("colour").isNull()).alias("waits"), F.collect_set("colour").alias("used"))
+                    .where("not waits").select("node", F.expr("array_min(array_except(sequence(0, size(used)), used))").alias("colour")), "ready")
+        if ready.isEmpty():
+            return done
+        done = done.union(ready)
+
+
+def colour_counts(colours: DataFrame, edges: DataFrame) -> DataFrame:
+    """(colour, nodes, neighbours): how many nodes a phase has, and neighbours of them."""
+    both = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(
+        F.count("*").alias("degree"))
+    return (colours.join(both, "node", "left").groupBy("colour")
+            .agg(F.count("*").alias("nodes"), F.coalesce(F.sum("degree"), F.lit(0)).alias("neighbours")))
+
+
+def parity(cells: DataFrame) -> DataFrame:
+    """cells (cx, cy, cz, ...) with their phase, 0 to 7, by the parity of their indices:
+    cells of one phase never touch, so a phase needs no colouring."""
+    return cells.withColumn("phase", F.expr("CAST(pmod(cx, 2) + 2 * pmod(cy, 2) + 4 * pmod(cz, 2) AS INT)"))

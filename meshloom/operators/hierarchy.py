@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +67,21 @@ def grid_tuning(points: DataFrame, origin: float, cell: float) -> DataFrame:
         "cells", "points", F.expr(f"{cell!r} * pow({TARGET} / (points / cells), 0.33)").alias("size"))
 
 
+def grid_plan(points: DataFrame) -> dict[str, float]:
+    """Cell size for TARGET points each, levels of the hierarchy, and the origin (x, y, z)
+    that centres the finest grid on the cloud. The first guess is the extent over the
+    cube root of the points, corrected once by the cells that it fills. Two aggregates."""
+    box = bounding_box(points).crossJoin(points.agg(F.count("*").alias("n"))).first()
+    extent = max(box[f"max_{c}"] - box[f"min_{c}"] for c in "xyz")
+    guess = 0.8 * extent / box["n"] ** 0.33
+    index = [F.expr(f"CAST(floor({c} / {guess!r}) AS BIGINT)") for c in "xyz"]
+    cells = points.select(*index).distinct().count()
+    cell = guess * (TARGET / (box["n"] / cells)) ** 0.33
+    halvings = max(0, math.ceil(math.log2(extent / cell)))
+    wide = 2 ** halvings * cell
+    return {"cell": cell, "levels": halvings + 2} | {c: 0.5 * (box[f"min_{c}"] + box[f"max_{c}"] - wide) for c in "xyz"}
+
+
 def occupancy(coded: DataFrame, cell: float) -> DataFrame:
     """Occupied level-1 cells, points per cell, and average spacing."""
     c = coded.select(F.expr(E.ancestor("code", 1)).alias("cell")).groupBy("cell").count()

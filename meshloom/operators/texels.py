@@ -139,9 +139,12 @@ def interpolation_weights(points: DataFrame, grid: DataFrame, faces: DataFrame,
     # On the far side of a triangle's diagonal the cell is one step back.
     p = p.selectExpr("obs", "fid", "tri", "x", "y", "j0", f"CASE WHEN tri THEN greatest(0, least(i0, {r - 1} - j0)) ELSE i0 END AS i0")
     p = p.selectExpr("obs", "fid", "tri", "i0", "j0", "x - i0 AS a", "y - j0 AS b")
-    corner = ("CASE WHEN NOT tri THEN array(struct(0 AS di, 0 AS dj, (1 - a) * (1 - b) AS w), struct(1, 0, a * (1 - b)), struct(0, 1, (1 - a) * b), "
-              "struct(1, 1, a * b)) WHEN a + b <= 1 OR i0 + j0 >= {last} THEN array(struct(0 AS di, 0 AS dj, 1 - a - b AS w), struct(1, 0, a), "
-              "struct(0, 1, b)) ELSE array(struct(1 AS di, 1 AS dj, a + b - 1 AS w), struct(0, 1, 1 - a), struct(1, 0, 1 - b)) END").format(last=r - 1)
+    def around(*corners: tuple[int, int, str]) -> str:
+        return "array(" + ", ".join(f"named_struct('di', {di}, 'dj', {dj}, 'w', CAST({w} AS DOUBLE))" for di, dj, w in corners) + ")"
+
+    square = around((0, 0, "(1 - a) * (1 - b)"), (1, 0, "a * (1 - b)"), (0, 1, "(1 - a) * b"), (1, 1, "a * b"))
+    lower, upper = around((0, 0, "1 - a - b"), (1, 0, "a"), (0, 1, "b")), around((1, 1, "a + b - 1"), (0, 1, "1 - a"), (1, 0, "1 - b"))
+    corner = f"CASE WHEN NOT tri THEN {square} WHEN a + b <= 1 OR i0 + j0 >= {r - 1} THEN {lower} ELSE {upper} END"
     e = p.select("obs", "fid", "i0", "j0", F.explode(F.expr(corner)).alias("c")).selectExpr(
         "obs", "fid", "i0 + c.di AS i", "j0 + c.dj AS j", "CAST(c.w AS DOUBLE) AS w")
     return e.join(grid, ["fid", "i", "j"]).groupBy("obs", "texel").agg(F.sum("w").alias("w"))
@@ -276,24 +279,109 @@ def solve(matrix: DataFrame, rhs: DataFrame, blocks: DataFrame, values: tuple[st
 
 
 def project(points_on_faces: DataFrame, scale: float) -> DataFrame:
-    """(pid, fid, u, v, h): each point's best quad, by |h|, of candidates with corner
-    columns p0x.. and n0x..; |h| < scale and residual within 0.001 scale^2."""
+    """(pid, fid, u, v, h): each point's best face, by |h|, of candidates (pid, x, y, z,
+    fid, corners array<struct<x,y,z,nx,ny,nz>> of a quad or triangle); |h| < scale and a
+    squared residual within 0.001 scale^2."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            grid = lambda k: np.stack([pdf[[f"{k}{i}{c}" for c in "xyz"]].to_numpy(float) for i in range(4)], 1)
-            x, r = kernels.project_to_patch(pdf[["x", "y", "z"]].to_numpy(float), grid("p"), grid("n"))
-            ok = (np.abs(x[:, 2]) < scale) & (r <= 0.001 * scale * scale) & (x[:, :2] >= -1e-6).all(1) & (x[:, :2] <= 1 + 1e-6).all(1)
-            yield pd.DataFrame({"pid": pdf["pid"], "fid": pdf["fid"], "u": x[:, 0], "v": x[:, 1], "h": x[:, 2]})[ok]
+            size = pdf["corners"].map(len)
+            for n in (3, 4):
+                part = pdf[size == n]
+                if not len(part):
+                    continue
+                c = np.array([[[k[f] for f in ("x", "y", "z", "nx", "ny", "nz")] for k in row] for row in part["corners"]], float)
+                x, r = kernels.project_to_patch(part[["x", "y", "z"]].to_numpy(float), c[:, :, :3], c[:, :, 3:])
+                ok = (np.abs(x[:, 2]) < scale) & (r <= 0.001 * scale * scale) & (x[:, :2] >= -1e-6).all(1)
+                ok &= (x[:, :2] <= 1 + 1e-6).all(1) if n == 4 else x[:, 0] + x[:, 1] <= 1 + 1e-6
+                yield pd.DataFrame({"pid": part["pid"], "fid": part["fid"], "u": x[:, 0], "v": x[:, 1], "h": x[:, 2]})[ok]
 
     found = points_on_faces.mapInPandas(run, "pid long, fid long, u double, v double, h double")
     return found.groupBy("pid").agg(F.min_by(F.struct("fid", "u", "v", "h"), F.struct(F.abs("h"), "fid")).alias("m")).select("pid", "m.*")
 
 
-def clamp_colours(texels: DataFrame) -> DataFrame:
-    return texels.select(*[F.greatest(F.lit(0.0), F.least(F.lit(65535.0), c)).alias(c) if c in ("l", "a", "b") else F.col(c)
+def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(fid, corners): positions and normals of faces (fid, verts) in ring order."""
+    fields = F.struct("x", "y", "z", "nx", "ny", "nz")
+    at = faces.select("fid", F.posexplode("verts").alias("k", "root")).join(vertices, "root").groupBy("fid").agg(
+        F.array_sort(F.collect_list(F.struct("k", fields.alias("c")))).alias("c"))
+    return at.join(faces.select("fid", F.size("verts").alias("n")), "fid").where("size(c) = n").select(
+        "fid", F.transform("c", lambda x: x["c"]).alias("corners"))
+
+
+def incident(points: DataFrame, member: DataFrame, faces: DataFrame) -> DataFrame:
+    """(pid, x, y, z, fid): points with the faces at their cluster's vertex."""
+    at = faces.select("fid", F.explode("verts").alias("root"))
+    return points.select("pid", "x", "y", "z").join(member, "pid").join(at, "root").select("pid", "x", "y", "z", "fid")
+
+
+def map_attributes(points: DataFrame, member: DataFrame, vertices: DataFrame, faces: DataFrame, grid: DataFrame, scale: float,
+                   colours: tuple[str, ...] = (), smoothness: float = 0.8, tolerance: float = 1e-4, block: int = 4096) -> DataFrame:
+    """(texel, h, colours...): the detail map of a mesh. Every point is projected on its
+    best incident face; its height and colours are data at the texels around it, smoothed
+    by the Laplacian of all texels. Texels of faces that no data reaches are 0."""
+    from .tables import cut
+
+    values = ("h", *colours)
+    hit = project(incident(points, member, faces).join(corners(faces, vertices), "fid"), scale)
+    hit = cut(hit.join(points.select("pid", *colours), "pid"), "projected")
+    w = interpolation_weights(hit.select(F.col("pid").alias("obs"), "fid", "u", "v"), grid, faces)
+    data = w.join(hit.select(F.col("pid").alias("obs"), *[F.col(c).cast("double").alias(c) for c in values]), "obs").select(
+        "obs", F.col("texel").alias("col"), "w", *values)
+    m, rhs = normal_equations(laplacian(texel_neighbours(grid, faces)), cut(data, "data"), values, smoothness)
+    m = cut(m, "system")
+    blocks = m.select("row").distinct().select("row", F.expr(f"row div {block}").alias("block"))
+    out = solve(m, cut(rhs, "right"), blocks, values, tolerance)
+    return clamp_colours(out.withColumnRenamed("row", "texel"), colours)
+
+
+def clamp_colours(texels: DataFrame, colours: tuple[str, ...] = ("l", "a", "b")) -> DataFrame:
+    return texels.select(*[F.greatest(F.lit(0.0), F.least(F.lit(65535.0), c)).alias(c) if c in colours else F.col(c)
                            for c in texels.columns])
 
 
+def fine_mesh(vertices: DataFrame, faces: DataFrame, grid: DataFrame, texels: DataFrame | None = None, triangles: bool = False,
+              r: int = R) -> tuple[DataFrame, DataFrame]:
+    """Vertices (root is the texel) and faces (fid, verts) of the tessellated mesh: r^2
+    small quads of a quad (twice as many triangles if asked for), r^2 small triangles of a
+    triangle, displaced along the normal by the texels' heights (texel, h)."""
+    c = corners(faces, vertices).select("fid", F.size("corners").alias("n"), *[
+        F.get("corners", F.lit(k))[f].alias(f"{p}{k}{f[-1]}") for k in range(4) for p, fs in (("p", "xyz"), ("m", ("nx", "ny", "nz"))) for f in fs])
+    g = grid.join(c, "fid").withColumns({"u": F.expr(f"i / double({r})"), "v": F.expr(f"j / double({r})")})
+    mix = lambda p, a: (f"CASE WHEN n = 4 THEN {E.bilinear(*[f'{p}{k}{a}' for k in range(4)], 'u', 'v')} "
+                        f"ELSE {E.barycentric(*[f'{p}{k}{a}' for k in range(3)], 'u', 'v')} END")
+    at = g.selectExpr("fid", "texel", *[f"{mix('p', a)} AS {a}" for a in "xyz"], *[f"{mix('m', a)} AS m{a}" for a in "xyz"])
+    at = at.groupBy("texel").agg(F.min_by(F.struct("x", "y", "z", "mx", "my", "mz"), "fid").alias("s")).select("texel", "s.*")
+    at = at.select("texel", "x", "y", "z", *[F.expr(t).alias(f"n{a}") for t, a in zip(E.unit(E.vec("m")), "xyz")])
+    if texels is not None:
+        at = at.join(texels.select("texel", "h"), "texel", "left").select(
+            "texel", *[F.expr(f"{a} + coalesce(h * n{a}, 0e0)").alias(a) for a in "xyz"], "nx", "ny", "nz")
+    key = grid.join(faces.select("fid", F.size("verts").alias("n")), "fid")
+    quad = [("n = 4", ((0, 0), (1, 0), (1, 1), (0, 1)))]
+    split = [("n = 4", ((0, 0), (1, 0), (1, 1))), ("n = 4", ((0, 0), (1, 1), (0, 1)))]
+    small = [("n = 3", ((0, 0), (1, 0), (0, 1))), ("n = 3", ((1, 1), (0, 1), (1, 0)))]
+    parts = None
+    for where, offsets in [*(split if triangles else quad), *small]:
+        part = key.where(where).select("fid", (F.col("i")).alias("ci"), F.col("j").alias("cj"))
+        for k, (di, dj) in enumerate(offsets):
+            part = part.join(grid.select("fid", (F.col("i") - di).alias("ci"), (F.col("j") - dj).alias("cj"), F.col("texel").alias(f"t{k}")),
+                             ["fid", "ci", "cj"])
+        verts = F.array(*[f"t{k}" for k in range(len(offsets))])
+        parts = part.select(verts.alias("verts")) if parts is None else parts.union(part.select(verts))
+    return at.withColumnRenamed("texel", "root"), parts.select(F.xxhash64("verts").alias("fid"), "verts")
+
+
+def wireframe(faces: DataFrame, grid: DataFrame, r: int = R) -> DataFrame:
+    """(fid, verts): every edge in r parts, each a face of no area (a, b, b) for programs
+    that know no lines."""
+    n = grid.join(faces.select("fid", F.size("verts").alias("n")), "fid")
+    side = lambda axis, at, where: n.where(where).select("fid", F.lit(axis).alias("side"), F.expr(at).alias("k"), "texel")
+    rim = (side(0, "i", "j = 0").union(side(1, "j", "i = 0")).union(side(2, "j", f"n = 4 AND i = {r}"))
+           .union(side(3, "i", f"n = 4 AND j = {r}")).union(side(4, "i", f"n = 3 AND i + j = {r}")))
+    pairs = rim.alias("a").join(rim.alias("b"), F.expr("a.fid = b.fid AND a.side = b.side AND b.k = a.k + 1"))
+    ends = pairs.select(F.least("a.texel", "b.texel").alias("s"), F.greatest("a.texel", "b.texel").alias("t")).distinct()
+    return ends.select(F.xxhash64("s", "t").alias("fid"), F.array("s", "t", "t").alias("verts"))
+
+
 def smooth_points(points: DataFrame, radius: float, amount: float, axes: tuple[float, float, float] = (0.0, 0.0, 1.0)) -> DataFrame:
     """One step of the smoothing brush: points move towards the Gaussian mean of their
     neighbours by a share along two tangents and the normal."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import extract as X
 from ..operators import hierarchy as H
-from ..operators import kernels, register, solver
+from ..operators import graph, kernels, normals, register, solver
 from ..operators import spatial as S
 from ..operators import texels as T
 from ..operators.tables import cut, shared_dir
@@ -50,23 +50,30 @@ def split_faces(points, spark, sf_dir):
     return X.split_quads(parts, vertices).select("fid", F.array_join(F.transform("verts", lambda v: v.cast("string")), "-").alias("face"))
 
 
+def _colours(points) -> tuple[DataFrame, DataFrame]:
+    edges = cut(C._edges(points).select(F.col("src").alias("a"), F.col("dst").alias("b")), "edges")
+    return graph.colouring(edges, points.select(F.col("pid").alias("node"))), edges
+
+
 @query()
 def graph_colouring(points, spark, sf_dir):
-    """Greedy colours per component of the radius graph."""
-    from ..operators.graph import connected_components
+    """Greedy colours of the radius graph."""
+    return _colours(points)[0].withColumnRenamed("node", "pid")
 
-    edges = cut(C._edges(points), "edges")
-    comp = connected_components(edges, "src", "dst").withColumnRenamed("node", "src")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(pdf["src"], pdf["dst"]):
-            near.setdefault(int(a), []).append(int(b))
-            near.setdefault(int(b), []).append(int(a))
-        got = kernels.colouring(near)
-        return pd.DataFrame({"pid": list(got), "colour": list(got.values())})
+@query()
+def colour_counts(points, spark, sf_dir):
+    """Phases of the sparse graph of ids."""
+    edges = cut(C._chain_links(points), "edges")
+    return graph.colour_counts(graph.colouring(edges), edges)
 
-    return edges.join(comp, "src").groupBy("component").applyInPandas(run, "pid long, colour int")
+
+@query("""WITH c AS (SELECT DISTINCT CAST(floor((x + 1e0) / 0.08e0) AS BIGINT) AS a, CAST(floor((y + 1e0) / 0.08e0) AS BIGINT) AS b,
+  CAST(floor((z + 1e0) / 0.08e0) AS BIGINT) AS c FROM cloud)
+SELECT CAST((a & 1) + 2 * (b & 1) + 4 * (c & 1) AS INT) AS phase, count(*) AS cells FROM c GROUP BY ALL""")
+def parity_phases(points, spark, sf_dir):
+    cells = points.selectExpr(*[f"{E.grid_index(c, C.ORIGIN, C.CELL)} AS {n}" for c, n in zip("xyz", S.CELL)]).distinct()
+    return graph.parity(cells).groupBy("phase").agg(F.count("*").alias("cells"))
 
 
 @query()
@@ -74,11 +81,26 @@ def smooth_fields(points, spark, sf_dir):
     return solver.solve(points.select("pid", "x", "y", "z", "nx", "ny", "nz"), C.SCALE, C.ORIGIN, C.CELL, 3)
 
 
+@query()
+def incremental_fields(points, spark, sf_dir):
+    """A third of the points joins a solved cloud: the fields of all of them."""
+    p = points.select("pid", "x", "y", "z", "nx", "ny", "nz")
+    first, new = p.where("pid % 3 <> 0"), p.where("pid % 3 = 0")
+    before = solver.solve_levels(first, C.SCALE, C.ORIGIN, C.CELL, 3)
+    return solver.solve_levels(p, C.SCALE, C.ORIGIN, C.CELL, 3, before=before, changed=new)[0]
+
+
 @query()
 def pca_normals(points, spark, sf_dir):
-    near = S.radius_join(points, points, C.RADIUS).select("src", "dst")
-    moments = H.pca_moments(near.join(points.select(F.col("pid").alias("dst"), "x", "y", "z"), "dst")).where("k >= 3")
-    return solver.pca_normals(moments, points)
+    return normals.by_neighbourhood(points)
+
+
+@query("""SELECT a.pid AS src, b.pid AS dst, round(d2, 6) + 0e0 AS d2, rank FROM (
+  SELECT a.pid AS s, b.pid AS t, pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) AS d2,
+         CAST(row_number() OVER (PARTITION BY a.pid ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2), b.pid) AS INT) AS rank
+  FROM cloud a, cloud b) r JOIN cloud a ON a.pid = s JOIN cloud b ON b.pid = t WHERE rank <= 20""")
+def nearest_twenty(points, spark, sf_dir):
+    return normals.nearest(points, normals.NEIGHBOURS)
 
 
 @query()

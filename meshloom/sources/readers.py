@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as E
 from ..operators.hierarchy import transformed
+from ..operators.tables import fence
 from . import formats
 
 POINTS = "scan string, pid long, x double, y double, z double, nx double, ny double, nz double, r int, g int, b int"
@@ -130,6 +131,11 @@ def load_scan(spark: SparkSession, path: str, matrix: list[float] | None = None,
     return transformed(out, matrix) if matrix and out is not None else out
 
 
+def scan_faces(spark: SparkSession, path: str) -> DataFrame | None:
+    """Triangles (v0, v1, v2) of a scan file that may have any, else None."""
+    return read_whole(spark, path)[1].select("v0", "v1", "v2") if path.rsplit(".", 1)[-1].lower() in ("ply", "obj", "cache") else None
+
+
 def load_directory(spark: SparkSession, path: str) -> list[str]:
     """Scan files of a folder, by name; a .3d beside a .frames of the same stem is
     left to the latter."""
@@ -153,9 +159,10 @@ def procedural_scan(spark: SparkSession, segment: int, resolution: int = 50) ->
     here, ahead = mix(corner("x0", "j"), corner("x0", "(j + 1)")), mix(corner("x1", "j"), corner("x1", "(j + 1)"))
     start = tuple(f"(CASE WHEN k = 0 THEN {a} ELSE {b} END)" for a, b in zip(corner("x0", "(j - 1)"), corner("x0", "j")))
     side = E.sub(corner("x0", "(j + 1)"), start)
-    n = E.unit(E.cross(side, E.sub(ahead, here)))
-    tube = base.where("x0 <> 0").selectExpr("id AS pid", *[f"{t} AS {c}" for t, c in zip(here, "xyz")],
-                                             *[f"{t} AS n{c}" for t, c in zip(n, "xyz")])
+    n = E.cross(side, E.sub(ahead, here))
+    tube = fence(base.where("x0 <> 0").selectExpr("id AS pid", *[f"{t} AS {c}" for t, c in zip(here, "xyz")],
+                                                   *[f"{t} AS m{c}" for t, c in zip(n, "xyz")]))
+    tube = tube.selectExpr("pid", "x", "y", "z", *[f"{t} AS n{c}" for t, c in zip(E.unit(E.vec("m")), "xyz")])
     if segment:
         return tube
     m = resolution + 1

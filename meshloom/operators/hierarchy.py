@@ -105,13 +105,18 @@ def deltas(coded: DataFrame, levels: int, sign: int = 1) -> DataFrame:
     return lifted.groupBy("level", cell).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
+def summed(*changes: DataFrame) -> DataFrame:
+    """Signed sums of several changes, cell by cell."""
+    cols = ("level", "cell", *SUMS)
+    rows = changes[0].select(*cols)
+    for c in changes[1:]:
+        rows = rows.union(c.select(*cols))
+    return rows.groupBy("level", "cell").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
 def merge(nodes: DataFrame, *changes: DataFrame) -> DataFrame:
     """Nodes after signed changes; empty cells vanish."""
-    cols = ("level", "cell", *SUMS)
-    all_rows = nodes.select(*cols)
-    for c in changes:
-        all_rows = all_rows.union(c.select(*cols))
-    return all_rows.groupBy("level", "cell").agg(*[F.sum(c).alias(c) for c in SUMS]).where("weight > 0.5")
+    return summed(nodes, *changes).where("weight > 0.5")
 
 
 def means(nodes: DataFrame) -> DataFrame:

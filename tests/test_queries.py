@@ -73,7 +73,7 @@ def test_insert_then_delete_restores_nodes(spark, tmp_path):
     s.change(deletes=p.where("pid >= 300"))
     after = _plain(map(tuple, s.nodes().selectExpr("level", "cell", "round(weight, 6)", "round(sx, 6) + 0.0").collect()))
     assert before == after and seen == ["scan", "scan", "edit"]
-    assert s.undo() == 2
+    assert s.undo() == 2 and s.points().count() == p.count()
 
 
 def test_icp_recovers_a_motion(spark):
@@ -86,6 +86,86 @@ def test_icp_recovers_a_motion(spark):
     assert np.abs(np.array(row).reshape(4, 4) - want).max() < 0.02
 
 
+def test_session_replays_removes_and_folds(spark, tmp_path):
+    from meshloom.operators.tables import cloud
+
+    p = cloud(spark, SF).select("pid", "x", "y", "z", "nx", "ny", "nz")
+    s = Session(spark, f"file://{tmp_path}/s", -1.0, 0.08, 3)
+    ids = lambda x: sorted(r.pid for r in x.points().select("pid").collect())
+    assert s.integrate(p.where("pid < 5"), batch="a/0") == 1 and s.integrate(p.where("pid < 5"), batch="a/0") == 1
+    assert s.integrate(p.where("pid < 9"), batch="a/1") == 2 and ids(s) == list(range(9))  # known ids are left out
+    assert [r.new_points for r in s.statistics().orderBy("version").collect()] == [5, 4]
+    s.change(updates=p.where("pid = 3").selectExpr("pid", "x + 9 AS x", "y", "z", "nx", "ny", "nz"))
+    assert s.points().where("pid = 3").first().version == 3 and ids(s) == list(range(9))
+    far = s.points().where("pid = 3").first()
+    s.delete_sphere((far.x, far.y, far.z), 0.5)
+    assert ids(s) == [0, 1, 2, 4, 5, 6, 7, 8]
+    s.remove_scan(2)
+    assert ids(s) == [0, 1, 2, 4]
+    nodes = lambda x: _plain(map(tuple, x.nodes().selectExpr("level", "cell", "round(weight, 6)", "round(sx, 6) + 0.0").collect()))
+    before, v = nodes(s), s.compact()
+    assert nodes(s) == before and ids(s) == [0, 1, 2, 4] and s.versions() == [v]
+    s.save(f"file://{tmp_path}/t")
+    t = Session.load(spark, f"file://{tmp_path}/t")
+    assert ids(t) == [0, 1, 2, 4] and (t.origin, t.cell, t.levels) == (-1.0, 0.08, 3) and nodes(t) == before
+    s.undo()
+    assert s.versions() == [1, 2, 3, 4, 5] and nodes(s) == before
+
+
+def test_stream_skips_a_batch_that_comes_again(spark, tmp_path):
+    from meshloom.operators.tables import cloud
+    from meshloom.streaming import integrate_stream
+
+    p = cloud(spark, SF).select("pid", "x", "y", "z", "nx", "ny", "nz").where("pid < 60")
+    p.where("pid < 30").coalesce(1).write.parquet(f"{tmp_path}/in")
+    s = Session(spark, f"file://{tmp_path}/s", -1.0, 0.08, 3)
+    for k in range(2):
+        stream = spark.readStream.schema(p.schema).parquet(f"{tmp_path}/in")
+        integrate_stream(stream, s, f"{tmp_path}/check{k}").awaitTermination()  # a lost checkpoint delivers batch 0 again
+    assert s.points().count() == 30 and s.versions() == [1]
+
+
+def test_incremental_solve_keeps_what_is_far(spark, tmp_path):
+    from meshloom.operators.normals import with_normals
+    from meshloom.sources import procedural_scan
+
+    p = with_normals(procedural_scan(spark, 0, 10))
+    s = Session(spark, f"file://{tmp_path}/s", -4.0, 0.3, 3)
+    s.integrate(p.where("x < 1.2"))
+    s.solve(0.3)
+    first = {r.pid: r for r in s.fields().collect()}
+    s.integrate(p.where("x >= 1.2"))
+    s.solve(0.3)
+    second = {r.pid: r for r in s.fields().collect()}
+    assert set(second) == {r.pid for r in s.points().collect()} and set(first) < set(second)
+    kept = [i for i, r in first.items() if r.x < 0.1]
+    assert kept and sum(second[i] == first[i] for i in kept) > 0.5 * len(kept)
+    for r in second.values():
+        assert abs(r.qx * r.nx + r.qy * r.ny + r.qz * r.nz) < 1e-6 and abs(r.qx ** 2 + r.qy ** 2 + r.qz ** 2 - 1) < 1e-6
+    last = [f for f in s.facts() if f["event"] == "solved"][-1]
+    assert last["solved"] == s.points().where("version = 3").count()
+
+
+def test_batch_job_writes_a_fine_mesh(spark, tmp_path):
+    from meshloom import batch
+    from meshloom.sources import load_scan, procedural_scan
+    from meshloom.sources.readers import scan_faces
+
+    procedural_scan(spark, 0, 16).selectExpr("concat_ws(' ', x, y, z, nx, ny, nz) AS value").coalesce(1).write.text(f"{tmp_path}/scan.xyz")
+    out = f"file://{tmp_path}/out.ply"
+    done = batch.run(spark, f"file://{tmp_path}/scan.xyz", out, 4, 2.0, tri=True)
+    vertices, faces = load_scan(spark, out), scan_faces(spark, out)
+    assert vertices.count() == done["fine_vertices"] > done["vertices"] and faces.count() == done["fine_faces"] > 0
+    assert faces.where(f"least(v0, v1, v2) < 0 OR greatest(v0, v1, v2) >= {done['fine_vertices']}").isEmpty()
+    worst = vertices.selectExpr("max(greatest(abs(y), abs(z)))", "min(x)", "max(x)").first()
+    assert worst[0] < 1.6 and -0.6 < worst[1] and worst[2] < 2.8
+    a = batch.arguments(["-i", "a.ply", "-o", "b.ply", "--sym", "6", "--scale", "1.5", "--smooth", "0.5", "--tri"])
+    assert (a.i, a.o, a.sym, a.scale, a.smooth, a.tri) == ("a.ply", "b.ply", 6, 1.5, 0.5, True)
+    for bad in (["--sym", "5"], ["--scale", "0"], ["--smooth", "1"]):
+        with pytest.raises(SystemExit):
+            batch.arguments(["-i", "a", "-o", "b", *bad])
+
+
 def test_readers(spark, tmp_path):
     from meshloom.sources import load_directory, load_scan, procedural_scan
     from meshloom.sources.readers import read_xyz

@@ -236,6 +236,39 @@ def compatible_steps(q0: Vec, n0: Vec, q1: Vec, n1: Vec, rosy: int, keep: list[s
     return [one, two, three, four]
 
 
+def frame_scores(q0: Vec, n0: Vec, q1: Vec, n1: Vec, rosy: int, keep: list[str]) -> list[list[str]]:
+    """Select lists that add (i, j, turn, score): which representative of either side fit
+    best, 1 or -1 if the second is turned around, and the cosine between them; of equal
+    ones the first."""
+    a, b = directions(q0, n0, rosy), directions(q1, n1, rosy)
+    pairs = [(i, j) for i in range(len(a)) for j in range(len(b))]
+    one = keep + [f"{t} AS {p}{i}{c}" for p, side in (("r", a), ("s", b)) for i, v in enumerate(side) for c, t in zip("xyz", v)]
+    two = keep + [f"{dot(vec(f'r{i}'), vec(f's{j}'))} AS d{i}{j}" for i, j in pairs]
+    largest = "greatest(" + ", ".join(f"abs(d{i}{j})" for i, j in pairs) + ")" if len(pairs) > 1 else "abs(d00)"
+    three = keep + [f"d{i}{j}" for i, j in pairs] + [f"{largest} AS score"]
+    pick = lambda text: "CASE " + " ".join(f"WHEN abs(d{i}{j}) = score THEN {text(i, j)}" for i, j in pairs) + " END"
+    four = keep + [f"{pick(lambda i, j: i)} AS i", f"{pick(lambda i, j: j)} AS j",
+                   f"CAST({pick(lambda i, j: signum(f'd{i}{j}'))} AS INT) AS turn", "score"]
+    return [one, two, three, four]
+
+
+def into_plane(q: Vec, source: Vec, target: Vec) -> Vec:
+    """q of the plane of one unit normal turned into that of another, about the line the
+    planes share; q itself where the normals are nearly equal."""
+    c, axis = dot(source, target), cross(source, target)
+    turned = cross(axis, q)
+    along = f"({dot(axis, q)} * (1 - {c}) / nullif({norm2(axis)}, 0))"
+    return tuple(f"(CASE WHEN {c} < 0.9999e0 THEN {x} * {c} + {t} + {k} * {along} ELSE {x} END)" for x, t, k in zip(q, turned, axis))
+
+
+def shifted(q: Vec, n: Vec, rosy: int, times: int) -> Vec:
+    """q turned by `times` steps of its symmetry about n."""
+    import math
+
+    angle = 2 * math.pi * (times % rosy) / rosy
+    return rotate(q, n, round(math.cos(angle), 15) + 0.0, round(math.sin(angle), 15) + 0.0)
+
+
 # --- symmetric position fields ----------------------------------------------
 
 def second_axis(q: Vec, n: Vec, posy: int) -> Vec:
@@ -278,6 +311,22 @@ def round_position(o: Vec, q: Vec, n: Vec, p: Vec, scale: float) -> Vec:
     return lattice_point(o, q, cross(n, q), f"round({u})", f"round({v})", scale)
 
 
+def round_steps(o: Vec, q: Vec, n: Vec, p: Vec, scale: float, posy: int, keep: list[str]) -> list[list[str]]:
+    """Select lists that add rx, ry, rz: the lattice point nearest to p, of the four around
+    it for triangles, whose coordinates can't be rounded one by one."""
+    t = second_axis(q, n, posy)
+    u, v = lattice_coordinates(o, q, n, p, scale, posy)
+    one = keep + [f"{e} AS {k}" for e, k in zip((*o, *q, *t, *p), [f"{s}{c}" for s in ("lo", "lq", "lt", "lp") for c in "xyz"])]
+    one += [f"floor({u}) AS lu", f"floor({v}) AS lv"]
+    corner = lambda i, j: lattice_point(vec("lo"), vec("lq"), vec("lt"), f"(lu + {i})", f"(lv + {j})", scale)
+    every = [(i, j) for j in (0, 1) for i in (0, 1)]
+    two = keep + [f"{e} AS c{k}{c}" for k, (i, j) in enumerate(every) for c, e in zip("xyz", corner(i, j))] + [f"lp{c}" for c in "xyz"]
+    three = keep + [f"c{k}{c}" for k in range(4) for c in "xyz"] + [f"{dist2(vec(f'c{k}'), vec('lp'))} AS far{k}" for k in range(4)]
+    least = "least(" + ", ".join(f"far{k}" for k in range(4)) + ")"
+    four = keep + [f"CASE {' '.join(f'WHEN far{k} = {least} THEN c{k}{c}' for k in range(4))} END AS r{c}" for c in "xyz"]
+    return [one, two, three, four]
+
+
 # --- interpolation ------------------------------------------------------------
 
 @_doubles

@@ -126,9 +126,9 @@ def means(nodes: DataFrame) -> DataFrame:
                             *[f"sn{c} / {length} AS n{c}" for c in "xyz"])
 
 
-def with_capacity(incoming: DataFrame, nodes: DataFrame) -> DataFrame:
+def with_capacity(incoming: DataFrame, nodes: DataFrame, capacity: float = CAPACITY) -> DataFrame:
     """Coded points whose level-1 cell is not full."""
-    full = nodes.where(f"level = 1 AND weight > {CAPACITY}").select(F.col("cell").alias("full"))
+    full = nodes.where(f"level = 1 AND weight > {capacity}").select(F.col("cell").alias("full"))
     return incoming.join(full, F.expr(f"{E.ancestor('code', 1)} = full"), "left_anti")
 
 

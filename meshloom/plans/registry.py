@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cloud_queries, mesh_queries  # noqa: F401  (registers its queries)
+from . import cloud_queries, mesh_queries, topology_queries  # noqa: F401  (they register their queries)
 from ..operators import hierarchy as H
 from ..operators import spatial as S
 from ..operators.tables import cloud

@@ -39,8 +39,10 @@ PARTS = {"points": POINTS, "gone": GONE, "nodes": NODES}
 class Session:
     """A session's tables under a folder: points, nodes and fields by version, statistics."""
 
-    def __init__(self, spark: SparkSession, path: str, origin: float = -16.0, cell: float = 0.08, levels: int = 6):
+    def __init__(self, spark: SparkSession, path: str, origin: float = -16.0, cell: float = 0.08, levels: int = 6,
+                 capacity: float = H.CAPACITY):
         self.spark, self.path, self.origin, self.cell, self.levels = spark, path.rstrip("/"), origin, cell, levels
+        self.capacity = capacity
         self.listeners: list[Callable[[str, int], None]] = []
 
     def _fs(self, name: str):
@@ -145,7 +147,7 @@ class Session:
             scan = scan.join(points.select("pid"), "pid", "left_anti").select(*COLS)
         coded = self._coded(scan.dropDuplicates(["pid"]))
         if known:
-            coded = H.with_capacity(coded, self.nodes())
+            coded = H.with_capacity(coded, self.nodes(), self.capacity)
         return self._commit("scan", began, coded, batch=batch)
 
     def change(self, updates: DataFrame | None = None, deletes: DataFrame | None = None, event: str = "edit") -> int:
@@ -226,11 +228,11 @@ class Session:
 
     def save(self, path: str) -> None:
         """Copy the state to another folder, as a session of one version."""
-        other = Session(self.spark, path, self.origin, self.cell, self.levels)
+        other = Session(self.spark, path, self.origin, self.cell, self.levels, self.capacity)
         other._write("points", "1", self.points(), POINTS)
         other._write("nodes", "1", self.nodes(), NODES)
         facts = {"version": 1, "event": "saved", "points": ["1"], "gone": [], "nodes": ["1"], "added": 0, "taken": 0, "ms": 0,
-                 "settings": {"origin": self.origin, "cell": self.cell, "levels": self.levels}}
+                 "settings": {"origin": self.origin, "cell": self.cell, "levels": self.levels, "capacity": self.capacity}}
         solved = [f["fields"] for f in self.facts() if f.get("fields")]
         if solved:
             self.spark.read.schema(FIELDS).parquet(f"{self.path}/fields/{solved[-1]}").write.mode("overwrite").parquet(f"{path}/fields/1")

@@ -190,3 +190,136 @@ def test_io_roundtrip_takes_every_point(spark):
 
     want = cloud(spark, SF).count()
     assert want > 100 and registry.QUERIES["io_roundtrip"](spark, SF).count() == want
+
+
+def _grid_mesh():
+    """A quad and a triangle that share an edge: (fid, verts), vertices by id."""
+    faces = [(1, [0, 1, 2, 3]), (2, [1, 4, 2])]
+    at = {0: (0, 0, 0), 1: (1, 0, 0), 2: (1, 1, 0), 3: (0, 1, 0), 4: (2, 0.5, 0)}
+    return faces, [(i, *map(float, p), 0.0, 0.0, 1.0) for i, p in at.items()]
+
+
+def test_texels_of_a_mesh_are_shared_and_solved(spark):
+    import numpy as np
+
+    from meshloom.operators import texels as T
+    from meshloom.operators.tables import cut
+
+    f, v = _grid_mesh()
+    faces = spark.createDataFrame(f, "fid long, verts array<long>")
+    vertices = spark.createDataFrame(v, "root long, x double, y double, z double, nx double, ny double, nz double")
+    grid = cut(T.numbered_mesh(vertices, faces), "grid")
+    rows = grid.collect()
+    assert len(rows) == 121 + 66 and {r.texel for r in rows} == set(range(5 + 9 * 6 + 81 + 36))
+    fine, small = T.fine_mesh(vertices, faces, grid)
+    at = {r.root: (r.x, r.y) for r in fine.collect()}
+    by_place = {}
+    for r in rows:  # one texel, one place, from whichever face
+        p = (r.i / 10, r.j / 10) if r.fid == 1 else (1 + r.i / 10, r.i / 20 + r.j / 10)
+        assert np.allclose(at[r.texel], p) and by_place.setdefault(r.texel, tuple(np.round(p, 9))) == tuple(np.round(p, 9))
+    assert small.count() == 100 + 100 and T.fine_mesh(vertices, faces, grid, triangles=True)[1].count() == 200 + 100
+    pairs = {(r.t, r.s) for r in T.texel_neighbours(grid, faces).collect()}
+    step = lambda a, b: np.hypot(at[a][0] - at[b][0], at[a][1] - at[b][1])
+    assert all(step(a, b) < 0.16 for a, b in pairs)
+    for a in at:  # every inner texel of the quad has four neighbours, of the triangle six
+        if 0.05 < at[a][0] < 0.95 and 0.05 < at[a][1] < 0.95:
+            assert sum(a in p for p in pairs) == 4
+    # The detail map of a plane z = 0.1 + 0.05 x over it, against a dense solution.
+    rng = np.random.default_rng(3)
+    pts = [(i, float(x), float(y), 0.1 + 0.05 * float(x), 0.0, 0.0, 1.0) for i, (x, y) in enumerate(rng.random((400, 2)))]
+    points = spark.createDataFrame(pts, "pid long, x double, y double, z double, nx double, ny double, nz double")
+    member = points.selectExpr("pid", "CAST(pid % 4 AS BIGINT) AS root")
+    got = {r.texel: r.h for r in T.map_attributes(points, member, vertices, faces, grid, 1.0, smoothness=0.01, tolerance=1e-5, block=90).collect()}
+    inside = [a for a in at if 0.15 < at[a][0] < 0.85 and 0.15 < at[a][1] < 0.85]
+    assert max(abs(got[a] - (0.1 + 0.05 * at[a][0])) for a in inside) < 2e-3
+
+
+def test_solver_keeps_entries_between_blocks_and_boundary_values(spark):
+    import numpy as np
+
+    from meshloom.operators import texels as T
+
+    rng = np.random.default_rng(8)
+    n = 60
+    pairs = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, n, (150, 2)) if a != b} | {(i, i + 1) for i in range(n - 1)})
+    data = [(k, int(rng.integers(0, n)), 1.0, float(rng.random()), float(rng.random())) for k in range(25)]
+    fixed = [(3, 0.5, 1.5), (40, -1.0, 2.0)]
+    lap = T.laplacian(spark.createDataFrame(pairs, "t long, s long"))
+    obs = spark.createDataFrame(data, "obs long, col long, w double, x double, y double")
+    m, rhs = T.normal_equations(lap, obs, ("x", "y"), fixed=spark.createDataFrame(fixed, "row long, x double, y double"))
+    blocks = m.select("row").distinct().selectExpr("row", "row div 7 AS block")
+    got = {r.row: (r.x, r.y) for r in T.solve(m, rhs, blocks, ("x", "y"), 1e-10).collect()}
+    L = np.zeros((n, n))
+    for a, b in pairs:
+        L[a, b] = L[b, a] = -1
+    L = L / -L.sum(1, keepdims=True) * 1 + 0
+    L = np.eye(n) + L
+    D = np.zeros((len(data), n))
+    for k, (_, c, w, *_r) in enumerate(data):
+        D[k, c] = w
+    A, rhs2 = 0.8 * L.T @ L + 0.2 * D.T @ D, 0.2 * D.T @ np.array([d[3:] for d in data])
+    known = np.array([f[0] for f in fixed])
+    free = np.setdiff1d(np.arange(n), known)
+    want = np.linalg.solve(A[np.ix_(free, free)], rhs2[free] - A[np.ix_(free, known)] @ np.array([f[1:] for f in fixed]))
+    assert set(got) == set(free.tolist()) and np.abs(np.array([got[i] for i in free]) - want).max() < 1e-7
+    start = {r.row: r.x for r in T.first_guess(m, rhs, ("x",)).collect()}
+    assert set(start) == set(got) and sum(v != 0 for v in start.values()) == len(start)
+
+
+def test_colouring_is_greedy_in_its_order(spark):
+    from meshloom.operators import graph
+
+    edges = [(i, (i * 7 + 3) % 50) for i in range(50)] + [(0, j) for j in range(1, 40)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.colour for r in graph.colouring(df, spark.range(52).withColumnRenamed("id", "node")).collect()}
+    order = [r.id for r in spark.range(52).selectExpr("id", "xxhash64(id) AS h").orderBy("h").collect()]
+    near = {i: set() for i in range(52)}
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for i in order:
+        used = {want[j] for j in near[i] if j in want}
+        want[i] = next(c for c in range(60) if c not in used)
+    assert got == want
+    counts = {r.colour: (r.nodes, r.neighbours) for r in graph.colour_counts(spark.createDataFrame(got.items(), "node long, colour int"),
+                                                                             df.where("a <> b")).collect()}
+    assert sum(n for n, _ in counts.values()) == 52 and sum(k for _, k in counts.values()) == 2 * sum(a != b for a, b in edges)
+
+
+def test_artefacts_go_one_by_one(spark):
+    from meshloom.operators import extract as X
+
+    # Two triangles on an edge, and three fins on it: each fin goes, as the edge keeps two.
+    f = [(1, [0, 1, 2]), (2, [1, 0, 3]), (7, [0, 1, 10]), (8, [0, 1, 11]), (9, [0, 1, 12]), (3, [1, 4, 2]), (4, [0, 3, 5])]
+    left = X.without_artefacts(spark.createDataFrame(f, "fid long, verts array<long>"))
+    assert {r.fid for r in left.collect()} == {1, 2, 3, 4}
+    assert X.nonmanifold(X.edge_table(left)).isEmpty()
+
+
+def test_normals_policy(spark):
+    import numpy as np
+
+    from meshloom.operators.normals import by_neighbourhood, with_normals
+
+    rng = np.random.default_rng(1)
+    cols = "pid long, x double, y double, z double, nx double, ny double, nz double"
+    flat = [(i, float(a), float(b), 2.0 + 0.1 * float(a), None, None, None) for i, (a, b) in enumerate(rng.random((80, 2)))]
+    points = spark.createDataFrame(flat, cols)
+    got = with_normals(points).collect()
+    want = np.array([0.1, 0, -1]) / np.sqrt(1.01)
+    assert len(got) == 80 and all(np.allclose((r.nx, r.ny, r.nz), want, atol=1e-6) for r in got)
+    p = np.array([[r[1], r[2], r[3]] for r in flat])
+    bent = p + np.column_stack([np.zeros(80), np.zeros(80), 0.3 * p[:, 1] ** 2])
+    got = {r.pid: np.array([r.nx, r.ny, r.nz]) for r in by_neighbourhood(spark.createDataFrame(
+        [(i, *map(float, q), None, None, None) for i, q in enumerate(bent)], cols)).collect()}
+    for i, q in enumerate(bent):
+        near = bent[np.argsort(((bent - q) ** 2).sum(1), kind="stable")[:20]]
+        n = np.linalg.eigh(np.cov(near.T))[1][:, 0]
+        assert np.allclose(got[i], n * (-1 if n @ q > 0 else 1), atol=1e-5)
+    faces = spark.createDataFrame([(0, 1, 2)], "v0 long, v1 long, v2 long")
+    three = spark.createDataFrame([(0, 0.0, 0.0, 0.0, None, None, None), (1, 1.0, 0.0, 0.0, None, None, None), (2, 0.0, 1.0, 0.0, None, None, None)], cols)
+    assert {(r.nx, r.ny, r.nz) for r in with_normals(three, faces).collect()} == {(0, 0, 1)}
+    given = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.0, 0.0, 4.0), (1, 1.0, 0.0, 0.0, None, None, None)], cols)
+    assert [(r.nx, r.nz) for r in with_normals(given, faces).orderBy("pid").collect()] == [(0, 1), (None, None)]

@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: ASCII white space that separates words (fixed value of the contracts).
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, a laptop) a temporary folder is
-    made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="meshloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from ..operators.graph import delete_path
+from ..operators.tables import read as read_table  # noqa: F401
+from ..operators.tables import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage
     and survives lost executors."""
@@ -59,11 +39,3 @@ class Shelf:
     def drop(self, *names: str) -> None:
         for name in names:
             delete_path(self.spark, self.paths.pop(name))
-
-
-def text_or_empty(col: str):
-    return F.coalesce(F.col(col), F.lit(""))
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

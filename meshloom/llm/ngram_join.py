@@ -55,8 +55,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import Shelf, read_table
-from .graph import connected_components
 from .words import shingle_sets
 
 #: A token of more texts than this is listed.
@@ -497,3 +497,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL of op1_ngram_jaccard_join(): all pairs that share a shingle, counted.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(x, y) AS (SELECT x, x FROM u UNION SELECT k.x, u.y FROM reach k JOIN u ON k.y = u.x),
+least_id AS (SELECT reach.x, min(doc_id) AS c FROM reach JOIN d ON d.r = reach.y GROUP BY reach.x),
+links AS (SELECT x, count(*) AS k FROM u GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(k, 0) AS n_links, coalesce(c, doc_id) AS component_id
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN links ON links.x = d.r LEFT JOIN least_id ON least_id.x = d.r
+"""

@@ -17,6 +17,8 @@ QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op3_quality_rules": quality.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
     "op7_url_filters": urlfilter.ORACLE,

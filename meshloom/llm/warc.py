@@ -281,3 +281,15 @@ def read_packages(manifest: DataFrame) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_packages(write_packages(read_table(spark, sf_dir, "pages")))
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: DuckDB SQL of op6_warc(): base32 is 5 bits a sign, so 5 hexadecimal digits are 4 signs.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT page_id, h, sha1(h) AS x, min(page_id) OVER (PARTITION BY sha1(h)) AS first FROM p),
+b AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS INT), 5) AS BIGINT)) AS five FROM m)
+SELECT page_id, strlen(h) AS payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((five[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""

@@ -15,8 +15,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from meshloom.llm import decontaminate, graph, linededup, lm, ngram_join, packing, pii, quality, toxicity, urlfilter, warc
+from meshloom.llm import decontaminate, linededup, lm, ngram_join, packing, pii, quality, toxicity, urlfilter, warc
 from meshloom.llm.queries import ORACLES, QUERIES
+from meshloom.operators import graph
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")

@@ -16,39 +16,56 @@ COLS = "doc_id long, text string"
 
 
 class Brute:
-    """The model by dictionaries; one shard of contexts for each range of word hashes."""
+    """The model by dictionaries; shards of contexts are ranges of word hashes, then of
+    bigrams in order of their hashes."""
 
     def __init__(self, texts, log):
-        self.c, self.b = Counter(), Counter()
-        for t in texts:
-            w = [*tokens(t), None]
+        self.c, self.b, self.t = Counter(), Counter(), Counter()
+        for x in texts:
+            w = [*tokens(x), None]
+            h = [None, *w[:-1]]
             self.c.update(w)
-            self.b.update(zip([None, *w[:-1]], w))
+            self.b.update(zip(h, w))
+            self.t.update(zip(h, w, w[1:]))
         self.n, self.v = sum(self.c.values()), len(self.c)
-        shard = lambda w: int((lm.END if w is None else lm._tokens([w])[0][0]) >> lm.U(64 - log))
-        self.shard = {w: shard(w) for w in self.c}
-        self.d = {}
-        for s in set(self.shard.values()):
-            counts = np.array([k for (h, _), k in self.b.items() if self.shard[h] == s] or [1])
-            self.d[s] = lm._discount(counts)
-        self.left, self.rest = Counter(), Counter()
-        for (h, w), k in self.b.items():
-            self.left[h] += (k - self.d[self.shard[h]]) / self.c[h]
-            self.rest[h] += 10 ** self.plain(w)
+        hashed = {w: int(lm.END if w is None else lm._tokens([w])[0][0]) for w in self.c}
+        order = sorted(self.b, key=lambda k: (hashed[k[0]], hashed[k[1]]))
+        per = -(-len(order) // (1 << log))
+        self.shard = [{w: x >> (64 - log) for w, x in hashed.items()}, {k: i // per for i, k in enumerate(order)}]
+        self.levels = [self.level(self.b, self.shard[0], 1, self.plain, lambda h: self.c[h])]
+        self.levels.append(self.level(self.t, self.shard[1], lm.KEPT, None, lambda h: self.b[h]))
+
+    def level(self, grams, shard, least, plain, total):
+        """(probabilities, log10 of backoff weights) of a level."""
+        split = lambda k: (k[0], k[1]) if len(k) == 2 else (k[:2], k[2])
+        seen = {}
+        for k, n in grams.items():
+            x = seen.setdefault(shard[split(k)[0]], [0, 0])
+            x[0] += n == 1
+            x[1] += n == 2
+        p, left, rest = {}, Counter(), Counter()
+        for k, n in grams.items():
+            h, w = split(k)
+            if n >= least:
+                p[h, w] = min(1.0, (n - lm._discount(*seen[shard[h]])) / total(h))
+                left[h] += p[h, w]
+                rest[h] += 10 ** (plain(w) if plain else self.second(h[1], w))
+        return p, {h: math.log10(max(1 - left[h], 1e-12) / max(1 - rest[h], 1e-12)) for h in left}
 
     def plain(self, w):
         return math.log10((self.c[w] + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
-    def score(self, t):
-        total, h = 0.0, None
-        for w in [*tokens(t), None]:
-            if self.b[h, w]:
-                total += math.log10((self.b[h, w] - self.d[self.shard[h]]) / self.c[h])
-            elif self.left[h]:
-                total += math.log10(max(1 - self.left[h], 1e-12) / max(1 - self.rest[h], 1e-12)) + self.plain(w)
-            else:
-                total += self.plain(w)
-            h = w
+    def second(self, h, w):
+        p, back = self.levels[0]
+        return math.log10(p[h, w]) if (h, w) in p else back.get(h, 0.0) + self.plain(w)
+
+    def score(self, x):
+        w = [*tokens(x), None]
+        total = self.second(None, w[0])
+        p, back = self.levels[1]
+        for h2, h1, y in zip([None, *w[:-2]], w, w[1:]):
+            h = (h2, h1)
+            total += math.log10(p[h, y]) if (h, y) in p else back.get(h, 0.0) + self.second(h1, y)
         return total
 
 
@@ -72,14 +89,14 @@ def test_bigrams_are_found_through_the_pointers(spark):
     seen = want > plain + 0.3
     assert seen.any()
     for s in t.paired:  # pointers that are all the same, or moved by one context, lose the successors
-        point, nxt, prob, backoff = t._pairs(s)
+        point, nxt, prob, backoff, discount = t._pairs(s)
         values = point.get(np.arange(point.n))
         for wrong in (np.full_like(values, values[-1]), np.append(values[1:], values[-1])):
-            t.open[f"pairs-{s}"] = (lm.EliasFano.of(wrong, nxt.n + 1), nxt, prob, backoff, 0)
+            t.open[f"pairs-{s}"] = (lm.EliasFano.of(wrong, nxt.n + 1), nxt, prob, backoff, discount, 0)
             own = t.shard_of(ctx) == s
             lost = t.scores(ctx[own], word[own], plain[own])
             assert (lost[seen[own]] < want[own][seen[own]]).any()
-        t.open[f"pairs-{s}"] = (point, nxt, prob, backoff, 0)
+        t.open[f"pairs-{s}"] = (point, nxt, prob, backoff, discount, 0)
 
 
 def test_search_stays_in_its_range():
@@ -121,3 +138,23 @@ def test_nothing_to_learn_from(spark, rows):
         {c: F.lit(1) for c in ("id", "score", "bucket", "blob")})
     out = lm.score(docs, meta).collect()
     assert len(out) == 3 and all(math.isfinite(r.score) for r in out) and lm.score(docs.limit(0), meta).count() == 0
+
+
+def test_trigrams_are_found_through_the_pointers(spark):
+    texts = [(i, f"a{i % 3} b{i % 2} c{i % 3}" + f" rare{i}" * (i % 5 == 0)) for i in range(120)]
+    t = lm.Trie(lm.fit(spark.createDataFrame(texts, COLS)))
+    word = lambda *w: t.ids(lm._tokens([x.encode() for x in w])[0][::2])
+    pair, _ = t.bigrams(word("a0", "a1", "c0"), word("b0", "b1", "a0"))
+    assert (pair[:2] >= 0).all() and pair[2] == -1
+    last = word("c0", "c1", "c2")
+    low = np.full(3, -9.0)
+    for k in (0, 1):
+        got = t.third(np.full(3, pair[k]), last, low)
+        assert (got > -2).tolist() == [c % 3 == k for c in range(3)]
+    ids, plain = np.arange(t.size), t.plain(t.counts(np.arange(t.size)))
+    middle, count = t.parts(pair[:2])
+    assert (middle == word("b0", "b1")).all() and count.tolist() == [20, 20]
+    total = 10 ** t.third(np.full(t.size, pair[0]), ids, t.scores(np.full(t.size, middle[0]), ids, plain))
+    assert 0.97 < total.sum() < 1.01
+    assert sum(t._triples(s)[1].n for s in t.tripled) == sum(n >= lm.KEPT for n in Counter(
+        g for _, x in texts for w in [[None, *x.split(), None]] for g in zip(w, w[1:], w[2:])).values())

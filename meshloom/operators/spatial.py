@@ -136,6 +136,12 @@ def expand_set(members: DataFrame, points: DataFrame, radius: float) -> DataFram
     return members.select("pid").union(grown).distinct()
 
 
+def outside_neighbours(members: DataFrame, adj: DataFrame) -> DataFrame:
+    """(src, dst) neighbours of members (pid) that are no members themselves."""
+    out = adj.select("src", "dst").join(members.select(F.col("pid").alias("src")), "src", "left_semi")
+    return out.join(members.select(F.col("pid").alias("dst")), "dst", "left_anti").select("src", "dst")
+
+
 def adjacent_cells(cells: DataFrame) -> DataFrame:
     """Occupied cells (cx, cy, cz) with each of their occupied 26 neighbours."""
     own = cells.select(*CELL).distinct()

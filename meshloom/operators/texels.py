@@ -382,14 +382,20 @@ def wireframe(faces: DataFrame, grid: DataFrame, r: int = R) -> DataFrame:
     return ends.select(F.xxhash64("s", "t").alias("fid"), F.array("s", "t", "t").alias("verts"))
 
 
-def smooth_points(points: DataFrame, radius: float, amount: float, axes: tuple[float, float, float] = (0.0, 0.0, 1.0)) -> DataFrame:
+def smooth_points(points: DataFrame, radius: float, amount: float, axes: tuple[float, float, float] = (0.0, 0.0, 1.0),
+                  brush: tuple[tuple[float, float, float], float] | None = None) -> DataFrame:
     """One step of the smoothing brush: points move towards the Gaussian mean of their
-    neighbours by a share along two tangents and the normal."""
+    neighbours by a share along two tangents and the normal. brush, a centre and a
+    radius, leaves points outside it where they are."""
     from .spatial import radius_join
 
-    near = radius_join(points, points, radius, ("x", "y", "z")).withColumn("w", F.expr(f"exp(-9e0 * d2 / {radius * radius!r})"))
+    inside = points
+    if brush is not None:
+        inside = points.where(F.expr(f"{E.dist2(E.vec(''), tuple(map(repr, map(float, brush[0]))))} <= {float(brush[1]) ** 2!r}"))
+    near = radius_join(inside, points, radius, ("x", "y", "z")).withColumn("w", F.expr(f"exp(-9e0 * d2 / {radius * radius!r})"))
     mean = near.groupBy("src").agg(*[(F.sum(F.col("w") * F.col(f"b_{c}")) / F.sum("w")).alias(f"m{c}") for c in "xyz"])
-    j = points.join(mean.withColumnRenamed("src", "pid"), "pid")
+    j = points.join(mean.withColumnRenamed("src", "pid"), "pid", "left" if brush is not None else "inner")
+    j = j.withColumns({f"m{c}": F.coalesce(f"m{c}", c) for c in "xyz"})
     b, c = E.tangent_frame(E.vec("n"))
     j = j.withColumns({f"b{k}": F.expr(t) for k, t in zip("xyz", b)} | {f"c{k}": F.expr(t) for k, t in zip("xyz", c)}
                       | {f"d{k}": F.expr(f"m{k} - {k}") for k in "xyz"})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import extract as X
 from ..operators import hierarchy as H
+from ..operators import normals
 from ..operators import spatial as S
 from ..operators import texels as T
 from ..operators.tables import cut, fence, shared_dir
@@ -109,6 +110,22 @@ def grid_plan(points, spark, sf_dir):
     return spark.createDataFrame([(p["cell"], int(p["levels"]), p["x"], p["y"], p["z"])], "cell double, levels int, ox double, oy double, oz double")
 
 
+@query(f"""WITH adj AS (SELECT a.pid AS src, b.pid AS dst FROM cloud a, cloud b WHERE a.pid < b.pid AND {_D2} <= 0.01)
+SELECT src, dst FROM adj WHERE src % 5 = 0 AND dst % 5 <> 0""")
+def set_halo(points, spark, sf_dir):
+    return S.outside_neighbours(points.where("pid % 5 = 0"), C._edges(points))
+
+
+@query(f"""WITH adj AS (SELECT a.pid AS src, b.pid AS dst, {_D2} AS d FROM cloud a, cloud b WHERE a.pid <> b.pid AND {_D2} <= 0.01),
+s AS (SELECT src, sum(exp(-d / 0.0128e0) * nx) AS sx, sum(exp(-d / 0.0128e0) * ny) AS sy, sum(exp(-d / 0.0128e0) * nz) AS sz FROM adj JOIN cloud ON dst = pid GROUP BY src),
+m AS (SELECT pid, nx + coalesce(sx, 0) AS mx, ny + coalesce(sy, 0) AS my, nz + coalesce(sz, 0) AS mz FROM cloud LEFT JOIN s ON src = pid)
+SELECT pid, round(mx / sqrt(mx * mx + my * my + mz * mz), 6) + 0e0 AS nx, round(my / sqrt(mx * mx + my * my + mz * mz), 6) + 0e0 AS ny,
+  round(mz / sqrt(mx * mx + my * my + mz * mz), 6) + 0e0 AS nz FROM m""")
+def filtered_normals(points, spark, sf_dir):
+    adj = S.radius_join(points, points, 0.1).where("src <> dst")
+    return normals.filtered(points, adj, C.SCALE, 1, 1.0).select("pid", "nx", "ny", "nz")
+
+
 # --- texels ----------------------------------------------------------------------------
 
 def _patch(points) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ driver but the small ALN and FRAMES lists.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import posixpath
 from collections.abc import Iterator
@@ -89,18 +90,43 @@ def read_texture_points(spark: SparkSession, path: str, pixels: DataFrame) -> Da
 
 
 def read_xyz(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Points, and lines that don't have three numbers. Six numbers give a normal;
-    what follows on a line is ignored."""
+    """Points, and lines that don't have the numbers of the file's first one: three, or six
+    with a normal. What follows on a line is ignored. pid is the line's place in a file
+    that one task reads, else unique and in order."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("scan"), F.monotonically_increasing_id().alias("pid"),
-                                         F.split(F.trim("value"), r"\s+").alias("w"))
+                                         F.split(F.trim("value"), r"\s+").alias("w")).where("w[0] <> ''")
     num = lambda i: F.expr(f"try_cast(get(w, {i}) AS DOUBLE)")
-    cols = {c: num(i) for i, c in enumerate(("x", "y", "z", "nx", "ny", "nz"))}
-    parsed = lines.select("scan", "pid", "w", *[c.alias(n) for n, c in cols.items()])
-    good = parsed.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
-    bad = parsed.where("(x IS NULL OR y IS NULL OR z IS NULL) AND w[0] <> ''").select("scan", F.array_join("w", " ").alias("line"))
+    names = ("x", "y", "z", "nx", "ny", "nz")
+    parsed = lines.select("scan", "pid", "w", *[num(i).alias(n) for i, n in enumerate(names)])
+    plain, full = ("".join(f" AND {c} IS NOT NULL" for c in cols)[5:] for cols in (names[:3], names))
+    first = parsed.groupBy("scan").agg(F.min_by(F.expr(full), "pid").alias("full"))
+    parsed = parsed.join(F.broadcast(first), "scan")  # one row a file
+    good = parsed.where(f"CASE WHEN full THEN {full} ELSE {plain} END")
+    bad = parsed.where(f"NOT CASE WHEN full THEN {full} ELSE {plain} END").select("scan", F.array_join("w", " ").alias("line"))
     none = [F.lit(None).cast("int").alias(c) for c in "rgb"]
-    full = F.col("nx").isNotNull() & F.col("ny").isNotNull() & F.col("nz").isNotNull()
-    return good.select("scan", "pid", "x", "y", "z", *[F.when(full, F.col(n)).alias(n) for n in ("nx", "ny", "nz")], *none), bad
+    return good.select("scan", "pid", "x", "y", "z", *[F.when(F.col("full"), F.col(n)).alias(n) for n in names[3:]], *none), bad
+
+
+def with_lab(points: DataFrame) -> DataFrame:
+    """points with l, a, b of their linear 16-bit r, g, b; null where there is no colour."""
+    lab = E.rgb_to_lab(("r", "g", "b"))
+    known = "r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL"
+    named = points.select(*[c for c in points.columns if c not in "rgb"], *[F.expr(f"CASE WHEN {known} THEN {t} END").alias(f"lab_{n}")
+                                                                       for t, n in zip(lab, "lab")], "r", "g", F.col("b").alias("blue"))
+    return named
+
+
+def cached_scan(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """load_scan() by way of a Parquet copy in folder, known by the file's path, time and
+    length, so that a changed file is read anew."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(p)
+    key = hashlib.sha1(f"{path} {status.getModificationTime()} {status.getLen()}".encode()).hexdigest()
+    at = f"{folder.rstrip('/')}/{key}"
+    if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")):
+        load_scan(spark, path).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
 
 
 def _text(spark: SparkSession, path: str) -> str:

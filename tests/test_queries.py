@@ -323,3 +323,80 @@ def test_normals_policy(spark):
     assert {(r.nx, r.ny, r.nz) for r in with_normals(three, faces).collect()} == {(0, 0, 1)}
     given = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.0, 0.0, 4.0), (1, 1.0, 0.0, 0.0, None, None, None)], cols)
     assert [(r.nx, r.nz) for r in with_normals(given, faces).orderBy("pid").collect()] == [(0, 1), (None, None)]
+
+
+def test_first_line_decides_the_columns(spark, tmp_path):
+    from meshloom.sources.readers import read_xyz
+
+    (tmp_path / "six.xyz").write_text("0 0 0 0 0 1\n1 2 3\n\n4 5 6 0 1 0 9\n")
+    (tmp_path / "three.xyz").write_text("0 0 0\n4 5 6 0 1 0\nx y z\n")
+    points, bad = read_xyz(spark, f"file://{tmp_path}/six.xyz")
+    assert sorted((r.x, r.ny) for r in points.collect()) == [(0, 0), (4, 1)] and [r.line for r in bad.collect()] == ["1 2 3"]
+    points, bad = read_xyz(spark, f"file://{tmp_path}/three.xyz")
+    assert sorted((r.x, r.ny) for r in points.collect()) == [(0, None), (4, None)] and [r.line for r in bad.collect()] == ["x y z"]
+
+
+def test_cache_follows_the_file_and_colours_become_lab(spark, tmp_path):
+    import os
+
+    from meshloom.sources.readers import cached_scan, read_whole, with_lab
+
+    head = "ply\nformat ascii 1.0\nelement vertex {}\n" + "".join(f"property float {c}\n" for c in "xyz") + "".join(
+        f"property uchar {c}\n" for c in ("red", "green", "blue")) + "end_header\n"
+    f = tmp_path / "a.ply"
+    f.write_text(head.format(2) + "0 0 0 255 255 255\n1 0 0 0 0 0\n")
+    path, folder = f"file://{f}", f"file://{tmp_path}/cache"
+    assert cached_scan(spark, path, folder).count() == 2 and cached_scan(spark, path, folder).count() == 2
+    assert len(os.listdir(tmp_path / "cache")) == 1
+    f.write_text(head.format(1) + "5 0 0 255 0 0\n")
+    os.utime(f, (1, 1))
+    assert [r.x for r in cached_scan(spark, path, folder).collect()] == [5]
+    lab = with_lab(read_whole(spark, path)[0]).first()
+    assert (lab.r, lab.g, lab.blue) == (65535, 0, 0) and abs(lab.lab_l / 655.35 - 53.2) < 0.2
+    assert abs((lab.lab_a - 32768) / 327.67 - 80.1) < 0.5 and abs((lab.lab_b - 32768) / 327.67 - 67.2) < 0.5
+
+
+def test_obj_round_trip(spark, tmp_path):
+    from meshloom.sources import load_scan, write_obj
+    from meshloom.sources.readers import scan_faces
+
+    faces, at = _grid_mesh()
+    v = spark.createDataFrame([(10 * i, x, y, z + 1e-7 * i, *n) for i, x, y, z, *n in at], "root long, x double, y double, z double, nx double, ny double, nz double")
+    f = spark.createDataFrame([(i, [10 * x for x in verts]) for i, verts in faces], "fid long, verts array<long>")
+    write_obj(v, f, f"file://{tmp_path}/m.obj")
+    assert sorted((r.pid, r.x, r.y, r.z) for r in load_scan(spark, f"file://{tmp_path}/m.obj").collect()) == [
+        (k, x, y, z + 1e-7 * i) for k, (i, x, y, z, *_) in enumerate(at)]
+    assert sorted(tuple(r) for r in scan_faces(spark, f"file://{tmp_path}/m.obj").collect()) == [(0, 1, 2), (1, 4, 2), (3, 0, 2)]
+
+
+def test_brush_leaves_what_is_outside(spark):
+    from meshloom.operators import texels as T
+    from meshloom.operators.tables import cloud
+
+    p = cloud(spark, SF).select("pid", "x", "y", "z", "nx", "ny", "nz")
+    whole = {r.pid: (r.x, r.y, r.z) for r in T.smooth_points(p, 0.1, 0.5).collect()}
+    part = {r.pid: (r.x, r.y, r.z) for r in T.smooth_points(p, 0.1, 0.5, brush=((0, 0, 0), 0.12)).collect()}
+    for r in p.collect():
+        inside = r.x ** 2 + r.y ** 2 + r.z ** 2 <= 0.12 ** 2
+        assert part[r.pid] == (whole[r.pid] if inside else (r.x, r.y, r.z))
+
+
+def test_registration_of_picked_and_matched_points(spark):
+    import numpy as np
+
+    from meshloom.operators import hierarchy as H
+    from meshloom.operators import kernels, register, texels
+
+    rng = np.random.default_rng(2)
+    p = rng.random((30, 3))
+    m = np.array(register.matrix(kernels.small_rotation(np.array([0.3, -0.2, 0.1])), [1, 2, 3])).reshape(4, 4)
+    q = p @ m[:3, :3].T + m[:3, 3]
+    assert np.allclose(register.from_pairs(p[:4].tolist(), q[:4].tolist()), m.ravel())
+    assert np.allclose(np.array(register.manual(p[0], q[0])).reshape(4, 4)[:3, 3], q[0] - p[0])
+    pairs = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(p, q)], "x double, y double, z double, tx double, ty double, tz double")
+    assert np.allclose(register.point_step(pairs), m.ravel(), atol=1e-9)
+    ring = np.array([[np.cos(a), np.sin(a), 0.1 * np.cos(a)] for a in np.linspace(0, 2 * np.pi, 40, endpoint=False)])
+    inner = rng.random((20, 2)) - 0.5
+    got, shade = texels.fill_hole(ring, np.column_stack([inner, 0.1 * inner[:, 0]]), np.tile([100.0, 200, 300], (40, 1)))
+    assert np.abs(got[:, 2] - 0.1 * got[:, 0]).max() < 1e-6 and np.allclose(shade, [100, 200, 300], atol=1)
+    assert H.grid_plan(spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 8.0, 4.0, 2.0)], "pid long, x double, y double, z double"))["levels"] >= 2

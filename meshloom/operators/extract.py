@@ -179,18 +179,43 @@ def simple_orbits(ring: DataFrame, longest: int = 8) -> DataFrame:
 
 
 def trace_faces(ring: DataFrame, quads_first: bool = True) -> DataFrame:
-    """(component, degree, verts): greedy ordered walks, per connected component,
-    then holes of up to eight edges along used darts."""
-    comp = connected_components(ring, "v", "w").withColumnRenamed("node", "v")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = {int(v): g.sort_values("rank")["w"].astype(int).tolist() for v, g in pdf.groupby("v")}
-        faces = kernels.trace(rings, quads_first)
-        return pd.DataFrame({"component": pd.Series([int(pdf["component"].iloc[0])] * len(faces), dtype="int64"),
-                             "degree": pd.Series([len(f) for f in faces], dtype="int32"),
-                             "verts": pd.Series(faces, dtype=object)})
-
-    return ring.join(comp, "v").groupBy("component").applyInPandas(run, "component long, degree int, verts array<long>")
+    """(orbit, degree, verts): greedy walks around the rings, of 3 to 8 vertices, no dart
+    used twice; then holes, walked from unused darts whose twin is used.
+
+    A walk never leaves the orbit of its first dart under the successor, so orbits, found
+    as components of darts, are walked one by one: a task holds the rim of a face or hole,
+    not a mesh. Holes are walked in rounds until none gives a face."""
+    darts = successors(ring).join(ring.select(F.col("v").alias("a"), F.col("w").alias("b"), "rank"), ["a", "b"])
+    darts = cut(darts.withColumns({"dart": F.xxhash64("a", "b"), "next": F.xxhash64("b", "c")}), "darts")
+    orbit = connected_components(darts.where("dart <> next"), "dart", "next")
+    darts = cut(darts.join(orbit.withColumnRenamed("node", "dart"), "dart").select(
+        F.col("component").alias("orbit"), "a", "b", "c", "rank"), "orbits")
+
+    def walk(holes: bool):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["a", "rank"])
+            steps = dict(zip(zip(pdf["a"].tolist(), pdf["b"].tolist()), pdf["c"].tolist()))
+            used = set(zip(pdf.loc[pdf["used"], "a"].tolist(), pdf.loc[pdf["used"], "b"].tolist())) if holes else set()
+            start = [d for d, t in zip(steps, pdf["twin"].tolist()) if t] if holes else list(steps)
+            faces = kernels.walk_orbit(steps, start, used, None if holes else quads_first)
+            return pd.DataFrame({"orbit": pd.Series([int(pdf["orbit"].iloc[0])] * len(faces), dtype="int64"),
+                                 "degree": pd.Series([len(f) for f in faces], dtype="int32"),
+                                 "verts": pd.Series(faces, dtype=object)})
+
+        return run
+
+    schema = "orbit long, degree int, verts array<long>"
+    faces = cut(darts.groupBy("orbit").applyInPandas(walk(False), schema), "faces")
+    while True:
+        taken = cut(face_edges(faces.select(F.xxhash64("verts").alias("fid"), "verts")).select("a", "b").distinct(), "taken")
+        mark = darts.join(taken.withColumn("used", F.lit(True)), ["a", "b"], "left").join(
+            taken.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("twin")), ["a", "b"], "left").fillna(False, ["used", "twin"])
+        mark = mark.withColumn("twin", F.col("twin") & ~F.col("used"))
+        open_orbits = mark.where("twin").select("orbit").distinct()
+        more = cut(mark.join(open_orbits, "orbit", "left_semi").groupBy("orbit").applyInPandas(walk(True), schema), "holes")
+        if more.isEmpty():
+            return faces
+        faces = cut(faces.union(more), "faces")
 
 
 def duplicate_faces(faces: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def contraction(points, spark, sf_dir):
 
 @query()
 def trace_faces(points, spark, sf_dir):
-    return _mesh(points)[2].select("component", "degree", F.array_join(F.transform("verts", lambda v: v.cast("string")), "-").alias("face"))
+    return _mesh(points)[2].select("orbit", "degree", F.array_join(F.transform("verts", lambda v: v.cast("string")), "-").alias("face"))
 
 
 @query()

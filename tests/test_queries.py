@@ -400,3 +400,28 @@ def test_registration_of_picked_and_matched_points(spark):
     got, shade = texels.fill_hole(ring, np.column_stack([inner, 0.1 * inner[:, 0]]), np.tile([100.0, 200, 300], (40, 1)))
     assert np.abs(got[:, 2] - 0.1 * got[:, 0]).max() < 1e-6 and np.allclose(shade, [100, 200, 300], atol=1)
     assert H.grid_plan(spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 8.0, 4.0, 2.0)], "pid long, x double, y double, z double"))["levels"] >= 2
+
+
+def test_faces_of_orbits_are_those_of_the_whole_graph(spark):
+    import numpy as np
+
+    from meshloom.operators import extract as X
+    from meshloom.operators import kernels
+
+    rng = np.random.default_rng(12)
+    p = rng.random((120, 2))
+    links = {tuple(sorted((i, int(j)))) for i in range(120) for j in np.argsort(((p - p[i]) ** 2).sum(1))[1:4]}
+    near = {i: sorted({b if a == i else a for a, b in links if i in (a, b)},
+                      key=lambda w: -np.arctan2(*(p[w] - p[i])[::-1])) for i in range(120)}  # noqa: B023
+    ring = spark.createDataFrame([(v, w, k + 1) for v, r in near.items() for k, w in enumerate(r)], "v long, w long, rank int")
+
+    def key(f):
+        k = f.index(min(f))
+        return tuple(f[k:] + f[:k])
+
+    for quads in (True, False):
+        got = [key(list(r.verts)) for r in X.trace_faces(ring, quads).collect()]
+        want = [key(f) for f in kernels.trace(near, quads)]
+        assert len(got) == len(set(got)) and set(want) <= set(got) and len(got) - len(want) <= 2
+        darts = [(a, b) for f in got for a, b in zip(f, f[1:] + f[:1])]
+        assert len(darts) == len(set(darts))

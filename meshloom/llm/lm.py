@@ -394,10 +394,24 @@ class Trie:
         """log10 of the additive estimate."""
         return np.log10((counts + 0.1) / self.norm)
 
+    def _distinct(self, ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different (ctx, word) in order, and for each row which of them it is. Few
+        rows of a batch are new, and in order a search reads its shard from end to end."""
+        if len(ctx) and (int(ctx.max()) + 1) * (self.size + 1) < 1 << 63:
+            key, inverse = np.unique(ctx * (self.size + 1) + word + 1, return_inverse=True)
+            return key // (self.size + 1), key % (self.size + 1) - 1, inverse
+        order = np.lexsort((word, ctx))
+        c, w = ctx[order], word[order]
+        new = np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))) if len(c) else np.empty(0, bool)
+        inverse = np.empty(len(c), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        return c[new], w[new], inverse
+
     def _successors(self, point: EliasFano, nxt: EliasFano, r: np.ndarray, word: np.ndarray):
-        """For contexts r of a shard: which have successors, and of these the rank of the
-        word among all of the shard, or -1, searched in the context's range only."""
-        u, inv = np.unique(r, return_inverse=True)
+        """For contexts r of a shard, in order: which have successors, and of these the rank
+        of the word among all of the shard, or -1, searched in the context's range only."""
+        new = np.concatenate(([True], r[1:] != r[:-1]))
+        u, inv = r[new], np.cumsum(new) - 1
         since, until = (point.get(x).astype(np.int64) for x in (u, u + 1))
         has = np.flatnonzero((until > since)[inv])
         w, inv = word[has], inv[has]
@@ -406,24 +420,35 @@ class Trie:
         rank[seen] = nxt.find((r[has[seen]] * self.size + w[seen]).astype(np.uint64), since[inv[seen]], until[inv[seen]])
         return has, rank
 
+    def _slices(self, shards: np.ndarray):
+        """(shard, slice) of shards in order."""
+        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi > lo:
+                yield int(shards[lo]), slice(lo, hi)
+
     def bigrams(self, ctx: np.ndarray, word: np.ndarray, plain: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Id of each bigram (-1: not seen), and log10 p(word | ctx) for ids of words (-1:
         unknown) where plain, log10 p(word), is given."""
         out, found = None if plain is None else plain.copy(), np.full(len(ctx), -1, np.int64)
         known = np.flatnonzero(ctx >= 0)
-        for s, part in self._by_shard(self.shard_of(ctx[known])):
+        c, w, inverse = self._distinct(ctx[known], word[known])
+        ids, add, own = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.zeros(len(c), bool)
+        for s, part in self._slices(self.shard_of(c)):
             level = self._pairs(s)
             if level is None:
                 continue
             point, nxt, prob, backoff, _ = level
-            at = known[part]
-            r = ctx[at] - self.starts[s]
-            has, i = self._successors(point, nxt, r, word[at])
+            r = c[part] - self.starts[s]
+            has, i = self._successors(point, nxt, r, w[part])
             hit = i >= 0
-            found[at[has[hit]]] = self.firsts[s] + i[hit]
-            if out is not None:
-                out[at[has]] += dequantise(backoff[r[has]], 4.0)
-                out[at[has[hit]]] = dequantise(prob[i[hit]])
+            has += part.start
+            ids[has[hit]] = self.firsts[s] + i[hit]
+            add[has] = dequantise(backoff[c[has] - self.starts[s]], 4.0)
+            add[has[hit]], own[has[hit]] = dequantise(prob[i[hit]]), True
+        found[known] = ids[inverse]
+        if out is not None:
+            out[known] = np.where(own[inverse], 0.0, out[known]) + add[inverse]
         return found, out
 
     def scores(self, ctx: np.ndarray, word: np.ndarray, plain: np.ndarray) -> np.ndarray:
@@ -435,17 +460,20 @@ class Trie:
         lower, log10 p(word | the word before)."""
         out = lower.copy()
         known = np.flatnonzero(pair >= 0)
-        for s, part in self._by_shard(pair[known] // self.per):
+        c, w, inverse = self._distinct(pair[known], word[known])
+        add, own = np.zeros(len(c)), np.zeros(len(c), bool)
+        for s, part in self._slices(c // self.per):
             level = self._triples(s)
             if level is None:
                 continue
             point, nxt, prob, backoff = level
-            at = known[part]
-            r = pair[at] - s * self.per
-            has, i = self._successors(point, nxt, r, word[at])
+            r = c[part] - s * self.per
+            has, i = self._successors(point, nxt, r, w[part])
             hit = i >= 0
-            out[at[has]] += dequantise(backoff[r[has]], 4.0)
-            out[at[has[hit]]] = dequantise(prob[i[hit]])
+            has += part.start
+            add[has] = dequantise(backoff[c[has] - s * self.per], 4.0)
+            add[has[hit]], own[has[hit]] = dequantise(prob[i[hit]]), True
+        out[known] = np.where(own[inverse], 0.0, out[known]) + add[inverse]
         return out
 
     def parts(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -327,6 +327,29 @@ def round_steps(o: Vec, q: Vec, n: Vec, p: Vec, scale: float, posy: int, keep: l
     return [one, two, three, four]
 
 
+def compatible_positions(scale: float, posy: int, keep: list[str]) -> list[list[str]]:
+    """Select lists that add the closest pair c0, c1 of lattice points around the middle of
+    two points a_ and b_ with fields (x, n, q, o): of the four corners on either side the
+    first pair with the least squared distance."""
+    a, b = (lambda f: vec(f"a_{f}")), (lambda f: vec(f"b_{f}"))
+    ends = [f"{s}_{f}{c}" for s in "ab" for f in ("", "n", "q", "o") for c in "xyz"]
+    m = middle_point(a(""), a("n"), b(""), b("n"))
+    one = keep + ends + [f"{t} AS m{c}" for c, t in zip("xyz", m)] + [
+        f"{t} AS t{k}{c}" for k, s in (("0", a), ("1", b)) for c, t in zip("xyz", second_axis(s("q"), s("n"), posy))]
+    at = [lattice_coordinates(s("o"), s("q"), s("n"), vec("m"), scale, posy) for s in (a, b)]
+    two = keep + ends + [f"t{k}{c}" for k in "01" for c in "xyz"] + [f"floor({x}) AS {n}{k}" for k, uv in zip("01", at) for n, x in zip("uv", uv)]
+    corners = [(i, j) for j in (0, 1) for i in (0, 1)]
+    three = keep + [f"{t} AS p{k}{n}{c}" for k, s in (("0", a), ("1", b)) for n, (i, j) in enumerate(corners)
+                    for c, t in zip("xyz", lattice_point(s("o"), s("q"), vec(f"t{k}"), f"(u{k} + {i})", f"(v{k} + {j})", scale))]
+    points = [f"p{k}{n}{c}" for k in "01" for n in range(4) for c in "xyz"]
+    pairs = [(i, j) for i in range(4) for j in range(4)]
+    four = keep + points + [f"{dist2(vec(f'p0{i}'), vec(f'p1{j}'))} AS d{i}{j}" for i, j in pairs]
+    five = keep + points + [f"d{i}{j}" for i, j in pairs] + ["least(" + ", ".join(f"d{i}{j}" for i, j in pairs) + ") AS d2"]
+    pick = lambda text: "CASE " + " ".join(f"WHEN d{i}{j} = d2 THEN {text(i, j)}" for i, j in pairs) + " END"
+    six = keep + [f"{pick(lambda i, j: f'p0{i}{c}')} AS c0{c}" for c in "xyz"] + [f"{pick(lambda i, j: f'p1{j}{c}')} AS c1{c}" for c in "xyz"] + ["d2"]
+    return [one, two, three, four, five, six]
+
+
 # --- interpolation ------------------------------------------------------------
 
 @_doubles

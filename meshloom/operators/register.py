@@ -89,6 +89,25 @@ def point_step(pairs: DataFrame) -> list[float]:
     return matrix(r, cb - r @ ca)
 
 
+def residual_norm(pairs: DataFrame) -> float:
+    """The largest distance of a source from its target's plane."""
+    r = E.dot(E.vec("tn"), E.sub(E.vec("t"), E.vec("")))
+    return pairs.agg(F.max(F.abs(F.expr(r))).alias("r")).first()["r"] or 0.0
+
+
+def calibrate(scan: DataFrame, base: DataFrame, picked_source: list, picked_target: list, max_error: float, **how) -> list[float]:
+    """The transform of a scanner from picked pairs of points, refined by align()."""
+    first = np.array(from_pairs(picked_source, picked_target)).reshape(4, 4)
+    moved = transformed(scan.select("pid", "x", "y", "z", "nx", "ny", "nz"), first.ravel().tolist())
+    return (np.array(align(moved, base, max_error, **how)).reshape(4, 4) @ first).ravel().tolist()
+
+
+def turntable(poses: list[list[float]]) -> tuple[list[float], list[float]]:
+    """Axis and a point on it, from the transforms of one object as it turns."""
+    axis, point = kernels.turntable_axis(np.array(poses, float).reshape(-1, 4, 4))
+    return axis.tolist(), point.tolist()
+
+
 def align(scan: DataFrame, base: DataFrame, max_error: float, rounds: int = 4, steps: int = 5,
           share: int = 10) -> list[float]:
     """The transform that registers scan to base: rounds of a halving search radius.
@@ -106,6 +125,6 @@ def align(scan: DataFrame, base: DataFrame, max_error: float, rounds: int = 4, s
                 break
             m = np.array(step).reshape(4, 4)
             total = m @ total
-            if np.abs(m - np.eye(4)).max() < 1e-9:
+            if np.abs(m - np.eye(4)).max() < 1e-9 or residual_norm(pairs) < 1e-12:
                 break
     return total.ravel().tolist()

@@ -148,3 +148,19 @@ def adjacent_cells(cells: DataFrame) -> DataFrame:
     a = own.select(*CELL, *[F.col(c).alias(f"s{c}") for c in CELL])
     return (_around(a, [o for o in _ALL if o != (0, 0, 0)]).hint("merge").join(own, list(CELL))
             .select("scx", "scy", "scz", *CELL))
+
+
+def adjacent_or_coarser(cells: DataFrame) -> DataFrame:
+    """Occupied cells (cx, cy, cz) with, in each of the 26 directions, the occupied cell
+    there (up = 0), or where there is none the occupied cell there on the next coarser
+    level (up = 1); a direction without either gives nothing."""
+    own = cells.select(*CELL).distinct()
+    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", o)]) for o in _ALL if o != (0, 0, 0)]))
+    asked = own.select(*[F.col(c).alias(f"s{c}") for c in CELL], steps.alias("o"))
+    half = lambda c: F.expr(f"CAST(floor({c} / 2) AS BIGINT)")
+    here = asked.select("*", *[(F.col(f"s{c}") + F.col(f"o.{n}")).alias(c) for c, n in zip(CELL, "abc")])
+    here = here.join(own.withColumn("found", F.lit(True)), list(CELL), "left")
+    near = here.where("found").select(*[f"s{c}" for c in CELL], F.lit(0).alias("up"), *CELL)
+    coarse = own.select(*[half(c).alias(c) for c in CELL]).distinct()
+    above = here.where("found IS NULL").select(*[f"s{c}" for c in CELL], *[(half(f"s{c}") + F.col(f"o.{n}")).alias(c) for c, n in zip(CELL, "abc")])
+    return near.union(above.join(coarse, list(CELL)).select(*[f"s{c}" for c in CELL], F.lit(1).alias("up"), *CELL))

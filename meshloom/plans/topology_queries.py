@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as E
 from ..operators import extract as X
 from ..operators import hierarchy as H
-from ..operators import normals
+from ..operators import normals, register
 from ..operators import spatial as S
 from ..operators import texels as T
 from ..operators.tables import cut, fence, shared_dir
@@ -258,6 +258,50 @@ def symmetry_steps(points, spark, sf_dir):
     return points.selectExpr("pid", *[f"{t} AS {p}{c}" for p, v in out.items() for t, c in zip(v, "xyz")])
 
 
+_MIDDLE = f"""adj AS (SELECT a.pid AS src, b.pid AS dst FROM cloud a, cloud b WHERE a.pid < b.pid AND {_D2} <= 0.01),
+ends AS (SELECT src, dst, a.x AS px, a.y AS py, a.z AS pz, a.nx AS nx, a.ny AS ny, a.nz AS nz, a.qx AS qx, a.qy AS qy, a.qz AS qz, a.ox AS ox, a.oy AS oy,
+  a.oz AS oz, b.x AS rx, b.y AS ry, b.z AS rz, b.nx AS mx, b.ny AS my, b.nz AS mz, b.qx AS sx, b.qy AS sy, b.qz AS sz, b.ox AS wx, b.oy AS wy, b.oz AS wz
+  FROM adj JOIN cloud a ON a.pid = src JOIN cloud b ON b.pid = dst),
+cosine AS (SELECT *, nx * mx + ny * my + nz * mz AS c, nx * (rx - px) + ny * (ry - py) + nz * (rz - pz) AS e,
+  mx * (px - rx) + my * (py - ry) + mz * (pz - rz) AS f FROM ends),
+weight AS (SELECT *, 2 * (e - c * f) / (1.0001e0 - c * c) AS k, 2 * (f - c * e) / (1.0001e0 - c * c) AS l FROM cosine),
+middle AS (SELECT *, (px + rx) / 2 - (nx * k + mx * l) / 4 AS hx, (py + ry) / 2 - (ny * k + my * l) / 4 AS hy, (pz + rz) / 2 - (nz * k + mz * l) / 4 AS hz,
+  ny * qz - nz * qy AS tx, nz * qx - nx * qz AS ty, nx * qy - ny * qx AS tz, my * sz - mz * sy AS vx, mz * sx - mx * sz AS vy, mx * sy - my * sx AS vz FROM weight),
+low AS (SELECT *, floor((qx * (hx - ox) + qy * (hy - oy) + qz * (hz - oz)) / 0.08e0) AS i0, floor((tx * (hx - ox) + ty * (hy - oy) + tz * (hz - oz)) / 0.08e0) AS j0,
+  floor((sx * (hx - wx) + sy * (hy - wy) + sz * (hz - wz)) / 0.08e0) AS i1, floor((vx * (hx - wx) + vy * (hy - wy) + vz * (hz - wz)) / 0.08e0) AS j1 FROM middle),
+corner AS (SELECT src, dst, n, m, {', '.join(f"o{c} + 0.08e0 * (q{c} * (i0 + n % 2) + t{c} * (j0 + n // 2)) AS a{c}, w{c} + 0.08e0 * (s{c} * (i1 + m % 2) + v{c} * (j1 + m // 2)) AS d{c}" for c in 'xyz')}
+  FROM low, unnest([0, 1, 2, 3]) AS g(n), unnest([0, 1, 2, 3]) AS h(m)),
+cost AS (SELECT *, pow(ax - dx, 2) + pow(ay - dy, 2) + pow(az - dz, 2) AS d2 FROM corner)"""
+
+
+@query(f"""WITH {_MIDDLE} SELECT src, dst, round(d2, 6) + 0e0 AS d2, {', '.join(f"round(a{c}, 6) + 0e0 AS c0{c}, round(d{c}, 6) + 0e0 AS c1{c}" for c in 'xyz')}
+FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY d2, n, m) AS r FROM cost) WHERE r = 1""")
+def posy4_compat(points, spark, sf_dir):
+    out = X.with_fields(C._edges(points), points)
+    for step in E.compatible_positions(C.SCALE, 4, ["src", "dst"]):
+        out = fence(out.selectExpr(*step))
+    return out
+
+
+@query("""WITH c AS (SELECT DISTINCT CAST(floor((x + 1e0) / 0.08e0) AS BIGINT) AS a, CAST(floor((y + 1e0) / 0.08e0) AS BIGINT) AS b,
+  CAST(floor((z + 1e0) / 0.08e0) AS BIGINT) AS c FROM cloud), p AS (SELECT DISTINCT a // 2 AS a, b // 2 AS b, c // 2 AS c FROM c),
+o AS (SELECT s.a AS sa, s.b AS sb, s.c AS sc, i, j, k, EXISTS (SELECT 1 FROM c t WHERE t.a = s.a + i AND t.b = s.b + j AND t.c = s.c + k) AS near
+  FROM c s, unnest([-1, 0, 1]) AS x(i), unnest([-1, 0, 1]) AS y(j), unnest([-1, 0, 1]) AS z(k) WHERE i <> 0 OR j <> 0 OR k <> 0)
+SELECT 0 AS up, count(*) AS links FROM o WHERE near UNION ALL SELECT 1, count(*) FROM o WHERE NOT near AND EXISTS (
+  SELECT 1 FROM p WHERE p.a = sa // 2 + i AND p.b = sb // 2 + j AND p.c = sc // 2 + k)""")
+def coarser_neighbours(points, spark, sf_dir):
+    cells = points.selectExpr(*[f"{E.grid_index(c, C.ORIGIN, C.CELL)} AS {n}" for c, n in zip("xyz", S.CELL)])
+    return S.adjacent_or_coarser(cells).groupBy("up").agg(F.count("*").alias("links"))
+
+
+@query(f"""WITH k AS (SELECT a.x, a.y, a.z, b.x AS tx, b.y AS ty, b.z AS tz, b.nx, b.ny, b.nz, row_number() OVER (PARTITION BY a.pid ORDER BY {_D2}, b.pid) AS r
+  FROM cloud a, cloud b WHERE a.scan_id = 1 AND b.scan_id <> 1 AND {_D2} <= 0.01 AND a.nx * b.nx + a.ny * b.ny + a.nz * b.nz >= 0.7e0)
+SELECT round(max(abs(nx * (tx - x) + ny * (ty - y) + nz * (tz - z))), 6) AS worst FROM k WHERE r = 1""")
+def plane_residual(points, spark, sf_dir):
+    pairs = register.nearest_compatible_between(points.where("scan_id = 1"), points.where("scan_id <> 1"), 0.2)
+    return spark.createDataFrame([(register.residual_norm(pairs),)], "worst double")
+
+
 # --- colours and keys, stated step by step -------------------------------------------------
 
 C.ORACLES["rgb_lab"] = with_cloud("""WITH xyz AS (SELECT pid, (0.4124564e0 * c0 + 0.3575761e0 * c1 + 0.1804375e0 * c2) / 62289e0 AS x,

@@ -425,3 +425,67 @@ def test_faces_of_orbits_are_those_of_the_whole_graph(spark):
         assert len(got) == len(set(got)) and set(want) <= set(got) and len(got) - len(want) <= 2
         darts = [(a, b) for f in got for a, b in zip(f, f[1:] + f[:1])]
         assert len(darts) == len(set(darts))
+
+
+def test_constraints_turn_directions_and_the_root_has_no_neighbours(spark):
+    import numpy as np
+
+    from meshloom.operators import solver
+
+    rng = np.random.default_rng(5)
+    flat = [(i, float(a), float(b), 0.0, 0.0, 0.0, 1.0) for i, (a, b) in enumerate(rng.random((60, 2)))]
+    p = solver.start_fields(spark.createDataFrame(flat, "pid long, x double, y double, z double, nx double, ny double, nz double"))
+    adj = solver.neighbours(p, 0.3)
+    assert adj.count() > 60 and solver.neighbours(p, 0.3, 2, 2).isEmpty()
+    angle = np.pi / 6
+    wish = spark.createDataFrame([(i, float(np.cos(angle)), float(np.sin(angle)), 0.0) for i in range(60)], "pid long, cx double, cy double, cz double")
+    for given, want in ((None, 0.0), (wish, angle)):
+        out = solver.smooth_level(p, adj, "'one'", 0.1, constraint=given).collect()
+        turns = [(np.arctan2(r.qy, r.qx) - want + np.pi / 4) % (np.pi / 2) - np.pi / 4 for r in out]
+        assert np.abs(turns).max() < 1e-6
+
+
+def test_calibration_and_turntable(spark):
+    import numpy as np
+
+    from meshloom.operators import hierarchy as H
+    from meshloom.operators import kernels, register
+    from meshloom.sources import procedural_scan
+
+    tube = procedural_scan(spark, 0, 12)
+    m = register.matrix(kernels.small_rotation(np.array([0.2, 0.1, 0.3])), [0.5, 0.2, -0.4])
+    moved = H.transformed(tube, m)
+    at = {r.pid: r for r in tube.where("pid in (100, 200, 300, 410)").collect()}
+    source = [r for r in moved.where("pid in (100, 200, 300, 410)").orderBy("pid").collect()]
+    picked = [[r.x + 0.02 * (-1) ** k, r.y, r.z] for k, r in enumerate(source)]  # clicks are not exact
+    got = register.calibrate(moved, tube, picked, [[at[r.pid].x, at[r.pid].y, at[r.pid].z] for r in source], 0.3, rounds=2, steps=4, share=1)
+    assert np.abs(np.array(got).reshape(4, 4) @ np.array(m).reshape(4, 4) - np.eye(4)).max() < 0.01
+    axis, point = np.array([0.0, 0.6, 0.8]), np.array([1.0, 2.0, 3.0])
+    poses = []
+    for a in (0.0, 0.4, 1.1, 2.0):
+        r = kernels.small_rotation(axis * a)
+        poses.append(register.matrix(r, point - r @ point))
+    got_axis, got_point = map(np.array, register.turntable(poses))
+    assert np.allclose(np.abs(got_axis @ axis), 1) and np.allclose(np.cross(got_point - point, axis), 0, atol=1e-9)
+
+
+def test_textures_colour_points(spark, tmp_path):
+    from meshloom.sources.readers import read_texture_points
+
+    head = "ply\nformat ascii 1.0\nelement vertex 3\n" + "".join(f"property float {c}\n" for c in ("x", "y", "z", "texture_u", "texture_v")) + "end_header\n"
+    (tmp_path / "t.ply").write_text(head + "0 0 0 0 0\n1 0 0 0.99 0.99\n2 0 0 1.5 -1\n")
+    pixels = spark.createDataFrame([(x, y, 255 * (x == 0), 255 * (y == 0), 0) for x in range(4) for y in range(2)], "px int, py int, r int, g int, b int")
+    got = sorted((r.x, r.r, r.g) for r in read_texture_points(spark, f"file://{tmp_path}/t.ply", pixels).collect())
+    assert got == [(0, 65535, 0), (1, 0, 65535), (2, 0, 0)]
+
+
+def test_stages_of_the_extraction_are_seen(spark):
+    from meshloom.operators import remesh
+    from meshloom.operators.normals import with_normals
+    from meshloom.sources import procedural_scan
+
+    solved = remesh.fields(with_normals(procedural_scan(spark, 0, 12)), 0.8)
+    seen = {}
+    mesh = remesh.extract(solved, 0.8, on_stage=lambda name, table: seen.setdefault(name, table.count()))
+    assert list(seen) == ["neighbours", "classified", "members", "collapsed", "polygons", "mesh"] and seen["mesh"] == mesh.faces.count() > 0
+    assert seen["neighbours"] == seen["classified"] and seen["members"] == solved.count()

@@ -271,10 +271,10 @@ def solve(matrix: DataFrame, rhs: DataFrame, blocks: DataFrame, values: tuple[st
         solved = cut(conditioned(moved), "cg")
         rr, new = sums(solved, ("r", "r"), ("r", "z"))
         turn = {v: new[v] / rz[v] if v in todo and rz[v] else 0.0 for v in values}
-        nxt = cut(solved.withColumns({f"d_{v}": F.col(f"z_{v}") + turn[v] * F.col(f"d_{v}") for v in values}), "cg")
-        for old in (x, both, solved):
+        for old in (x, both):
             delete_path(spark, old.inputFiles()[0].rsplit("/", 1)[0])
-        x, rz = nxt, new
+        x = solved.withColumns({f"d_{v}": F.col(f"z_{v}") + turn[v] * F.col(f"d_{v}") for v in values})
+        rz = new
     raise ValueError(f"no solution to a tolerance of {tolerance} in {rounds} rounds")
 
 

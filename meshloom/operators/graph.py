@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import shared_dir
 
 
+#: Edges up to which one task does what rounds of joins do beyond; both give the same rows.
+SMALL = 20_000
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -24,7 +30,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     round is two shuffles of the edges, which never grow in number, and is
     written to the shared folder; the path to a component's root shrinks
     geometrically. A hub's neighbours are never gathered: its smallest one
-    comes from a partially aggregated min, joined back to the edges.
+    comes from a partially aggregated min, joined back to the edges. Up to SMALL
+    edges, counted as they are written, one task unites them instead.
     """
     spark = edges.sparkSession
     e = (edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
@@ -53,6 +60,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         return pairs.where("u <> v").distinct()
 
     e, path, last = put(e, "edges")
+    if last["n"] <= SMALL:
+        return e.repartition(1).mapInPandas(_united, "node long, component long")
     while True:
         nxt, nxt_path, mark = put(star(star(e, True), False), "edges")
         delete_path(spark, path)
@@ -65,6 +74,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 
 
+def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, component) of edges (u, v) that fit one task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for pdf in frames:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            x, y = find(u), find(v)
+            root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "component": pd.Series([find(x) for x in nodes], dtype="int64")})
+
+
 def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(node) that edges (a, b), either way, connect to a seed: whole components."""
     comp = connected_components(edges)
@@ -93,8 +119,8 @@ def colouring(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, colour): a greedy colouring of undirected edges (a, b) in order of a hash of
     the node. A round colours every node whose neighbours before it have one, with the
     smallest colour that none of them has; what is coloured is what one task would do
-    node by node. The rounds are few, as the order is random; a hub's neighbours are
-    reduced to their distinct colours before they meet. nodes (node) adds isolated ones."""
+    node by node, and is done so up to SMALL pairs. A hub's neighbours are reduced to
+    their distinct colours before they meet. nodes (node) adds isolated ones."""
     from .tables import cut
 
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
@@ -103,6 +129,9 @@ def colouring(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     before = cut(both.where(rank("b") < rank("a")).select(F.col("a").alias("node"), F.col("b").alias("earlier")), "earlier")
     every = both.select(F.col("a").alias("node"))
     every = cut((every.union(nodes.select("node")) if nodes is not None else every).distinct(), "nodes")
+    if before.count() <= SMALL:
+        pairs = before.withColumn("rank", F.xxhash64("node")).repartition(1).mapInPandas(_coloured, "node long, colour int")
+        return every.join(pairs, "node", "left").select("node", F.coalesce("colour", F.lit(0)).alias("colour"))
     ready = cut(every.join(before, "node", "left_anti").select("node", F.lit(0).alias("colour")), "ready")
     done, waiting = ready, before.withColumn("colour", F.lit(None).cast("int"))
     while True:
@@ -116,6 +145,17 @@ def colouring(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         done = done.union(ready)
 
 
+def _coloured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Colours of the nodes of (node, earlier, rank) rows, one by one in order of rank."""
+    got = [pdf for pdf in frames if len(pdf)]
+    rows = pd.concat(got).sort_values(["rank", "node"]) if got else pd.DataFrame({"node": [], "earlier": []})
+    colour: dict[int, int] = {}
+    for node, group in rows.groupby("node", sort=False):
+        used = {colour.get(x, 0) for x in group["earlier"].tolist()}
+        colour[int(node)] = next(c for c in range(len(used) + 1) if c not in used)
+    yield pd.DataFrame({"node": pd.Series(list(colour), dtype="int64"), "colour": pd.Series(list(colour.values()), dtype="int32")})
+
+
 def colour_counts(colours: DataFrame, edges: DataFrame) -> DataFrame:
     """(colour, nodes, neighbours): how many nodes a phase has, and neighbours of them."""
     both = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(

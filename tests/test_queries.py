@@ -267,9 +267,22 @@ def test_solver_keeps_entries_between_blocks_and_boundary_values(spark):
     assert set(start) == set(got) and sum(v != 0 for v in start.values()) == len(start)
 
 
-def test_colouring_is_greedy_in_its_order(spark):
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_components_of_odd_graphs(spark, monkeypatch, small):
     from meshloom.operators import graph
 
+    monkeypatch.setattr(graph, "SMALL", small)
+    chain = [(i, i + 1) for i in range(60)] + [(500, j) for j in range(200, 260)] + [(100, 101), (101, 100), (7, 7), (None, 3), (-5, -9)]
+    got = {tuple(r) for r in graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == ({(i, 0) for i in range(61)} | {(i, 200) for i in [500, *range(200, 260)]} | {(100, 100), (101, 100), (-5, -9), (-9, -9)})
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_colouring_is_greedy_in_its_order(spark, monkeypatch, small):
+    from meshloom.operators import graph
+
+    monkeypatch.setattr(graph, "SMALL", small)
     edges = [(i, (i * 7 + 3) % 50) for i in range(50)] + [(0, j) for j in range(1, 40)]
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.colour for r in graph.colouring(df, spark.range(52).withColumnRenamed("id", "node")).collect()}

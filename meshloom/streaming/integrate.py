@@ -40,7 +40,7 @@ class Session:
     """A session's tables under a folder: points, nodes and fields by version, statistics."""
 
     def __init__(self, spark: SparkSession, path: str, origin: float = -16.0, cell: float = 0.08, levels: int = 6,
-                 capacity: float = H.CAPACITY):
+                 capacity: float | None = H.CAPACITY):
         self.spark, self.path, self.origin, self.cell, self.levels = spark, path.rstrip("/"), origin, cell, levels
         self.capacity = capacity
         self.listeners: list[Callable[[str, int], None]] = []
@@ -130,7 +130,8 @@ class Session:
     def integrate(self, scan: DataFrame, register: float | None = None, overlap: float | None = None,
                   batch: str | None = None, faces: DataFrame | None = None) -> int:
         """Add a scan: normals, cleaning, registration within an error if asked, what
-        overlaps within a distance left out, cells kept from overfilling. Points whose id
+        overlaps within a distance left out, cells kept from overfilling unless the session's
+        capacity is None. Points whose id
         is there already are left out. A batch of this name that was added before is
         skipped; returns its version."""
         began, known = time.time(), self.facts()
@@ -146,7 +147,7 @@ class Session:
                 scan = without_overlap(scan, points, overlap).select(*scan.columns)
             scan = scan.join(points.select("pid"), "pid", "left_anti").select(*COLS)
         coded = self._coded(scan.dropDuplicates(["pid"]))
-        if known:
+        if known and self.capacity is not None:
             coded = H.with_capacity(coded, self.nodes(), self.capacity)
         return self._commit("scan", began, coded, batch=batch)
 

@@ -23,6 +23,7 @@ besides id and text are unused.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
@@ -32,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, tidy
 from .words import _BASE, TABLE, U, chunks, mix, power
 
 CAPACITY = 4096
 END = 2
 #: Ids held at once by a task: 8 MB.
 WINDOW_TOKENS = 2 << 20
+#: Rows taken out of a batch, and bytes of text tokenised, at once.
+ROWS, CHUNK = 256, 1 << 18
 #: Pieces whose ids a worker remembers in each of two tables: 100 bytes each.
 CACHE_PIECES = 400_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -123,6 +126,7 @@ class PieceTokenizer:
     """
 
     def __init__(self, path: str, limit: int = CACHE_PIECES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would hold memory
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), limit
@@ -311,14 +315,23 @@ class Packer:
                                           names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
+        del b
+        tidy()
+
+
 def _run(path: str, capacity: int, cache_pieces: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        tidy()
         tok, packer, held = tokenizer(path, cache_pieces), Packer(TaskContext.get().partitionId(), capacity), 0
-        for b in batches:
+        for b in _sliced(batches):
             docs, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, CHUNK):
                 for doc, ids in zip(docs[lo:hi], tok.encode(texts[lo:hi])):
                     packer.add(doc, np.append(ids, np.uint32(END)))
                     held += len(ids) + 1
@@ -331,6 +344,7 @@ def _run(path: str, capacity: int, cache_pieces: int):
                     yield packer.flush()
         packer.close()
         yield packer.flush()
+        tidy()
 
     return run
 

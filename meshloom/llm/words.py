@@ -54,11 +54,11 @@ def power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK bytes together."""
+def chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes together."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
-        if i > lo and size + len(t) > CHUNK:
+        if i > lo and size + len(t) > most:
             yield lo, i
             lo, size = i, 0
         size += len(t) + 1

@@ -1,9 +1,14 @@
 """Operator 2: the piece tokenizer against the tokenizer itself, repeated rows, extra columns."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from meshloom.llm import packing
@@ -45,3 +50,21 @@ def test_repeated_rows_and_extra_columns(spark):
     assert len({(r.sequence_id, r.offset) for r in out}) == len(out)
     one = packing.pack(docs.where("text = 'others'"), packing.default_tokenizer()).collect()
     pieces_ok(one, {1: "others"}, packing.tokenizer(packing.default_tokenizer()).tok)
+
+
+def test_a_batch_is_taken_in_slices(monkeypatch):
+    """24 MB of texts in one batch: what a task holds is no multiple of a batch."""
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    text = " ".join(f"w{i % 97}" for i in range(2000))
+    n = 24_000_000 // len(text)
+    batch = pa.record_batch({"doc_id": list(range(n)), "text": [text] * n})
+    run = packing._run(packing.default_tokenizer(), packing.CAPACITY, 1000)
+    packing.tokenizer(packing.default_tokenizer(), 1000)
+    tracemalloc.start()
+    try:
+        rows = pa.Table.from_batches(list(run(iter([batch]))))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(set(rows["doc_id"].to_pylist())) == n
+    assert peak < 80e6
